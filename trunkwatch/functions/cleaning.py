@@ -41,6 +41,12 @@ def inspection_year(date: str = "date") -> Column:
     return F.year(inspected_on(date))
 
 
+def rounded(value: Column, places: int) -> Column:
+    """Half-even rounding of a fitted value. Its last bits depend on the order in
+    which partial sums merge; they are dropped first, lest they decide a tie."""
+    return F.bround(F.round(value, 10), places)
+
+
 def percent(part: Column, whole: Column) -> Column:
     """``100 * part / whole`` to two places, 0 for an empty whole."""
     share = F.try_divide(part.cast("double"), whole.cast("double")) * 100

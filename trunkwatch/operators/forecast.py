@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trunkwatch.functions.cleaning import inspected_on, is_defect, or_zero
+from trunkwatch.functions.cleaning import inspected_on, is_defect, or_zero, rounded
 from trunkwatch.operators.latest import one_per_object, recency
 from trunkwatch.operators.listing import with_object
 from trunkwatch.operators.stats import objects_of_lines
@@ -98,9 +98,9 @@ def depth_trend(diagnostics: DataFrame) -> DataFrame:
     """Fitted line of every object with two defects or more."""
     return (inspection_profile(diagnostics).where("defect_count >= 2")
             .select("object_id", "defect_count",
-                    F.bround("slope", 4).alias("slope"),
-                    F.bround("current_depth", 2).alias("current_depth"),
-                    F.bround("predicted_depth", 2).alias("predicted_depth"),
+                    rounded(F.col("slope"), 4).alias("slope"),
+                    rounded(F.col("current_depth"), 2).alias("current_depth"),
+                    rounded(F.col("predicted_depth"), 2).alias("predicted_depth"),
                     trend_class(F.col("slope")).alias("trend")))
 
 
@@ -125,9 +125,9 @@ def _forecast() -> dict[str, Column]:
         "risk_probability": branch(0.0, 0.05, 0.3, tier["risk_probability"]),
         "recommended_method": branch(None, "VIK", "UZK", tier["recommended_method"]),
         "trend": branch(None, "stable", "unknown", trend_class(F.col("slope"))),
-        "current_depth": fitted_only(F.bround("current_depth", 2)),
-        "predicted_depth": fitted_only(F.bround(F.greatest(F.lit(0.0), "predicted_depth"), 2)),
-        "slope": fitted_only(F.bround("slope", 4)),
+        "current_depth": fitted_only(rounded(F.col("current_depth"), 2)),
+        "predicted_depth": fitted_only(rounded(F.greatest(F.lit(0.0), "predicted_depth"), 2)),
+        "slope": fitted_only(rounded(F.col("slope"), 4)),
         "defect_count": fitted_only(F.col("defect_count")),
         "last_inspection": fitted_only(F.date_format("last_inspection", "yyyy-MM-dd")),
     }
@@ -242,7 +242,7 @@ def trunkline_forecast(pipelines: DataFrame, objects: DataFrame, diagnostics: Da
                     F.when(F.col("total_objects").isNull(), MSG_NO_OBJECTS)
                     .when(~ok, MSG_NO_DIAGNOSTICS).alias("message"),
                     F.when(ok, F.col("total_objects")).alias("total_objects"),
-                    F.when(ok, F.bround(share, 2)).alias("defect_rate"),
+                    F.when(ok, rounded(share, 2)).alias("defect_rate"),
                     F.when(ok, F.col("critical_objects_count")).alias("critical_objects_count"),
                     F.when(ok, F.col("defects_last_year")).alias("defects_last_year"),
                     F.when(ok, grown(F.col("defects_last_year"))).alias("predicted_defects_next_year"),

@@ -143,17 +143,13 @@ def import_diagnostics(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return store.current(objects.sparkSession, root, "diagnostics")
 
 
-def _mixed_runs(objects: DataFrame, dirty: DataFrame) -> DataFrame:
+@query("objects", "diagnostics_dirty")
+def import_log(objects: DataFrame, dirty: DataFrame) -> DataFrame:
     """Log of a good run, a rejected one and one without a file."""
     spark = objects.sparkSession
     root = _import_two(objects, dirty)
     imports.import_objects(spark, f"{root}/drop/missing.csv", root)
-    return store.import_log(spark, root)
-
-
-@query("objects", "diagnostics_dirty")
-def import_log(objects: DataFrame, dirty: DataFrame) -> DataFrame:
-    return _mixed_runs(objects, dirty).select(
+    return store.import_log(spark, root).select(
         "table_name", "file", "status", "rows",
         F.coalesce(F.size("errors"), F.lit(0)).alias("n_errors"))
 
@@ -471,7 +467,8 @@ def _as_text(df: DataFrame) -> DataFrame:
 
 @query("objects", "diagnostics_dirty")
 def run_alerts(objects: DataFrame, dirty: DataFrame) -> DataFrame:
-    return alerts.run_alerts(_mixed_runs(objects, dirty)).select("message", "type")
+    log = store.import_log(objects.sparkSession, _import_two(objects, dirty))
+    return alerts.run_alerts(log).select("message", "type")
 
 
 @query("pipelines")
