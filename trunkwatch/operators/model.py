@@ -18,6 +18,7 @@ from trunkwatch.schema import FEATURES
 
 MIN_ROWS = 10
 TREES, DEPTH, SEED = 100, 10, 42
+ROWS_PER_PARTITION = 1_000_000
 
 
 def defect_features(diagnostics: DataFrame, *keep: str) -> DataFrame:
@@ -56,10 +57,15 @@ def split(rows: DataFrame) -> DataFrame:
 def train(diagnostics: DataFrame) -> Fit:
     """Random forest on the defects, with accuracy on both parts of the split."""
     defects = split(diagnostics.where(is_defect() & F.col("ml_label").isNotNull()))
-    if len(defects.select("diag_id").take(MIN_ROWS)) < MIN_ROWS:
+    n_rows = defects.count()
+    if n_rows < MIN_ROWS:
         return Fit(None, [], None)
     weights = class_weights(defects.where(~F.col("held_out"))).select("ml_label", "weight")
-    rows = (defect_features(defects, F.col("ml_label").alias("label_text"), "held_out")
+    # Trees read their input many times over: spread it evenly, by id, whatever
+    # the layout of the files, and keep it.
+    parts = max(defects.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
+    rows = (defect_features(defects, "diag_id", F.col("ml_label").alias("label_text"), "held_out")
+            .repartition(parts, "diag_id")
             .join(weights.withColumnRenamed("ml_label", "label_text"), "label_text", "left")
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
