@@ -19,7 +19,7 @@ _AS_CP1251 = "".join(bytes([b]).decode("cp1251", errors="ignore") or chr(b) for
 
 
 def clean_header(name: str) -> str:
-    return name.strip().replace("\ufeff", "").replace("\u200b", "")
+    return name.replace("\ufeff", "").replace("\u200b", "").strip()
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
