@@ -17,7 +17,8 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     spark = session("tests", f"local[{os.cpu_count()}]", **{
         "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-        "spark.checkpoint.dir": str(shared), "spark.driver.memory": "8g"})
+        "spark.checkpoint.dir": str(shared), "spark.sql.maxMetadataStringLength": "4000",
+        "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("OFF")
     yield spark
     spark.stop()

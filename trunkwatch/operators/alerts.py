@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trunkwatch import schema as s
-from trunkwatch.functions.cleaning import is_defect
 from trunkwatch.operators.latest import one_per_object
+from trunkwatch.operators.listing import defects_only
 
 DEFECT = "defect_detection"
 
@@ -26,9 +26,9 @@ def defect_message(pipeline_id: Column, object_id: Column, risk_level: Column) -
 def defect_alerts(diagnostics: DataFrame, objects: DataFrame) -> DataFrame:
     """One alert per defect. Its id comes from the diagnostic, so repeating the
     derivation repeats no alert."""
-    lines = one_per_object(objects, "pipeline_id")
+    lines = one_per_object(objects, "pipeline_id", apart=True)
     label = F.col("ml_label")
-    return (diagnostics.where(is_defect()).join(lines, "object_id", "left")
+    return (defects_only(diagnostics).join(lines, "object_id", "left")
             .select(F.concat_ws("-", F.lit(DEFECT), "diag_id").alias("alert_id"),
                     defect_message(F.col("pipeline_id"), F.col("object_id"), label).alias("message"),
                     alert_type(label).alias("type"),
@@ -142,8 +142,9 @@ def read_all_marks(events: DataFrame) -> DataFrame:
     """How many alerts each read-all newly marked: those created by then and
     neither read nor deleted before it."""
     folded, read_alls = _folded(events), _read_alls(events)
-    instants = folded.select(F.col("created_at").alias("at")).distinct()
-    following = _next_read_all(instants, read_alls).withColumnRenamed("at", "created_at")
+    created = events.where(F.col("action") == "created")
+    instants = created.select(F.col("event_at").alias("at")).distinct()
+    following = _next_read_all(instants, read_alls).select(F.col("at").alias("created_at"), "read_all_at")
     marked = (folded.join(following, "created_at")
               .where(F.col("read_all_at").isNotNull()
                      & (F.col("read_at").isNull() | (F.col("read_at") > F.col("read_all_at")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trunkwatch.functions.cleaning import inspected_on, is_defect, or_zero, rounded
 from trunkwatch.operators.latest import one_per_object, recency
-from trunkwatch.operators.listing import with_object
+from trunkwatch.operators.listing import defects_only, group_apart, with_object
 from trunkwatch.operators.stats import objects_of_lines
 from trunkwatch.schema import (
     ADVICE_ATTENTION, ADVICE_GOOD, ADVICE_REGULAR, ADVICE_REPAIR, MSG_HIGH, MSG_INSUFFICIENT,
@@ -26,15 +26,15 @@ def days_since_first_defect(diagnostics: DataFrame) -> DataFrame:
     The first day per object is an aggregate joined back, not a window: a window
     would sort all defects of a hot object in one task.
     """
-    defects = diagnostics.where(is_defect()).withColumn("day", inspected_on())
-    first = defects.groupBy("object_id").agg(F.min("day").alias("first_day"))
+    defects = defects_only(diagnostics).withColumn("day", inspected_on())
+    first = group_apart(defects, "object_id").agg(F.min("day").alias("first_day")).drop("shard")
     return (defects.join(first, "object_id")
             .select("diag_id", "object_id", F.date_diff("day", "first_day").alias("days_since_first")))
 
 
 def last_defect_depth(diagnostics: DataFrame) -> DataFrame:
     depth = or_zero(F.col("param1"))
-    return (diagnostics.where(is_defect() & F.col("object_id").isNotNull())
+    return (defects_only(diagnostics).where(F.col("object_id").isNotNull())
             .groupBy("object_id")
             .agg(F.max_by(depth, recency(inspected_on(), F.col("diag_id"))).alias("current_depth")))
 
@@ -143,6 +143,13 @@ def object_forecast(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return _with_forecast(ids.join(inspection_profile(diagnostics), "object_id", "left"), "object_id")
 
 
+def _known_forecasts(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Forecasts that succeeded, of objects that the table has. Only inspected
+    objects can succeed, so the others need not be brought in."""
+    known = inspection_profile(diagnostics).join(objects.select("object_id"), "object_id", "left_semi")
+    return _with_forecast(known, "object_id").where(F.col("status") == "success")
+
+
 def forecast_of(objects: DataFrame, diagnostics: DataFrame, object_id: int) -> DataFrame:
     """Forecast for one id, whether or not the object table knows it."""
     wanted = objects.sparkSession.range(1).select(F.lit(object_id).cast("long").alias("object_id"))
@@ -158,8 +165,7 @@ def top_risks(objects: DataFrame, diagnostics: DataFrame, limit: int = 20) -> Da
     if not 1 <= limit <= 100:
         raise ValueError("limit must lie between 1 and 100")
     order = [F.desc("risk_probability"), F.asc("object_id")]
-    top = (object_forecast(objects, diagnostics).where(F.col("status") == "success")
-           .orderBy(*order).limit(limit))
+    top = _known_forecasts(objects, diagnostics).orderBy(*order).limit(limit)
     # Few rows by now: name them first and drop copies of an object afterwards.
     names = ["object_name", "object_type", "pipeline_id"]
     named = (with_object(top, objects, *names, how="inner")
@@ -180,7 +186,7 @@ def top_risks_on_trunkline(objects: DataFrame, diagnostics: DataFrame, pipeline_
 
 def critical_objects(objects: DataFrame, diagnostics: DataFrame, k: int = 10) -> DataFrame:
     """Up to ``k`` objects with risk above 0.6 of every line, most at risk first."""
-    risky = (object_forecast(objects, diagnostics)
+    risky = (_with_forecast(inspection_profile(diagnostics), "object_id")
              .where((F.col("status") == "success") & (F.col("risk_probability") > 0.6))
              .select("object_id", F.col("risk_probability").alias("risk"),
                      F.col("next_inspection_date").alias("next_inspection")))
@@ -193,7 +199,7 @@ def critical_objects(objects: DataFrame, diagnostics: DataFrame, k: int = 10) ->
 
 def recent_defects(diagnostics: DataFrame, as_of: str) -> DataFrame:
     """Defects per object in the year up to ``as_of``."""
-    return (diagnostics.where(is_defect() & in_last_year(inspected_on(), as_of))
+    return (defects_only(diagnostics).where(in_last_year(inspected_on(), as_of))
             .groupBy("object_id").agg(F.count("*").alias("recent")))
 
 

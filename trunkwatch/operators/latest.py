@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trunkwatch.functions.cleaning import clean_non_finite
 from trunkwatch.functions.geo import along
-from trunkwatch.operators.listing import filter_diagnostics
+from trunkwatch.operators.listing import filter_diagnostics, group_apart
 
 
 def recency(day: Column, diag_id: Column) -> Column:
@@ -31,10 +31,13 @@ def latest_per_object(diagnostics: DataFrame) -> DataFrame:
             .where(F.col("rank") == 1).drop("rank"))
 
 
-def one_per_object(objects: DataFrame, *columns: str) -> DataFrame:
-    """Objects without repeated ids: the smallest set of attributes is kept."""
-    return (objects.groupBy("object_id").agg(F.min(F.struct(*columns)).alias("kept"))
-            .select("object_id", "kept.*"))
+def one_per_object(objects: DataFrame, *columns: str, apart: bool = False) -> DataFrame:
+    """Objects without repeated ids: the smallest set of attributes is kept.
+
+    ``apart`` is for joins with raw diagnostics, see :func:`group_apart`.
+    """
+    groups = group_apart(objects, "object_id") if apart else objects.groupBy("object_id")
+    return groups.agg(F.min(F.struct(*columns)).alias("kept")).select("object_id", "kept.*")
 
 
 def map_points(diagnostics: DataFrame, objects: DataFrame, *, pipeline_id: str | None = None,
@@ -73,7 +76,7 @@ def locate_on_trunkline(objects: DataFrame) -> DataFrame:
     object lies follows from its id between those two.
     """
     object_id = F.col("object_id")
-    ends = objects.groupBy("pipeline_id").agg(
+    ends = group_apart(objects, "pipeline_id").agg(
         F.min("object_id").alias("first_id"), F.max("object_id").alias("last_id"),
         F.min_by("lat", object_id).alias("start_lat"), F.min_by("lon", object_id).alias("start_lon"),
         F.max_by("lat", object_id).alias("end_lat"), F.max_by("lon", object_id).alias("end_lon"))

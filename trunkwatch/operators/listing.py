@@ -5,9 +5,9 @@ An argument left ``None`` means "no filter"; 0 and "" are ordinary values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
-from trunkwatch.functions.cleaning import clean_non_finite, is_defect, or_zero
+from trunkwatch.functions.cleaning import clean_non_finite, or_zero
 
 
 def _matching(df: DataFrame, **wanted) -> DataFrame:
@@ -27,7 +27,8 @@ def date_range(df: DataFrame, date_from: str | None = None, date_to: str | None
 
 
 def defects_only(diagnostics: DataFrame) -> DataFrame:
-    return diagnostics.where(is_defect())
+    # a bare comparison drops nulls as well, and it reaches the scan
+    return diagnostics.where(F.col("defect_found") == F.lit(True))
 
 
 def high_risk_only(diagnostics: DataFrame) -> DataFrame:
@@ -50,6 +51,18 @@ def with_object(rows: DataFrame, objects: DataFrame, *columns: str, how: str = "
     return rows.join(objects.select("object_id", *columns), "object_id", how)
 
 
+def group_apart(df: DataFrame, key: str) -> GroupedData:
+    """Groups by ``key`` for an aggregate that is joined to many rows per key.
+
+    AQE splits the partition of a hot key only when both sides of a join come
+    straight from a shuffle, and an aggregate by the key alone is joined as it
+    lies. Grouped by the key and a hash of it the groups are the same, but the
+    result, one row per key, is shuffled once more for the join, and the hot rows
+    opposite can be split.
+    """
+    return df.groupBy(key, F.pmod(F.xxhash64(key), F.lit(1009)).alias("shard"))
+
+
 def list_objects(objects: DataFrame, pipeline_id: str | None = None,
                  object_type: str | None = None) -> DataFrame:
     return _matching(objects, pipeline_id=pipeline_id, object_type=object_type)

@@ -12,8 +12,8 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from trunkwatch.functions.cleaning import is_defect
 from trunkwatch.functions.criticality import features, rule_confidence, rule_label
+from trunkwatch.operators.listing import defects_only
 from trunkwatch.schema import FEATURES
 
 MIN_ROWS = 10
@@ -29,7 +29,7 @@ def defect_features(diagnostics: DataFrame, *keep: str) -> DataFrame:
 
 def class_weights(diagnostics: DataFrame) -> DataFrame:
     """Weight of each label among the defects: n / (classes * n of the label)."""
-    defects = diagnostics.where(is_defect() & F.col("ml_label").isNotNull())
+    defects = defects_only(diagnostics).where(F.col("ml_label").isNotNull())
     counts = defects.groupBy("ml_label").agg(F.count("*").alias("n"))
     totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count("*").alias("labels"))).scalar()
     return counts.select("ml_label", "n", (
@@ -56,7 +56,7 @@ def split(rows: DataFrame) -> DataFrame:
 
 def train(diagnostics: DataFrame) -> Fit:
     """Random forest on the defects, with accuracy on both parts of the split."""
-    defects = split(diagnostics.where(is_defect() & F.col("ml_label").isNotNull()))
+    defects = split(defects_only(diagnostics).where(F.col("ml_label").isNotNull()))
     n_rows = defects.count()
     if n_rows < MIN_ROWS:
         return Fit(None, [], None)

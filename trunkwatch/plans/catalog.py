@@ -174,11 +174,10 @@ def alert_log(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
 @query("objects_dirty", "diagnostics_dirty")
 def dq_duplicate_keys(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     def one(df: DataFrame, key: str) -> DataFrame:
-        counts = quality.count_repeats(df, key).select(
-            F.lit(f"duplicate_{key}").alias("rule"), F.col(f"duplicate_{key}").alias("n_bad"))
-        examples = quality.first_repeats(df, key).select(
-            F.lit(f"duplicate_{key}").alias("rule"), "examples")
-        return counts.join(examples, "rule")
+        count = quality.count_repeats(df, key).withColumnRenamed(f"duplicate_{key}", "n_bad")
+        both = count.unionByName(quality.first_repeats(df, key), allowMissingColumns=True)
+        return both.agg(F.lit(f"duplicate_{key}").alias("rule"), F.max("n_bad").alias("n_bad"),
+                        F.max("examples").alias("examples"))
 
     return one(objects, "object_id").unionByName(one(diagnostics, "diag_id"))
 

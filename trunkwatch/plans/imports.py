@@ -22,6 +22,11 @@ _LISTS = {
 }
 _SHOWN = 10
 
+# Rows that are looked up together lie together: a lookup by object skips the
+# other files, and an aggregate by object is nearly done before its shuffle.
+# The second column lets a hot first value extend over several files.
+_LAYOUT = {"objects": ["pipeline_id", "object_id"], "diagnostics": ["object_id", "date"]}
+
 
 @dataclass
 class ImportResult:
@@ -45,6 +50,11 @@ def read_batch(spark: SparkSession, path: str, table: str, fmt: str) -> DataFram
     raise ValueError(f"unsupported format: {fmt}")
 
 
+def laid_out(df: DataFrame, table: str) -> DataFrame:
+    by = [name for name in _LAYOUT[table] if name in df.columns]
+    return df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
+
+
 def _examples(one_row: DataFrame) -> str:
     return one_row.first()["examples"]
 
@@ -102,7 +112,7 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
     entry = {"run_id": version, "table_name": table, "file": path.rstrip("/").rsplit("/", 1)[-1]}
     try:
         result.staged_path = store.version_path(root, table, version)
-        read_batch(spark, path, table, fmt).write.parquet(result.staged_path)
+        laid_out(read_batch(spark, path, table, fmt), table).write.parquet(result.staged_path)
         staged = spark.read.parquet(result.staged_path)
         objects = store.current(spark, root, "objects") if table == "diagnostics" else None
         result.preview = staged.limit(10).collect()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trunkwatch.functions.cleaning import inspected_on
+from trunkwatch.operators.listing import group_apart
 from trunkwatch.schema import DIAGNOSTICS
 
 REASONS = "reasons"
@@ -40,9 +41,9 @@ def _row_reasons() -> Column:
 def judged(batch: DataFrame, objects: DataFrame) -> DataFrame:
     """Rows with the rules they break. All rows of a repeated key are bad, since
     nothing tells the right one; counting by key needs no group in one place."""
-    known = objects.select("object_id", F.lit(True).alias("known")).distinct()
-    times = (batch.where(F.col("diag_id").isNotNull())
-             .groupBy("diag_id").agg(F.count("*").alias("times")))
+    known = group_apart(objects, "object_id").agg(F.lit(True).alias("known")).drop("shard")
+    times = (group_apart(batch.where(F.col("diag_id").isNotNull()), "diag_id")
+             .agg(F.count("*").alias("times")).drop("shard"))
     return (batch.join(times, "diag_id", "left").join(known, "object_id", "left")
             .select(*batch.columns, _row_reasons().alias(REASONS)))
 
