@@ -35,6 +35,15 @@ def test_listing_is_newest_first_and_cut_before_the_join(sample, places):
     assert ids(listing.list_diagnostics(sample, places))[-1] == 5  # no date: last
 
 
+@pytest.mark.parametrize("k", [101, 150, 290, 300, 301, 500])
+def test_long_lists_equal_short_ones(diagnostics, k):
+    """Past the length from which dates are counted first."""
+    rows = diagnostics(*[{"object_id": 1, "date": None if i % 30 == 7 else f"2024-01-{1 + i * 7 % 28:02d}"}
+                         for i in range(300)]).repartition(7)
+    plain = rows.orderBy(*listing.newest_first()).limit(k)
+    assert ids(listing.newest(rows, k).orderBy(*listing.newest_first())) == ids(plain.orderBy(*listing.newest_first()))
+
+
 @pytest.mark.parametrize("filters, expected", [
     ({"object_id": 0}, {5}),
     ({"object_id": 1}, {1, 2}),

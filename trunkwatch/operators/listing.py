@@ -5,10 +5,12 @@ An argument left ``None`` means "no filter"; 0 and "" are ordinary values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, GroupedData, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from trunkwatch.functions.cleaning import clean_non_finite, or_zero
 
+_MERGED_AT_ONCE = 100
+
 
 def _matching(df: DataFrame, **wanted) -> DataFrame:
     for name, value in wanted.items():
@@ -90,15 +92,32 @@ def newest_first() -> list[Column]:
     return [F.desc_nulls_last("date"), F.asc("diag_id")]
 
 
+def newest(rows: DataFrame, k: int) -> DataFrame:
+    """The newest ``k`` rows.
+
+    Every task offers its own top ``k``, which for a long list and very many tasks
+    is too much for the one that merges them. Rows per date are counted first,
+    reading little more than the date; only rows from the date on at which ``k`` is
+    reached are then sorted. Each date has a row, so no more than ``k`` dates matter.
+    """
+    if k > _MERGED_AT_ONCE:
+        dates = (rows.where(F.col("date").isNotNull()).groupBy("date").agg(F.count("*").alias("n"))
+                 .orderBy(F.desc("date")).limit(k))
+        so_far = F.sum("n").over(Window.orderBy(F.desc("date")))
+        cutoff = (dates.withColumn("so_far", so_far).where(F.col("so_far") >= k)
+                  .agg(F.max("date")).scalar())
+        rows = rows.where((F.col("date") >= cutoff) | cutoff.isNull())
+    return rows.orderBy(*newest_first()).limit(k)
+
+
 def list_diagnostics(diagnostics: DataFrame, objects: DataFrame, limit: int = 1000,
                      **filters) -> DataFrame:
     """Newest ``limit`` diagnostics that pass the filters, with their object's attributes.
 
     The cut comes before the join, so an object stored twice may show a row twice.
     """
-    newest = (filter_diagnostics(diagnostics, objects, **filters)
-              .orderBy(*newest_first()).limit(limit))
-    listed = with_object(newest, objects, "object_name", "lat", "lon", "pipeline_id")
+    shown = newest(filter_diagnostics(diagnostics, objects, **filters), limit)
+    listed = with_object(shown, objects, "object_name", "lat", "lon", "pipeline_id")
     return clean_non_finite(listed).orderBy(*newest_first())
 
 

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline as Stages
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trunkwatch.functions.criticality import features, rule_confidence, rule_label
 from trunkwatch.operators.listing import defects_only
@@ -19,6 +19,7 @@ from trunkwatch.schema import FEATURES
 MIN_ROWS = 10
 TREES, DEPTH, SEED = 100, 10, 42
 ROWS_PER_PARTITION = 1_000_000
+MAX_LABELS = 100
 
 
 def defect_features(diagnostics: DataFrame, *keep: str) -> DataFrame:
@@ -54,19 +55,31 @@ def split(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.pmod(F.xxhash64("diag_id"), F.lit(5)) == 0)
 
 
+def _weight_by_label(weights: DataFrame) -> Column:
+    """The weights as an expression. A forest takes few classes, so they fit in one;
+    a join would shuffle all rows by label, that is, to three tasks."""
+    rows = weights.limit(MAX_LABELS + 1).collect()
+    if len(rows) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    weight = F.lit(None).cast("double")
+    for row in rows:
+        weight = F.when(F.col("label_text") == row["ml_label"], row["weight"]).otherwise(weight)
+    return weight
+
+
 def train(diagnostics: DataFrame) -> Fit:
     """Random forest on the defects, with accuracy on both parts of the split."""
     defects = split(defects_only(diagnostics).where(F.col("ml_label").isNotNull()))
     n_rows = defects.count()
     if n_rows < MIN_ROWS:
         return Fit(None, [], None)
-    weights = class_weights(defects.where(~F.col("held_out"))).select("ml_label", "weight")
+    weight = _weight_by_label(class_weights(defects.where(~F.col("held_out"))))
     # Trees read their input many times over: spread it evenly, by id, whatever
     # the layout of the files, and keep it.
     parts = max(defects.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
     rows = (defect_features(defects, "diag_id", F.col("ml_label").alias("label_text"), "held_out")
+            .withColumn("weight", weight)
             .repartition(parts, "diag_id")
-            .join(weights.withColumnRenamed("ml_label", "label_text"), "label_text", "left")
             .persist(StorageLevel.MEMORY_AND_DISK))
     try:
         stages = Stages(stages=[

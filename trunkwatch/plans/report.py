@@ -8,7 +8,7 @@ from trunkwatch import schema as s
 from trunkwatch.functions.text import cut, object_type_name, transliterate
 from trunkwatch.operators import stats
 from trunkwatch.operators.listing import (
-    defects_only, high_risk_only, newest_first, on_line, with_object)
+    defects_only, high_risk_only, newest, newest_first, on_line, with_object)
 
 
 def _scope(diagnostics: DataFrame, objects: DataFrame, pipeline_id: str | None) -> DataFrame:
@@ -24,8 +24,7 @@ def high_risk_top(diagnostics: DataFrame, objects: DataFrame, pipeline_id: str |
     picked first and the join stays small.
     """
     rows = high_risk_only(_scope(diagnostics, objects, pipeline_id))
-    newest = rows.orderBy(*newest_first()).limit(k)
-    return (with_object(newest, objects, "object_name", "pipeline_id")
+    return (with_object(newest(rows, k), objects, "object_name", "pipeline_id")
             .orderBy(*newest_first(), "pipeline_id", "object_name").limit(k))
 
 

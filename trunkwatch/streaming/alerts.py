@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trunkwatch.operators.alerts import defect_alerts
+from trunkwatch.operators.listing import defects_only
 
 
 def alert_stream(stream: DataFrame, objects: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -15,7 +16,7 @@ def alert_stream(stream: DataFrame, objects: DataFrame, delay: str = "1 hour") -
     The watermark runs on the time of arrival: inspection dates may be years old,
     and by them nearly every row would be late.
     """
-    arriving = (stream.withColumn("arrived_at", F.current_timestamp())
+    arriving = (defects_only(stream).withColumn("arrived_at", F.current_timestamp())
                 .withWatermark("arrived_at", delay)
                 .dropDuplicatesWithinWatermark(["diag_id"]))
     return defect_alerts(arriving, objects)

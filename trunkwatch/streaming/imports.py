@@ -6,6 +6,7 @@ hold up the others.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,12 +51,15 @@ def judged(batch: DataFrame, objects: DataFrame) -> DataFrame:
 
 def accept(batch: DataFrame, batch_id: int, objects: DataFrame, accepted: str, quarantine: str) -> None:
     """Writes one batch into folders of its own, so a repeated batch replaces itself."""
-    rows = judged(batch, objects)
+    rows = judged(batch, objects).persist(StorageLevel.MEMORY_AND_DISK)
     target = f"batch_id={batch_id}"
-    (rows.where(F.size(REASONS) == 0).drop(REASONS)
-     .write.mode("overwrite").parquet(f"{accepted}/{target}"))
-    (rows.where(F.size(REASONS) > 0)
-     .write.mode("overwrite").parquet(f"{quarantine}/{target}"))
+    try:
+        (rows.where(F.size(REASONS) == 0).drop(REASONS)
+         .write.mode("overwrite").parquet(f"{accepted}/{target}"))
+        (rows.where(F.size(REASONS) > 0)
+         .write.mode("overwrite").parquet(f"{quarantine}/{target}"))
+    finally:
+        rows.unpersist()
 
 
 def stream_import(stream: DataFrame, objects: DataFrame, accepted: str, quarantine: str,
