@@ -47,6 +47,21 @@ def test_columns_go_by_name(spark, tmp_path):
         (True, 20.0, 30.0, None), (False, None, None, None)]
 
 
+def test_quotes_and_line_ends_inside_texts(spark, tmp_path):
+    text = ('diag_id,object_id,method,date,defect_found,defect_description,ml_label\n'
+            '1,1,UZK,2024-01-01,True,"трещина, ""глубокая"" \\ шов\nвторая строка",high\n'
+            '2,1,NA,2024-01-02,True,,nan\n')
+    write(tmp_path / "a.csv", text, "cp1251")
+    write(tmp_path / "b.csv", text.replace("\nвторая", " вторая"), "utf-8")
+    kinds = {(r["charset"], r["multi_line"]) for r in dicts(tables.detect_charsets(spark, str(tmp_path)))}
+    assert kinds == {("cp1251", True), ("utf-8", False)}
+    rows = dicts(tables.read_diagnostics(spark, str(tmp_path)))
+    assert len(rows) == 4
+    assert {r["defect_description"] for r in rows} == {
+        'трещина, "глубокая" \\ шов\nвторая строка', 'трещина, "глубокая" \\ шов вторая строка', None}
+    assert {(r["method"], r["ml_label"]) for r in rows if r["diag_id"] == 2} == {(None, None)}
+
+
 def test_files_with_another_header_are_refused(spark, tmp_path):
     write(tmp_path / "a.csv", "object_id,lat\n1,2\n", "utf-8")
     write(tmp_path / "b.csv", "lat,object_id\n1,2\n", "utf-8")
@@ -163,6 +178,15 @@ def test_imports_replace_and_log(spark, tmp_path):
     assert log[2]["errors"] == bad.errors
 
 
+def test_training_follows_a_good_import(spark, tmp_path):
+    lines = "".join(f"{i},1,UZK,2024-01-01,true,{i},{'high' if i > 50 else 'normal'}\n" for i in range(100))
+    head = DIAG.strip() + ",param1,ml_label\n"
+    result, fit = imports.import_and_train(spark, write(tmp_path / "d.csv", head + lines, "utf-8"), str(tmp_path / "store"))
+    assert result.success and fit.is_trained and fit.labels == ["high", "normal"]
+    result, fit = imports.import_and_train(spark, write(tmp_path / "e.csv", "diag_id\n1\n", "utf-8"), str(tmp_path / "store"))
+    assert not result.success and fit is None
+
+
 def test_references_are_not_checked_without_objects(spark, tmp_path):
     path = write(tmp_path / "d.csv", DIAG + "1,1,UZK,2024-01-01,true\n", "utf-8")
     assert imports.import_diagnostics(spark, path, str(tmp_path / "store")).success

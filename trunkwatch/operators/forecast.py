@@ -268,7 +268,9 @@ def forecast_dashboard_trunklines(pipelines: DataFrame, objects: DataFrame, diag
 def forecast_dashboard_summary(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """High and medium risks among the top ten, and the number of all objects."""
     risk = F.col("risk_probability")
-    parts = top_risks(objects, diagnostics, 10).agg(
+    top = (_known_forecasts(objects, diagnostics)
+           .orderBy(F.desc("risk_probability"), F.asc("object_id")).limit(10))
+    parts = top.agg(
         F.count_if(risk > 0.6).alias("high_risk_objects"),
         F.count_if((risk > 0.3) & (risk <= 0.6)).alias("medium_risk_objects")).unionByName(
             objects.agg(F.count("*").alias("total_analyzed")), allowMissingColumns=True)

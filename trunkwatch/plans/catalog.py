@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from trunkwatch import schema as s
 from trunkwatch.functions import banding, criticality, text
@@ -47,9 +47,13 @@ def add(key: str, build: Callable[..., DataFrame], *inputs: str, **fixed) -> Non
 
 # --- sources and sinks ---------------------------------------------------------
 
+def _as_csv(df: DataFrame) -> DataFrameWriter:
+    return df.write.option("header", True).option("escape", '"')
+
+
 def _dump_csv(df: DataFrame, purpose: str) -> str:
     folder = work_folder(df.sparkSession, purpose)
-    df.write.option("header", True).csv(folder)
+    _as_csv(df).csv(folder)
     return folder
 
 
@@ -66,12 +70,11 @@ add("scan_diagnostics", _scan(tables.read_diagnostics), "diagnostics")
 def csv_charset_fallback(objects: DataFrame) -> DataFrame:
     """The object table once in UTF-8 and once in cp1251, read as one folder."""
     folder = work_folder(objects.sparkSession, "charsets")
-    writer = objects.write.option("header", True)
-    writer.csv(f"{folder}/utf8")
+    _as_csv(objects).csv(f"{folder}/utf8")
     as_bytes = objects.select([
-        F.translate(c, tables._AS_CP1251, tables._AS_LATIN1).alias(c) if t == "string" else F.col(c)
+        F.translate(c, tables.AS_CP1251, tables.AS_LATIN1).alias(c) if t == "string" else F.col(c)
         for c, t in objects.dtypes])
-    as_bytes.write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{folder}/cp1251")
+    _as_csv(as_bytes).option("encoding", "ISO-8859-1").csv(f"{folder}/cp1251")
     return tables.read_objects(objects.sparkSession, f"{folder}/*")
 
 
@@ -124,7 +127,7 @@ def _import_two(objects: DataFrame, diagnostics: DataFrame) -> str:
     spark = objects.sparkSession
     root = work_folder(spark, "store")
     for table, df in [("objects", objects), ("diagnostics", diagnostics)]:
-        df.write.option("header", True).csv(f"{root}/drop/{table}.csv")
+        _as_csv(df).csv(f"{root}/drop/{table}.csv")
         imports.import_table(spark, f"{root}/drop/{table}.csv", root, table)
     return root
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from trunkwatch import schema as s
-from trunkwatch.operators import quality
+from trunkwatch.operators import model, quality
 from trunkwatch.sources import store
 from trunkwatch.sources.tables import conform, preview, read_csv_any_charset
 from trunkwatch.sources.workbooks import read_workbooks
@@ -137,9 +137,17 @@ def import_objects(spark: SparkSession, path: str, root: str, fmt: str = "csv")
 
 
 def import_diagnostics(spark: SparkSession, path: str, root: str, fmt: str = "csv") -> ImportResult:
-    """Also to be followed by a new fit of the classifier, see ``operators.model``."""
     return import_table(spark, path, root, "diagnostics", fmt)
 
 
+def import_and_train(spark: SparkSession, path: str, root: str,
+                     fmt: str = "csv") -> tuple[ImportResult, model.Fit | None]:
+    """Imports diagnostics and, when they came into force, fits the classifier anew."""
+    result = import_diagnostics(spark, path, root, fmt)
+    if not result.success:
+        return result, None
+    return result, model.train(store.current(spark, root, "diagnostics"))
+
+
 def preview_batch(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
     return preview(read_batch(spark, path, table, fmt))

@@ -11,11 +11,15 @@ from trunkwatch.schema import DIAGNOSTICS, OBJECTS, PIPELINES
 
 UTF8, CP1251, LATIN1 = "utf-8", "cp1251", "latin1"
 
+# --- fixed values: texts that stand for a missing value -------------------------
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+           "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
 # Bytes 128..255 read as Latin-1, next to what they mean in cp1251. Byte 0x98
 # means nothing there, so it maps to itself.
 _HIGH_BYTES = bytes(range(0x80, 0x100))
-_AS_LATIN1 = _HIGH_BYTES.decode("latin1")
-_AS_CP1251 = "".join(bytes([b]).decode("cp1251", errors="ignore") or chr(b) for b in _HIGH_BYTES)
+AS_LATIN1 = _HIGH_BYTES.decode("latin1")
+AS_CP1251 = "".join(bytes([b]).decode("cp1251", errors="ignore") or chr(b) for b in _HIGH_BYTES)
 
 
 def clean_header(name: str) -> str:
@@ -28,8 +32,9 @@ def clean_headers(df: DataFrame) -> DataFrame:
 
 
 def detect_charsets(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, charset)``: UTF-8 if every line is valid, else cp1251 unless a
-    byte has no meaning there, else Latin-1.
+    """``(file, charset, multi_line)``: UTF-8 if every line is valid, else cp1251
+    unless a byte has no meaning there, else Latin-1; and whether some quoted text
+    goes over a line's end, which leaves lines with an odd number of quotes.
 
     Line breaks never fall inside a UTF-8 character, so lines can be checked on
     their own: files are split over tasks and need not fit in memory.
@@ -37,31 +42,37 @@ def detect_charsets(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), "value")
     undefined = F.contains(F.col("value").cast("binary"), F.unhex(F.lit("98")))
+    quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
     return (lines.groupBy("file")
             .agg(F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
-                 F.bool_or(undefined).alias("undefined"))
+                 F.bool_or(undefined).alias("undefined"),
+                 F.bool_or(quotes % 2 == 1).alias("multi_line"))
             .select("file", F.when(F.col("is_utf8"), UTF8)
-                    .when(~F.col("undefined"), CP1251).otherwise(LATIN1).alias("charset")))
+                    .when(~F.col("undefined"), CP1251).otherwise(LATIN1).alias("charset"),
+                    "multi_line"))
 
 
 def _from_cp1251(text: str) -> str:
-    return text.translate(str.maketrans(_AS_LATIN1, _AS_CP1251))
+    return text.translate(str.maketrans(AS_LATIN1, AS_CP1251))
 
 
-def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str) -> DataFrame:
+def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str,
+                      multi_line: bool) -> DataFrame:
     """CSV files of one charset with all columns as text, headers cleaned.
 
     Files in cp1251 are read as Latin-1, which keeps each byte, and mapped
     letter by letter; Spark has no such charset of its own. Headers of all files
-    are checked against the first one's.
+    are checked against the first one's. Only files that need it are read with
+    quoted line ends, as that takes each of them to one task.
     """
     encoding = "UTF-8" if charset == UTF8 else "ISO-8859-1"
-    reader = spark.read.option("header", True).option("encoding", encoding)
+    reader = (spark.read.option("header", True).option("encoding", encoding)
+              .option("escape", '"').option("multiLine", multi_line))
     header = reader.csv(paths).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     df = reader.schema(schema).option("enforceSchema", False).csv(paths)
     if charset == CP1251:
-        df = df.select([F.translate(F.col(f"`{name}`"), _AS_LATIN1, _AS_CP1251)
+        df = df.select([F.translate(F.col(f"`{name}`"), AS_LATIN1, AS_CP1251)
                         .alias(_from_cp1251(name)) for name in header])
     return clean_headers(df)
 
@@ -69,22 +80,21 @@ def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str) -> Da
 def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder as text columns, each file in its own charset.
 
-    Only the charset of each file comes to the driver, not its content.
+    Only the kind of each file comes to the driver, not its content.
     """
-    by_charset: dict[str, list[str]] = {}
-    for row in detect_charsets(spark, path).toLocalIterator():
-        by_charset.setdefault(row["charset"], []).append(unquote(row["file"]))
-    if not by_charset:
+    kinds: dict[tuple[str, bool], list[str]] = {}
+    for row in detect_charsets(spark, path).collect():
+        kinds.setdefault((row["charset"], row["multi_line"]), []).append(unquote(row["file"]))
+    if not kinds:
         raise ValueError(f"no CSV rows below {path}")
-    frames = [_read_csv_as_text(spark, sorted(paths), charset)
-              for charset, paths in sorted(by_charset.items())]
+    frames = [_read_csv_as_text(spark, sorted(paths), *kind) for kind, paths in sorted(kinds.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def _typed(name: str, wanted: T.DataType) -> Column:
     text = F.trim(F.col(name))
     if isinstance(wanted, T.StringType):
-        return F.col(name)
+        return F.when(~F.col(name).isin(MISSING), F.col(name))
     if isinstance(wanted, (T.LongType, T.IntegerType)):
         number = text.try_cast("double")
         whole = F.when(number == F.floor(number), number.try_cast(wanted))
