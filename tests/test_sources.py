@@ -187,6 +187,17 @@ def test_training_follows_a_good_import(spark, tmp_path):
     assert not result.success and fit is None
 
 
+def test_values_do_not_get_lost_unnoticed(spark, tmp_path):
+    text = DIAG.strip() + ",temperature\n2,1,UZK,2024-13-01,true,warm\n1,1,UZK,,nan,\n3,1,\"A, B\",2024-01-01,da,hot\n"
+    result = imports.import_diagnostics(spark, write(tmp_path / "d.csv", text.replace('\\"', '"'), "utf-8"), str(tmp_path / "s"))
+    assert result.success
+    assert result.warnings == ["Некорректных дат: 2", "Неизвестные методы: [A, B]",
+                               "Колонка 'defect_found' содержит 1 нечитаемых значений",
+                               "Колонка 'temperature' содержит 2 нечитаемых значений"]
+    assert [r["diag_id"] for r in result.preview] == [2, 1, 3]  # as in the file
+    assert store.current(spark, str(tmp_path / "s"), "diagnostics").columns == s.DIAGNOSTICS.fieldNames()
+
+
 def test_references_are_not_checked_without_objects(spark, tmp_path):
     path = write(tmp_path / "d.csv", DIAG + "1,1,UZK,2024-01-01,true\n", "utf-8")
     assert imports.import_diagnostics(spark, path, str(tmp_path / "store")).success

@@ -1,6 +1,5 @@
 from conftest import dicts
 
-from trunkwatch import schema as s
 from trunkwatch.operators.alerts import defect_alerts
 from trunkwatch.streaming import alerts as alert_streams, imports as import_streams
 

@@ -119,8 +119,10 @@ def first_orphans(diagnostics: DataFrame, objects: DataFrame, k: int = 10) -> Da
     return _first(orphan_ids(diagnostics, objects).select(F.col("object_id").alias("value")), k)
 
 
-def first_values(df: DataFrame, column: str, allowed: list[str], k: int = 10) -> DataFrame:
-    return _first(offending_values(df, column, allowed).select("value"), k)
+def count_unreadable(df: DataFrame) -> DataFrame:
+    """Values per column that could not be read as its type, of a marked batch."""
+    return (df.select(F.explode("_unreadable").alias("column"))
+            .groupBy("column").agg(F.count("*").alias("n_rows")))
 
 
 def findings(parts: list[DataFrame], severities: dict[str, str]) -> DataFrame:

@@ -6,12 +6,12 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from trunkwatch import schema as s
 from trunkwatch.operators import model, quality
 from trunkwatch.sources import store
-from trunkwatch.sources.tables import conform, preview, read_csv_any_charset
+from trunkwatch.sources.tables import UNREADABLE, conform, preview, read_csv_any_charset
 from trunkwatch.sources.workbooks import read_workbooks
 
 _LISTS = {
@@ -44,9 +44,9 @@ class ImportResult:
 def read_batch(spark: SparkSession, path: str, table: str, fmt: str) -> DataFrame:
     wanted = store.SCHEMAS[table]
     if fmt == "csv":
-        return conform(read_csv_any_charset(spark, path), wanted)
+        return conform(read_csv_any_charset(spark, path), wanted, mark=True)
     if fmt == "xlsx":
-        return conform(read_workbooks(spark, path, wanted), wanted)
+        return conform(read_workbooks(spark, path, wanted), wanted, mark=True)
     raise ValueError(f"unsupported format: {fmt}")
 
 
@@ -61,9 +61,9 @@ def _examples(one_row: DataFrame) -> str:
 
 def _list_message(df: DataFrame, rule: str) -> str:
     text, column, allowed = _LISTS[rule]
-    shown = _examples(quality.first_values(df, column, allowed, _SHOWN + 1)).split(", ")
-    more = ", ..." if len(shown) > _SHOWN else ""
-    return f"{text}: [{', '.join(shown[:_SHOWN])}{more}]"
+    rows = quality.offending_values(df, column, allowed).orderBy("value").limit(_SHOWN + 1).collect()
+    shown = ["null" if r["value"] is None else r["value"] for r in rows[:_SHOWN]]
+    return f"{text}: [{', '.join(shown + ['...'] * (len(rows) > _SHOWN))}]"
 
 
 def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None) -> str:
@@ -74,7 +74,7 @@ def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None) ->
         return s.ERR_DUPLICATES % (key, _examples(quality.first_repeats(df, key)))
     if rule == "orphan_object_id":
         return s.ERR_ORPHANS % _examples(quality.first_orphans(df, objects))
-    if rule in ("null_date", "invalid_date") and "diag_id" in df.columns:
+    if rule == "null_date":
         return s.WARN_DATES % n_bad
     if rule.startswith("null_"):
         return s.WARN_NULLS % (rule.removeprefix("null_"), n_bad)
@@ -90,11 +90,18 @@ def check(df: DataFrame, table: str, objects: DataFrame | None) -> tuple[list[st
         return [s.ERR_MISSING_COLUMNS % ", ".join(missing)], []
     found = (quality.validate_objects(df) if table == "objects"
              else quality.validate_diagnostics(df, objects))
-    errors: list[str] = []
-    warnings: list[str] = []
-    for row in found.where("n_bad > 0").orderBy("rule").collect():  # one row per rule
-        kind = errors if row["severity"] == quality.ERROR else warnings
-        kind.append(_message(row["rule"], row["n_bad"], df, objects))
+    rows = found.where("n_bad > 0").orderBy("rule").collect()  # one row per rule
+    severity = {r["rule"]: r["severity"] for r in rows}
+    n_bad = {r["rule"]: r["n_bad"] for r in rows}
+    if "invalid_date" in n_bad:  # told as one with the missing dates
+        n_bad["null_date"] = n_bad.get("null_date", 0) + n_bad.pop("invalid_date")
+        severity["null_date"] = severity["invalid_date"]
+    messages = {rule: _message(rule, n, df, objects) for rule, n in sorted(n_bad.items())}
+    errors = [m for rule, m in messages.items() if severity[rule] == quality.ERROR]
+    warnings = [m for rule, m in messages.items() if severity[rule] == quality.WARNING]
+    if UNREADABLE in df.columns:
+        lost = quality.count_unreadable(df).orderBy("column").collect()  # one row per column
+        warnings += [s.WARN_UNREADABLE % (r["column"], r["n_rows"]) for r in lost]
     return errors, warnings
 
 
@@ -112,10 +119,11 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
     entry = {"run_id": version, "table_name": table, "file": path.rstrip("/").rsplit("/", 1)[-1]}
     try:
         result.staged_path = store.version_path(root, table, version)
-        laid_out(read_batch(spark, path, table, fmt), table).write.parquet(result.staged_path)
+        batch = read_batch(spark, path, table, fmt)
+        result.preview = batch.drop(UNREADABLE).limit(_SHOWN).collect()
+        laid_out(batch, table).write.parquet(result.staged_path)
         staged = spark.read.parquet(result.staged_path)
         objects = store.current(spark, root, "objects") if table == "diagnostics" else None
-        result.preview = staged.limit(10).collect()
         result.errors, result.warnings = check(staged, table, objects)
         if result.errors:
             entry |= {"errors": result.errors}
@@ -150,4 +158,4 @@ def import_and_train(spark: SparkSession, path: str, root: str,
 
 
 def preview_batch(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
-    return preview(read_batch(spark, path, table, fmt))
+    return preview(read_batch(spark, path, table, fmt).drop(UNREADABLE))

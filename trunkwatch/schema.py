@@ -146,6 +146,9 @@ WARN_NULLS = "Колонка '%s' содержит %d пустых значен
 WARN_DATES = "Некорректных дат: %d"
 WARN_DEPTH = "У дефектов отсутствует param1: %d записей"
 
+# not a fixed value: values that were lost in a batch go unnoticed otherwise
+WARN_UNREADABLE = "Колонка '%s' содержит %d нечитаемых значений"
+
 # --- fixed values: Cyrillic to Latin ------------------------------------------
 LATIN = {
     "А": "A", "Б": "B", "В": "V", "Г": "G", "Д": "D", "Е": "E", "Ё": "Yo",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from trunkwatch.schema import DIAGNOSTICS, OBJECTS, PIPELINES
 
+UNREADABLE = "_unreadable"
 UTF8, CP1251, LATIN1 = "utf-8", "cp1251", "latin1"
 
 # --- fixed values: texts that stand for a missing value -------------------------
@@ -102,11 +103,18 @@ def _typed(name: str, wanted: T.DataType) -> Column:
     return text.try_cast(wanted)
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+def conform(df: DataFrame, schema: T.StructType, mark: bool = False) -> DataFrame:
     """Text columns cast to their declared types; unreadable values become null,
-    undeclared columns stay as they are."""
+    undeclared columns stay as they are. ``mark`` adds the names of the columns
+    whose value got lost in a row."""
     wanted = {f.name: f.dataType for f in schema.fields}
-    return df.select([_typed(c, wanted[c]).alias(c) if c in wanted else F.col(c) for c in df.columns])
+    typed = {c: _typed(c, wanted[c]) for c in df.columns if c in wanted}
+    columns = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
+    if mark:
+        lost = [F.when(~F.trim(F.col(c)).isin(MISSING) & value.isNull(), c)
+                for c, value in typed.items() if not isinstance(wanted[c], T.StringType)]
+        columns.append(F.array_compact(F.array(*lost)).cast("array<string>").alias(UNREADABLE))
+    return df.select(columns)
 
 
 def complete(df: DataFrame, schema: T.StructType) -> DataFrame:
