@@ -62,7 +62,12 @@ def test_line_forecast_reads_diagnostics_once(spark, stored):
 
 def test_latest_cuts_before_the_shuffle(stored):
     text = plan(latest.latest_per_object(stored["diagnostics"]))
-    assert re.search(r"Exchange hashpartitioning\(object_id.*\n.*WindowGroupLimit.*Partial", text)
+    assert re.search(r"Exchange hashpartitioning\(object_id.*\n.*partial_max", text) and "Window" not in text
+
+
+def test_critical_objects_are_cut_before_the_shuffle(spark, stored):
+    text = plan(forecast.critical_objects(stored["objects"], stored["diagnostics"]))
+    assert re.search(r"Exchange hashpartitioning\(pipeline_id.*\n.*WindowGroupLimit.*Partial", text)
 
 
 def test_filters_and_columns_reach_the_scan(stored):

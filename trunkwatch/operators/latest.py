@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trunkwatch.functions.cleaning import clean_non_finite
 from trunkwatch.functions.geo import along
@@ -22,13 +22,14 @@ def recency(day: Column, diag_id: Column) -> Column:
 def latest_per_object(diagnostics: DataFrame) -> DataFrame:
     """Newest inspection of each object; the larger ``diag_id`` wins within a day.
 
-    Spark keeps one row per object in every map task already (WindowGroupLimit),
-    so an object with very many inspections does not crowd one reducer.
+    The greatest row by date and id is an aggregate that merges map-side, so an
+    object with very many inspections sends one row per task. Structs order a null
+    date before any other, which makes it the last resort.
     """
-    newest = Window.partitionBy("object_id").orderBy(F.desc_nulls_last("date"), F.desc("diag_id"))
-    return (diagnostics.where(F.col("object_id").isNotNull())
-            .withColumn("rank", F.row_number().over(newest))
-            .where(F.col("rank") == 1).drop("rank"))
+    others = [c for c in diagnostics.columns if c not in ("object_id", "date", "diag_id")]
+    greatest = F.max(F.struct("date", "diag_id", *others)).alias("newest")
+    return (diagnostics.where(F.col("object_id").isNotNull()).groupBy("object_id").agg(greatest)
+            .select([F.col(c) if c == "object_id" else F.col(f"newest.{c}") for c in diagnostics.columns]))
 
 
 def one_per_object(objects: DataFrame, *columns: str, apart: bool = False) -> DataFrame:
