@@ -92,10 +92,15 @@ def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _missing(name: str) -> Column:
+    texts = ", ".join(f"'{text}'" for text in MISSING)
+    return F.expr(f"`{name}` IN ({texts})")
+
+
 def _typed(name: str, wanted: T.DataType) -> Column:
     text = F.trim(F.col(name))
     if isinstance(wanted, T.StringType):
-        return F.when(~F.col(name).isin(MISSING), F.col(name))
+        return F.col(name)
     if isinstance(wanted, (T.LongType, T.IntegerType)):
         number = text.try_cast("double")
         whole = F.when(number == F.floor(number), number.try_cast(wanted))
@@ -104,14 +109,15 @@ def _typed(name: str, wanted: T.DataType) -> Column:
 
 
 def conform(df: DataFrame, schema: T.StructType, mark: bool = False) -> DataFrame:
-    """Text columns cast to their declared types; unreadable values become null,
-    undeclared columns stay as they are. ``mark`` adds the names of the columns
-    whose value got lost in a row."""
+    """Text columns cast to their declared types; missing and unreadable values
+    become null, undeclared columns stay text. ``mark`` adds the names of the
+    columns whose value got lost in a row."""
+    df = df.select([F.when(~_missing(c), F.col(f"`{c}`")).alias(c) for c in df.columns])
     wanted = {f.name: f.dataType for f in schema.fields}
     typed = {c: _typed(c, wanted[c]) for c in df.columns if c in wanted}
     columns = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
     if mark:
-        lost = [F.when(~F.trim(F.col(c)).isin(MISSING) & value.isNull(), c)
+        lost = [F.when((F.trim(F.col(c)) != "") & value.isNull(), c)
                 for c, value in typed.items() if not isinstance(wanted[c], T.StringType)]
         columns.append(F.array_compact(F.array(*lost)).cast("array<string>").alias(UNREADABLE))
     return df.select(columns)
