@@ -8,6 +8,8 @@ import pytest
 from conftest import SMALL
 
 import __spark_entry__ as contract
+from trunkwatch.plans.catalog import QUERIES
+from trunkwatch.plans.oracles import ORACLES
 
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
          "boolean": "BOOLEAN", "date": "DATE"}
@@ -34,15 +36,16 @@ def ordered(names, rows):
 
 
 def test_every_query_has_sql_but_for_those_of_the_fitted_model():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
     assert not set(contract.oracle_sql()) - set(contract.queries())
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
     assert contract.entry(spark).count() == 20
 
 
-@pytest.mark.parametrize("key", sorted(contract.oracle_sql()))
+@pytest.mark.parametrize("key", sorted(ORACLES))
 def test_same_as_sql(spark, duck, key):
     df = contract.queries()[key](spark, SMALL)
     result = duck.execute(contract.oracle_sql()[key])
