@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,8 @@ import pyarrow.compute as pc
 
 VOCABULARY = "byte_bpe_50k.json"
 
-#: Parts that one worker remembers; beyond that it starts anew. Decides no result.
-REMEMBERED = 400_000
+#: Parts that one worker remembers; beyond that it forgets those met once. Decides no result.
+REMEMBERED = 900_000
 #: Bytes of text that are encoded at once, a longer text alone.
 _AT_ONCE = 4 << 20
 
@@ -62,24 +63,45 @@ class TextEncoder:
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
+        self._met = np.zeros(0, np.uint8)
+
+    def _forget_rare(self, parts: list[str]) -> None:
+        """Keeps what was met more than once, unless that is half of all, and what is needed now."""
+        often, needed = self._met > 1, set(parts)
+        if 2 * int(often.sum()) > REMEMBERED:
+            often[:] = False
+        kept = [(p, s) for p, s in self._slots.items() if often[s] or p in needed]
+        slots = np.fromiter((s for _, s in kept), np.int64, len(kept))
+        starts, lengths = self._starts[slots], self._lengths[slots]
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self._ids[at]
+        self._forget()
+        self._slots = {p: i for i, (p, _) in enumerate(kept)}
+        self._starts, self._lengths, self._ids = ends - lengths, lengths, ids
+        self._met = np.ones(len(kept), np.uint8)
+        if len(self._slots) + len(parts) > REMEMBERED:
+            self._forget()
 
     def _slots_of(self, parts: list[str]) -> np.ndarray:
         known = self._slots
-        new = [p for p in parts if p not in known]
+        new = list(dict.fromkeys(p for p in parts if p not in known))
         if new:
             if len(known) + len(new) > REMEMBERED and known:
-                self._forget()
+                self._forget_rare(parts)
                 return self._slots_of(parts)
-            new = list(dict.fromkeys(new))
             found = self._encode(new)
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             starts = len(self._ids) + np.cumsum(lengths) - lengths
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self._starts = np.concatenate([self._starts, starts])
             self._lengths = np.concatenate([self._lengths, lengths])
             self._ids = np.concatenate([self._ids, flat])
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            self._met = np.concatenate([self._met, np.zeros(len(new), np.uint8)])
+        slots = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        self._met[slots] = np.minimum(self._met[slots], 2) + 1
+        return slots
 
     def _encode_slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.split_pattern(texts, " ")
