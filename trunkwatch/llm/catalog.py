@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from trunkwatch.llm.bpe import op7_bpe
+from trunkwatch.llm.decontaminate import op10_decontaminate
 from trunkwatch.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from trunkwatch.llm.simhash import op1_simhash_near_dedup
 from trunkwatch.llm.suffix_dedup import op3_suffix_dedup
 from trunkwatch.llm.token_counts import op2_token_counts
 from trunkwatch.llm.token_shards import op4_token_shards
+from trunkwatch.llm.toxicity import op5_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_shards": op4_token_shards,
+    "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES: dict[str, str] = {

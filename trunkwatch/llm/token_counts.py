@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trunkwatch.llm.common import table, text_of
+from trunkwatch.llm.common import stored, table, text_of
 from trunkwatch.llm.tokens import encoder, library_encoder, vocabulary_path
 
 #: Lengths that are summed together first, so that no task sees all lengths.
@@ -25,7 +25,8 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
     """``n_tokens, n_docs``: how many documents have each encoded length.
 
     A null or empty text has length 0; repeated rows count each; an empty table
-    gives no row. Other columns are not read.
+    gives no row. Other columns are not read. The histogram is written once, as
+    every question reads it again.
     """
     path = vocabulary or vocabulary_path()
 
@@ -38,7 +39,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
                                                  names=["n_tokens", "n_docs"])
 
     counted = docs.select(text_of(text).alias("t")).mapInArrow(lengths, "n_tokens long, n_docs long")
-    return counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return stored(counted.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "length-histogram")
 
 
 def length_report(histogram: DataFrame) -> DataFrame:
