@@ -1,0 +1,63 @@
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from trunkwatch.llm.url_filter import OP6_SQL, RULES, bloom_filter, canonical, judge, listed_by_host, may_be_listed
+
+URLS = ["https://www.A.Example.NET/en/1", "http://a.example.net/de/1?x#y", "ftp://example.net", "http://net/", "http://m.example.com/de/",
+        "https://example.com/DE/1", "http://b.org/fr/2", "http://borg/fr/2", "http://borg.org?/fr/", "x", "", None, "://", "a://b://c/d",
+        "https://casino-win.example.com/en/9?b=2&utm_source=f&a=1#t", "http://m.casino-win.example.com:80/en/9.html?a=1&b=2&ref=x",
+        "http://casino-win.example.com/fr", "http://x.example.com/\n/de?q\nz", "https://www.Spam-Farm.example.org/index.html", "http://É.org/fr/É"]
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([(i, u, "h", "clash", "clash") for i, u in enumerate(URLS * 2)],
+                                 "page_id long, url string, html string, host string, verdict string")
+
+
+def test_same_as_sql(pages):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    db.executemany("INSERT INTO pages VALUES (?, ?, ?)", [tuple(r)[:3] for r in pages.collect()])
+    result = db.execute(OP6_SQL)
+    found = judge(pages, listed_by_host(pages), RULES)
+    assert found.columns == [c[0] for c in result.description]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+def test_rules_and_verdicts(pages):
+    found = {r.page_id: r for r in judge(pages, listed_by_host(pages), RULES).collect() if r.page_id < len(URLS)}
+    said = [(found[i].host, found[i].path, found[i].rule, found[i].verdict) for i in range(len(URLS))]
+    assert said[0] == ("www.a.example.net", "/en/1", "example.net/en/", "allow")
+    assert said[1] == ("a.example.net", "/de/1", "net/", "block")
+    assert said[2] == ("example.net", "", None, "allow") and said[3] == ("net", "/", "net/", "block")
+    assert said[4][2:] == ("example.com/de/", "block") and said[5][2:] == (None, "allow")
+    assert said[6][2:] == ("org/fr/", "allow") and said[7][2:] == (None, "allow") and said[8][1] == ""
+    assert all(s == ("", "", None, "allow") for s in said[9:13]) and said[13][:2] == ("b:", "//c/d")
+    assert [s[3] for s in said[14:17]] == ["block"] * 3 and said[18][3] == "block"
+
+
+def test_canonical(spark):
+    rows = spark.createDataFrame([(u,) for u in URLS[14:16]], "u string").select(canonical(F.col("u")).alias("c")).collect()
+    assert {r.c for r in rows} == {"casino-win.example.com/en/9?a=1&b=2"}
+
+
+def test_filter_has_no_false_negative_and_few_false_positives(spark):
+    listed = spark.range(5000).select(F.concat(F.lit("h/"), "id").alias("canonical"))
+    blocks = bloom_filter(listed)
+    own = np.array([r[0] for r in listed.select(F.xxhash64("canonical")).collect()], np.int64)
+    other = np.array([r[0] for r in spark.range(20000).select(F.xxhash64(F.concat(F.lit("o/"), "id"))).collect()], np.int64)
+    assert may_be_listed(blocks, own).all() and may_be_listed(blocks, other).mean() < .03
+
+
+def test_false_positives_are_removed_and_empty_tables(spark, pages, monkeypatch):
+    import trunkwatch.llm.url_filter as own
+
+    expected = sorted(map(str, judge(pages, listed_by_host(pages), RULES).collect()))
+    monkeypatch.setattr(own, "may_be_listed", lambda blocks, hashed: np.ones(len(hashed), bool))
+    assert sorted(map(str, judge(pages, listed_by_host(pages), RULES).collect())) == expected
+    nothing = pages.limit(0)
+    assert judge(nothing, listed_by_host(pages), RULES).count() == 0
+    assert {r.listed for r in judge(pages, listed_by_host(nothing), RULES).collect()} == {False}
