@@ -170,3 +170,15 @@ def test_days_and_last_depth(diagnostics):
     found = diagnostics(*history(1, ("2024-01-01", None), ("2024-01-10", 5.0), ("2024-02-09", 7.0)))
     assert {r["diag_id"]: r["days_since_first"] for r in dicts(forecast.days_since_first_defect(found))} == {2: 0, 3: 30}
     assert dicts(forecast.last_defect_depth(found)) == [{"object_id": 1, "current_depth": 7.0}]
+
+
+def test_undated_defects_count_but_do_not_bend_the_line(objects, diagnostics):
+    dated = history(1, ("2024-01-01", 10.0), ("2024-07-01", 12.0), ("2025-01-01", 14.0))
+    alone = dicts(forecast.depth_trend(diagnostics(*dated)))
+    for date in (None, "2024-13-45"):
+        rows = diagnostics(*dated, {"object_id": 1, "date": date, "defect_found": True, "param1": 58.0})
+        assert dicts(forecast.depth_trend(rows)) == [{**alone[0], "defect_count": 4}]
+    two = diagnostics(*history(2, ("2024-01-01", None), ("2024-02-01", 9.0)), {"object_id": 2, "date": None, "defect_found": True, "param1": 50.0})
+    assert forecast.depth_trend(two).count() == 0
+    row = dicts(forecast.object_forecast(objects({"object_id": 2}), two))[0]
+    assert (row["trend"], row["risk_probability"]) == ("unknown", 0.3)

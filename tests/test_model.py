@@ -67,3 +67,9 @@ def test_rules_decide_without_a_model(diagnostics):
 
 def test_features_keep_their_order(inspected):
     assert model.defect_features(inspected).columns == s.FEATURES
+
+
+def test_labels_may_be_many(diagnostics):
+    rows = diagnostics(*[{"object_id": 1, "defect_found": True, "ml_label": f"l{i % 120}", "param1": float(i % 120)} for i in range(1200)])
+    fit = model.train(rows)
+    assert len(fit.labels) == 120 and fit.fit_id != model.Fit(None, [], None).fit_id

@@ -15,6 +15,7 @@ from trunkwatch.streaming import imports as import_streams
 # These run jobs while they are built, see the tests of imports, streams and the model.
 ACTIONS = {"train_model", "model_accuracy", "score_defects", "feature_importance", "training_alerts",
            "import_objects", "import_diagnostics", "import_log", "run_alerts", "alert_log", "stream_import",
+           "accuracy_check", "score_check", "importance_check", "training_alert_check", "import_and_train",
            "stream_defect_alerts", "scan_trunklines", "scan_objects", "scan_diagnostics", "csv_charset_fallback"}
 
 
@@ -65,6 +66,26 @@ def test_latest_cuts_before_the_shuffle(stored):
     assert re.search(r"Exchange hashpartitioning\(object_id.*\n.*partial_max", text) and "Window" not in text
 
 
+def test_newest_is_cut_before_the_shuffle_and_reads_once(spark, stored):
+    text = plan(listing.newest(stored["diagnostics"], 1000))
+    assert re.search(r"Exchange hashpartitioning\(_group.*\n.*WindowGroupLimit.*Partial", text)
+    assert text.count("FileScan parquet") == 1
+
+
+def test_map_points_read_what_they_show_and_only_their_line(stored):
+    text = plan(latest.map_points(stored["diagnostics"], stored["objects"], pipeline_id="MT-07"))
+    scan = next(x for x in text.splitlines() if "FileScan" in x and "diag_id" in x)
+    read = re.search(r"ReadSchema: struct<(.*?)>", scan).group(1)
+    assert {c.split(":")[0] for c in read.split(",")} == {
+        "diag_id", "object_id", "method", "date", "defect_found", "defect_description", "quality_grade", "ml_label"}
+    assert text.index("LeftSemi") > text.rindex("newest")
+
+
+def test_read_all_marks_have_no_task_for_all(spark):
+    text = plan(QUERIES["read_all_marks"](spark, SMALL))
+    assert "SinglePartition" not in text
+
+
 def test_critical_objects_are_cut_before_the_shuffle(spark, stored):
     text = plan(forecast.critical_objects(stored["objects"], stored["diagnostics"]))
     assert re.search(r"Exchange hashpartitioning\(pipeline_id.*\n.*WindowGroupLimit.*Partial", text)
@@ -121,6 +142,8 @@ JOINS = {
     "days": lambda d, o: forecast.days_since_first_defect(d),
     "alerts": lambda d, o: alerts.defect_alerts(d, o),
     "judged": lambda d, o: import_streams.judged(d, o),
+    "outcome": lambda d, o: import_streams.outcome(d.drop("diag_id").withColumnRenamed("object_id", "diag_id")
+                                                   .withColumn("reasons", F.array().cast("array<string>"))),
     "located": lambda d, o: latest.locate_on_trunkline(
         d.select(F.col("diag_id").alias("object_id"), F.col("object_id").cast("string").alias("pipeline_id"),
                  F.col("param1").alias("lat"), F.col("param2").alias("lon")).distinct()),

@@ -10,8 +10,8 @@ from trunkwatch.plans import imports
 from trunkwatch.sources import store, tables, workbooks
 
 ROWS = ("object_id,object_name,object_type,pipeline_id,lat,lon,year,material\n"
-        "1,Кран-001 «Щ»,crane,MT-01,50.0,60.0,2020,Ст3\n"
-        '2,"Участок, второй",pipeline_section,MT-02,52.5,62.0,2021.0,Ё№\n')
+        "1,Задвижка «Щ»,crane,L-9,47.25,31.5,1987,Ы7\n"
+        '2,"Отвод, левый",pipeline_section,L-4,-12.5,8.125,1994.0,Ё№\n')
 
 
 def write(path, content, encoding):
@@ -23,10 +23,10 @@ def write(path, content, encoding):
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1251"])
 def test_charsets_read_alike(spark, tmp_path, encoding):
     rows = dicts(tables.read_objects(spark, write(tmp_path / "папка с пробелом" / "o.csv", ROWS, encoding)).orderBy("object_id"))
-    assert [r["object_name"] for r in rows] == ["Кран-001 «Щ»", "Участок, второй"]
-    assert [r["material"] for r in rows] == ["Ст3", "Ё№"]
-    assert [r["year"] for r in rows] == [2020, 2021]
-    assert rows[1]["lat"] == 52.5 and rows[0]["object_id"] == 1
+    assert [r["object_name"] for r in rows] == ["Задвижка «Щ»", "Отвод, левый"]
+    assert [r["material"] for r in rows] == ["Ы7", "Ё№"]
+    assert [r["year"] for r in rows] == [1987, 1994]
+    assert rows[1]["lat"] == -12.5 and rows[0]["object_id"] == 1
 
 
 def test_each_file_has_its_own_charset(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_each_file_has_its_own_charset(spark, tmp_path):
     found = {r["file"].rsplit("/", 1)[1]: r["charset"] for r in dicts(tables.detect_charsets(spark, str(tmp_path)))}
     assert found == {"a.csv": tables.UTF8, "b.csv": tables.CP1251, "c.csv": tables.LATIN1}
     names = [r["object_name"] for r in dicts(tables.read_objects(spark, str(tmp_path)))]
-    assert sorted(names) == sorted(["Кран-001 «Щ»", "Участок, второй"] * 2 + ["\x98é"])
+    assert sorted(names) == sorted(["Задвижка «Щ»", "Отвод, левый"] * 2 + ["\x98é"])
 
 
 def test_columns_go_by_name(spark, tmp_path):
@@ -160,7 +160,7 @@ def test_imports_replace_and_log(spark, tmp_path):
     assert store.current(spark, root, "diagnostics").count() == 1  # still the former table
 
     short = imports.import_diagnostics(spark, write(tmp_path / "d3.csv", "diag_id,Method\n1,UZK\n", "utf-8"), root)
-    assert short.errors == ["Отсутствуют обязательные колонки: object_id, method, date, defect_found"]
+    assert short.errors == [s.ERR_MISSING_COLUMNS % ("object_id, method, date, defect_found", "diag_id, Method")]
 
     gone = imports.import_objects(spark, str(tmp_path / "none.csv"), root)
     assert (gone.success, gone.status) == (False, "ERROR")
@@ -207,3 +207,34 @@ def test_references_are_not_checked_without_objects(spark, tmp_path):
 def test_workbook_import(spark, tmp_path):
     workbook(tmp_path / "d.xlsx", [HEAD, [1, 5, "UZK", dt.date(2024, 2, 29), True, 12.5]])
     assert imports.import_diagnostics(spark, str(tmp_path / "d.xlsx"), str(tmp_path / "store"), "xlsx").success
+
+
+def test_odd_column_and_file_names(spark, tmp_path):
+    head, one, two = ROWS.split("\n")[:3]
+    write(tmp_path / "in" / "Objects[1].csv", f"{head},extra.note,a`b\n{one},x,y\n", "utf-8")
+    root = str(tmp_path / "store")
+    done = imports.import_objects(spark, str(tmp_path / "in"), root)
+    assert (done.status, done.rows_imported) == ("SUCCESS", 1)
+    write(tmp_path / "in" / "o{2}*.csv", f"{head},extra.note,a`b\n{two},x,y\n", "cp1251")
+    assert imports.import_objects(spark, str(tmp_path / "in"), root).rows_imported == 2
+
+
+def test_every_unknown_value_is_told(spark, tmp_path):
+    rows = "".join(f"{i},1,M{i:02},2024-01-01,true\n" for i in range(30))
+    done = imports.import_diagnostics(spark, write(tmp_path / "d.csv", DIAG + rows, "utf-8"), str(tmp_path / "store"))
+    assert done.success and done.warnings == [f"Неизвестные методы: [{', '.join(f'M{i:02}' for i in range(30))}]"]
+
+
+def test_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    parsed = spark.sparkContext.accumulator(0)
+    real = imports.read_batch
+
+    def counted(*args):
+        batch = real(*args)
+        count = lambda rows: [parsed.add(1) or r for r in rows]
+        return spark.createDataFrame(batch.rdd.mapPartitions(count), batch.schema)
+
+    monkeypatch.setattr(imports, "read_batch", counted)
+    rows = "".join(f"{i},{i % 7},UZK,2024-01-01,true\n" for i in range(500))
+    assert imports.import_diagnostics(spark, write(tmp_path / "d.csv", DIAG + rows, "utf-8"), str(tmp_path / "store")).success
+    assert parsed.value == 500

@@ -116,26 +116,43 @@ def unread_count(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count_if(~F.col("is_read")).alias("unread_count"))
 
 
+def _later_years(marks: DataFrame) -> DataFrame:
+    """For each year before a read-all, the first read-all of a later year."""
+    first = marks.groupBy(F.year("at").alias("y")).agg(F.min("at").alias("first"))
+    return (first.select(F.explode(F.sequence(F.lit(1), F.col("y") - 1)).alias("year"), "first")
+            .groupBy("year").agg(F.min("first").alias("later_year")))
+
+
 def _next_read_all(instants: DataFrame, read_alls: DataFrame) -> DataFrame:
     """For each instant the first read-all at or after it.
 
-    Instants are distinct and looked up within their own hour; what lies in later
-    hours comes from one row per hour. No window spans more than an hour's
-    distinct instants or the calendar's hours, whatever the number of alerts.
+    Looked up in its second first, then in later seconds of the minute, minutes of
+    the hour, and so on up to years. A window spans the distinct instants of a
+    second or the at most 366 parts of the next larger unit, whatever the number
+    of alerts and however many fall into one hour.
     """
-    by_hour = F.date_trunc("hour", "at")
-    marks = read_alls.select(F.col("event_at").alias("at")).distinct().withColumn("read_all_at", F.col("at"))
-    moments = (instants.withColumn("read_all_at", F.lit(None).cast("timestamp")).unionByName(marks)
-               .groupBy("at").agg(F.max("read_all_at").alias("read_all_at"))
-               .withColumn("hour", by_hour))
-    later_hours = Window.orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
-    hours = (moments.groupBy("hour").agg(F.min("read_all_at").alias("first_in_hour"))
-             .withColumn("first_later", F.last("first_in_hour", ignorenulls=True).over(later_hours))
-             .select("hour", "first_later"))
-    onwards = Window.partitionBy("hour").orderBy(F.desc("at"))
-    return (moments.withColumn("in_hour", F.last("read_all_at", ignorenulls=True).over(onwards))
-            .join(hours, "hour")
-            .select("at", F.coalesce("in_hour", "first_later").alias("read_all_at")))
+    marks = read_alls.where(F.col("event_at").isNotNull()).select(F.col("event_at").alias("at")).distinct()
+    moments = (instants.where(F.col("at").isNotNull()).withColumn("mark", F.lit(None).cast("timestamp"))
+               .unionByName(marks.withColumn("mark", F.col("at")))
+               .groupBy("at").agg(F.max("mark").alias("mark")))
+    parts = moments.groupBy(F.date_trunc("second", "at").alias("part")).agg(F.min("mark").alias("first"))
+    levels = [parts]
+    for unit in ("minute", "hour", "day", "year"):
+        levels.append(levels[-1].groupBy(F.date_trunc(unit, "part").alias("part")).agg(F.min("first").alias("first")))
+    years = levels.pop().withColumn("year", F.year("part"))
+    following = years.join(_later_years(marks), "year", "left").select(
+        F.col("part").alias("whole"), F.col("later_year").alias("beyond"))
+    for unit, level in zip(("year", "day", "hour", "minute"), reversed(levels)):
+        after = Window.partitionBy("whole").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+        within = (level.withColumn("whole", F.date_trunc(unit, "part"))
+                  .withColumn("later", F.last("first", ignorenulls=True).over(after)))
+        following = within.join(following, "whole").select(
+            F.col("part").alias("whole"), F.coalesce("later", "beyond").alias("beyond"))
+    onwards = Window.partitionBy("whole").orderBy(F.desc("at"))
+    return (moments.withColumn("whole", F.date_trunc("second", "at"))
+            .withColumn("own", F.last("mark", ignorenulls=True).over(onwards))
+            .join(following, "whole")
+            .select("at", F.coalesce("own", "beyond").alias("read_all_at")))
 
 
 def read_all_marks(events: DataFrame) -> DataFrame:

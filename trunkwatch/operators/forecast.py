@@ -18,6 +18,7 @@ from trunkwatch.schema import (
 
 HORIZON_DAYS = 365
 MIN_INSPECTIONS = 3
+HAS_LINE = "dated_defects >= 2"
 
 
 def days_since_first_defect(diagnostics: DataFrame) -> DataFrame:
@@ -48,13 +49,16 @@ def inspection_profile(diagnostics: DataFrame, as_of: str | None = None) -> Data
 
     The line runs over days since 1970: its slope is the same for any origin, and
     it is evaluated relative to the mean day. On a single day the slope is 0.
+    A defect without a usable date counts as a defect, but the line and the
+    latest depth are those of the dated ones.
     With ``as_of`` the defects of the year before it are counted too.
     """
     rows = (diagnostics.where(F.col("object_id").isNotNull())
             .select("object_id", "diag_id", is_defect().alias("defect"), inspected_on().alias("day"),
                     or_zero(F.col("param1")).alias("depth")))
-    day = F.when(F.col("defect"), F.col("day"))
-    depth = F.when(F.col("defect"), F.col("depth"))
+    dated = F.col("defect") & F.col("day").isNotNull()
+    day = F.when(dated, F.col("day"))
+    depth = F.when(dated, F.col("depth"))
     epoch_day = F.unix_date(day).cast("double")
     recent = [] if as_of is None else [F.count_if(in_last_year(day, as_of)).alias("recent")]
     folded = rows.groupBy("object_id").agg(
@@ -62,6 +66,7 @@ def inspection_profile(diagnostics: DataFrame, as_of: str | None = None) -> Data
         F.count("*").alias("inspections"),
         F.max("day").alias("last_inspection"),
         F.count_if("defect").alias("defect_count"),
+        F.count(day).alias("dated_defects"),
         F.max(day).alias("last_defect"),
         F.max_by(depth, recency(day, F.col("diag_id"))).alias("current_depth"),
         F.regr_slope(depth, epoch_day).alias("fitted"),
@@ -95,8 +100,8 @@ def risk_tier(predicted: Column, current: Column) -> dict[str, Column]:
 
 
 def depth_trend(diagnostics: DataFrame) -> DataFrame:
-    """Fitted line of every object with two defects or more."""
-    return (inspection_profile(diagnostics).where("defect_count >= 2")
+    """Fitted line of every object with two dated defects or more."""
+    return (inspection_profile(diagnostics).where(HAS_LINE)
             .select("object_id", "defect_count",
                     rounded(F.col("slope"), 4).alias("slope"),
                     rounded(F.col("current_depth"), 2).alias("current_depth"),
@@ -107,7 +112,7 @@ def depth_trend(diagnostics: DataFrame) -> DataFrame:
 def _forecast() -> dict[str, Column]:
     """Forecast columns over an inspection profile; the first branch that holds applies."""
     few = F.coalesce(F.col("inspections") < MIN_INSPECTIONS, F.lit(True))
-    clean, single = F.col("defect_count") == 0, F.col("defect_count") == 1
+    clean, single = F.col("defect_count") == 0, ~F.expr(HAS_LINE)
     tier = risk_tier(F.col("predicted_depth"), F.col("current_depth"))
 
     def branch(insufficient, no_defect, one_defect, fitted) -> Column:

@@ -44,13 +44,17 @@ def one_per_object(objects: DataFrame, *columns: str, apart: bool = False) -> Da
 def map_points(diagnostics: DataFrame, objects: DataFrame, *, pipeline_id: str | None = None,
                ml_label: str | None = None, method: str | None = None, defect_only: bool = True,
                date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """One point per object: its latest matching diagnostic at the object's place."""
-    rows = filter_diagnostics(diagnostics, objects, method=method, ml_label=ml_label,
+    """One point per object: its latest matching diagnostic at the object's place.
+
+    Only what a point shows is read and aggregated, and only of objects on the
+    line, once one is asked for.
+    """
+    rows = filter_diagnostics(diagnostics, objects, method=method, ml_label=ml_label, pipeline_id=pipeline_id,
                               defect_only=defect_only, date_from=date_from, date_to=date_to)
+    rows = rows.select("object_id", "date", "diag_id", "ml_label", "method", "defect_description", "quality_grade")
     if pipeline_id is not None:
         objects = objects.where(F.col("pipeline_id") == pipeline_id)
     places = one_per_object(objects, "object_name", "object_type", "lat", "lon", "pipeline_id")
-    # Only objects on the line matter once one is asked for.
     how = "left" if pipeline_id is None else "inner"
     points = clean_non_finite(latest_per_object(rows).join(places, "object_id", how))
     return points.select(

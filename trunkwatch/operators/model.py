@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -19,7 +20,6 @@ from trunkwatch.schema import FEATURES
 MIN_ROWS = 10
 TREES, DEPTH, SEED = 100, 10, 42
 ROWS_PER_PARTITION = 1_000_000
-MAX_LABELS = 100
 
 
 def defect_features(diagnostics: DataFrame, *keep: str) -> DataFrame:
@@ -43,6 +43,7 @@ class Fit:
     model: PipelineModel | None
     labels: list[str]
     metrics: DataFrame | None
+    fit_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def is_trained(self) -> bool:
@@ -56,15 +57,10 @@ def split(rows: DataFrame) -> DataFrame:
 
 
 def _weight_by_label(weights: DataFrame) -> Column:
-    """The weights as an expression. A forest takes few classes, so they fit in one;
-    a join would shuffle all rows by label, that is, to three tasks."""
-    rows = weights.limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
-    weight = F.lit(None).cast("double")
-    for row in rows:
-        weight = F.when(F.col("label_text") == row["ml_label"], row["weight"]).otherwise(weight)
-    return weight
+    """The weight of a row's label, from one map. The model keeps every label on the
+    driver, so their map fits; a join would shuffle all rows by label."""
+    entries = F.map_from_entries(F.collect_list(F.struct("ml_label", "weight")))
+    return F.element_at(weights.agg(entries).scalar(), F.col("label_text"))
 
 
 def train(diagnostics: DataFrame) -> Fit:
@@ -110,13 +106,6 @@ def _metrics(scored: DataFrame, labels: list[str]) -> DataFrame:
         "train_accuracy double, test_accuracy double, n_samples long, classes array<string>")
 
 
-def _spread(rows: DataFrame) -> DataFrame:
-    """Deals the rows of a few files out to all cores, as a forest costs far more
-    per row than moving it. Large inputs have partitions enough and stay put."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, "diag_id") if rows.rdd.getNumPartitions() < cores else rows
-
-
 def score(fit: Fit, diagnostics: DataFrame) -> DataFrame:
     """Label, confidence and probability per label, both in percent, of every row.
 
@@ -128,7 +117,7 @@ def score(fit: Fit, diagnostics: DataFrame) -> DataFrame:
             "diag_id", label.alias("ml_label"), F.lit(100.0).alias("confidence"),
             F.create_map(label, F.lit(1.0)).alias("probabilities"),
             F.lit("rule_based").alias("model_type"))
-    forest_input = _spread(defect_features(diagnostics, "diag_id"))
+    forest_input = defect_features(diagnostics, "diag_id")
     share = vector_to_array("probability")
     scored = PipelineModel(fit.model.stages[1:]).transform(forest_input)
     names = F.array(*[F.lit(name) for name in fit.labels])

@@ -146,6 +146,20 @@ def import_diagnostics(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return store.current(objects.sparkSession, root, "diagnostics")
 
 
+@query("objects", "diagnostics")
+def import_and_train(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Diagnostics imported and the classifier fitted anew on what came into force."""
+    spark = objects.sparkSession
+    root = work_folder(spark, "store")
+    _as_csv(objects).csv(f"{root}/drop/objects.csv")
+    _as_csv(diagnostics).csv(f"{root}/drop/diagnostics.csv")
+    imports.import_objects(spark, f"{root}/drop/objects.csv", root)
+    result, fit = imports.import_and_train(spark, f"{root}/drop/diagnostics.csv", root)
+    stored = store.current(spark, root, "diagnostics").agg(F.count("*").alias("n_stored"))
+    return stored.select(F.lit(result.status).alias("status"), F.lit(result.rows_imported).cast("long").alias("rows_imported"),
+                         "n_stored", F.lit(fit.is_trained).alias("is_trained"))
+
+
 @query("objects", "diagnostics_dirty")
 def import_log(objects: DataFrame, dirty: DataFrame) -> DataFrame:
     """Log of a good run, a rejected one and one without a file."""
@@ -248,7 +262,8 @@ add("startup_validation", quality.validate_at_startup, "objects_dirty", "diagnos
 
 add("list_trunklines", lambda pipelines: pipelines, "pipelines")
 add("list_objects", listing.list_objects, "objects", pipeline_id=LINE, object_type="crane")
-add("object_profile", listing.object_profile, "objects")
+add("object_profile", listing.object_profile, "objects", object_id=7)
+add("object_profiles", listing.object_profile, "objects")
 add("list_diagnostics", listing.list_diagnostics, "diagnostics", "objects",
     defect_only=True, date_from="1996-01-01", date_to="2000-12-31")
 add("filter_date_range", listing.date_range, "diagnostics", date_from="1997-01-01", date_to="1998-12-31")
@@ -420,12 +435,50 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.feature_importance(spark, fitted(spark, sf_dir))
 
 
-for _build in (train_model, model_accuracy, score_defects, feature_importance):
+def accuracy_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the accuracies lie in their bands, next to the number of rows they are of."""
+    return model_accuracy(spark, sf_dir).select(
+        "n_samples", F.col("train_accuracy").between(0.97, 1.0).alias("train_in_band"),
+        F.col("test_accuracy").between(0.93, 1.0).alias("test_in_band"))
+
+
+def score_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows scored, and how many of them break what holds of every score."""
+    shares = F.array(*[F.col(f"p_{c}") for c in s.RISK_LABELS])
+    own = F.element_at(F.map_from_arrays(F.array(*map(F.lit, s.RISK_LABELS)), shares), F.col("ml_label"))
+    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+    return score_defects(spark, sf_dir).agg(
+        F.count("*").alias("n_rows"), F.count_distinct("diag_id").alias("n_ids"),
+        F.count_if(own < F.array_max(shares)).alias("n_not_likeliest"),
+        F.count_if(F.abs(total - 100) > 1e-6).alias("n_not_whole"),
+        F.count_if(F.abs(F.col("confidence") - F.array_max(shares)) > 0.0051).alias("n_wrong_confidence"),
+        F.count_if(F.col("model_type") != "ml").alias("n_by_rule"))
+
+
+def untrained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores without a model, which the rules decide."""
+    scored = model.score(model.Fit(None, [], None), view(spark, sf_dir, "diagnostics"))
+    return scored.select("diag_id", "ml_label", "confidence", "model_type",
+                         F.element_at("probabilities", F.col("ml_label")).alias("probability"))
+
+
+def importance_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs named, whether their importances sum to 1, and whether any is negative."""
+    return feature_importance(spark, sf_dir).agg(
+        F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("features"),
+        (F.abs(F.sum("importance") - 1) < 1e-9).alias("sums_to_one"),
+        F.count_if(F.col("importance") < 0).alias("n_negative"))
+
+
+for _build in (train_model, model_accuracy, score_defects, feature_importance, accuracy_check, score_check,
+               untrained_scores, importance_check):
     QUERIES[_build.__name__] = _build
 
 # --- forecast ------------------------------------------------------------------------------
 
 add("depth_trend", forecast.depth_trend, "diagnostics")
+add("depth_trend_dirty", forecast.depth_trend, "diagnostics_dirty")
+add("object_forecast_dirty", forecast.object_forecast, "objects", "diagnostics_dirty")
 
 
 @query("objects", "diagnostics")
@@ -436,7 +489,7 @@ def trend_class(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
 
 @query("diagnostics")
 def risk_tier(diagnostics: DataFrame) -> DataFrame:
-    fitted_lines = forecast.inspection_profile(diagnostics).where("defect_count >= 2")
+    fitted_lines = forecast.inspection_profile(diagnostics).where(forecast.HAS_LINE)
     tier = forecast.risk_tier(F.col("predicted_depth"), F.col("current_depth"))
     return fitted_lines.select("object_id", *[v.alias(n) for n, v in tier.items()])
 
@@ -482,13 +535,25 @@ def report_alerts(pipelines: DataFrame) -> DataFrame:
 
 def training_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.training_alerts(fitted(spark, sf_dir).metrics.select(
-        F.col("n_samples").cast("string").alias("fit_id"), F.col("test_accuracy").alias("accuracy"),
+        F.lit(fitted(spark, sf_dir).fit_id).alias("fit_id"), F.col("test_accuracy").alias("accuracy"),
         F.lit(len(s.FEATURES)).alias("features_count")))
 
 
 QUERIES["training_alerts"] = training_alerts
 
 
+def training_alert_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of the training alert, whatever the fit."""
+    told = F.regexp_extract("message", r"([0-9.]+)%", 1).cast("double")
+    return training_alerts(spark, sf_dir).agg(
+        F.count("*").alias("n_alerts"), F.count_if(F.col("type") == "success").alias("n_success"),
+        F.max("features_count").alias("features_count"),
+        F.count_if(F.abs(told - F.col("accuracy") * 100) > 0.0051).alias("n_wrong_accuracy"))
+
+
+QUERIES["training_alert_check"] = training_alert_check
+
+
 @query("alert_events")
 def list_alerts(events: DataFrame) -> DataFrame:
     return _as_text(alerts.list_alerts(alerts.current_alerts(events), unread_only=True, limit=50))
@@ -513,28 +578,26 @@ def unread_count(events: DataFrame) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------
 
 def _drop_folder(diagnostics: DataFrame) -> str:
+    """The table as a drop folder of several files."""
     folder = work_folder(diagnostics.sparkSession, "stream")
-    tables.complete(diagnostics, s.DIAGNOSTICS).write.parquet(f"{folder}/drop")
+    tables.complete(diagnostics, s.DIAGNOSTICS).repartition(6).write.parquet(f"{folder}/drop")
     return folder
 
 
 @query("diagnostics_dirty", "objects")
 def stream_import(diagnostics: DataFrame, objects: DataFrame) -> DataFrame:
+    """Six files in three batches; repeated keys lie in different ones."""
     spark, folder = diagnostics.sparkSession, _drop_folder(diagnostics)
-    accepted, quarantine = f"{folder}/accepted", f"{folder}/quarantine"
-    stream = import_streams.watch(spark, f"{folder}/drop")
-    import_streams.stream_import(stream, objects, accepted, quarantine, f"{folder}/state").awaitTermination()
-    names = ["diag_id", "object_id", "date", "is_accepted", "reasons"]
-    good = (spark.read.parquet(accepted)
-            .withColumns({"is_accepted": F.lit(True), "reasons": F.lit("")}))
-    bad = (spark.read.parquet(quarantine)
-           .withColumns({"is_accepted": F.lit(False), "reasons": F.array_join("reasons", ",")}))
-    return good.select(names).unionByName(bad.select(names))
+    stream = import_streams.watch(spark, f"{folder}/drop", files_per_batch=2)
+    import_streams.stream_import(stream, objects, f"{folder}/arrived", f"{folder}/state").awaitTermination()
+    rows = import_streams.outcome(import_streams.arrivals(spark, f"{folder}/arrived"))
+    return rows.select("diag_id", "object_id", "date", (F.size("reasons") == 0).alias("is_accepted"),
+                       F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("diagnostics", "objects")
 def stream_defect_alerts(diagnostics: DataFrame, objects: DataFrame) -> DataFrame:
     spark, folder = diagnostics.sparkSession, _drop_folder(diagnostics)
-    stream = import_streams.watch(spark, f"{folder}/drop")
-    alert_streams.stream_alerts(stream, objects, f"{folder}/alerts", f"{folder}/state").awaitTermination()
-    return spark.read.parquet(f"{folder}/alerts")
+    stream = import_streams.watch(spark, f"{folder}/drop", files_per_batch=2)
+    alert_streams.stream_alerts(stream, objects, f"{folder}/log", f"{folder}/state").awaitTermination()
+    return alert_streams.defect_alerts_of(alert_streams.alert_events(spark, f"{folder}/log"))

@@ -20,7 +20,7 @@ _LISTS = {
     "unknown_quality_grade": (s.WARN_GRADES, "quality_grade", s.QUALITY_GRADES),
     "unknown_ml_label": (s.WARN_LABELS, "ml_label", s.RISK_LABELS),
 }
-_SHOWN = 10
+PREVIEW_ROWS = 10
 
 # Rows that are looked up together lie together: a lookup by object skips the
 # other files, and an aggregate by object is nearly done before its shuffle.
@@ -30,8 +30,8 @@ _LAYOUT = {"objects": ["pipeline_id", "object_id"], "diagnostics": ["object_id",
 
 @dataclass
 class ImportResult:
-    """What a run did. Messages name a few offending values;
-    :func:`quality.offending_values` lists them all."""
+    """What a run did. Warnings name every unknown value; a rejected batch stays at
+    ``staged_path`` until :func:`discard`."""
     success: bool = False
     status: str = store.FAILED
     rows_imported: int = 0
@@ -61,9 +61,9 @@ def _examples(one_row: DataFrame) -> str:
 
 def _list_message(df: DataFrame, rule: str) -> str:
     text, column, allowed = _LISTS[rule]
-    rows = quality.offending_values(df, column, allowed).orderBy("value").limit(_SHOWN + 1).collect()
-    shown = ["null" if r["value"] is None else r["value"] for r in rows[:_SHOWN]]
-    return f"{text}: [{', '.join(shown + ['...'] * (len(rows) > _SHOWN))}]"
+    # the message is the list of the distinct values, as long as that is
+    rows = quality.offending_values(df, column, allowed).orderBy("value").select("value").toLocalIterator()
+    return f"{text}: [{', '.join('null' if value is None else value for value, in rows)}]"
 
 
 def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None) -> str:
@@ -87,7 +87,8 @@ def check(df: DataFrame, table: str, objects: DataFrame | None) -> tuple[list[st
     """Errors and warnings of a batch; a missing column ends the check at once."""
     missing = quality.missing_columns(df.columns, table)
     if missing:
-        return [s.ERR_MISSING_COLUMNS % ", ".join(missing)], []
+        there = [name for name in df.columns if name != UNREADABLE]
+        return [s.ERR_MISSING_COLUMNS % (", ".join(missing), ", ".join(there))], []
     found = (quality.validate_objects(df) if table == "objects"
              else quality.validate_diagnostics(df, objects))
     rows = found.where("n_bad > 0").orderBy("rule").collect()  # one row per rule
@@ -109,25 +110,25 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
                  fmt: str = "csv") -> ImportResult:
     """Replaces a stored table by the batch at ``path`` unless the batch has errors.
 
-    The batch is parsed once, into the columnar files that would become the new
-    version. Checks read only the columns they need from there. The version
-    counts from the moment its row is in the log; a rejected one never does and
-    stays at ``staged_path`` for a look at what was wrong.
+    The batch is parsed once, into columnar files in the order of arrival. Checks
+    read only the columns they need from there. Only a batch that passes is laid
+    out by key, as the new version, which counts from the moment its row is in the
+    log. A rejected one stays at ``staged_path`` for a look at what was wrong.
     """
     result = ImportResult()
     version = f"v-{uuid.uuid4().hex}"
     entry = {"run_id": version, "table_name": table, "file": path.rstrip("/").rsplit("/", 1)[-1]}
     try:
-        result.staged_path = store.version_path(root, table, version)
-        batch = read_batch(spark, path, table, fmt)
-        result.preview = batch.drop(UNREADABLE).limit(_SHOWN).collect()
-        laid_out(batch, table).write.parquet(result.staged_path)
+        result.staged_path = f"{root.rstrip('/')}/staging/{version}"
+        read_batch(spark, path, table, fmt).write.parquet(result.staged_path)
         staged = spark.read.parquet(result.staged_path)
+        result.preview = staged.drop(UNREADABLE).limit(PREVIEW_ROWS).collect()
         objects = store.current(spark, root, "objects") if table == "diagnostics" else None
         result.errors, result.warnings = check(staged, table, objects)
         if result.errors:
             entry |= {"errors": result.errors}
         else:
+            laid_out(staged, table).write.parquet(store.version_path(root, table, version))
             result.success, result.status = True, store.SUCCESS
             result.rows_imported = staged.count()
             entry |= {"rows": result.rows_imported, "version": version}
@@ -137,9 +138,19 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
         entry |= {"errors": [str(error)], "version": None, "rows": None}
     entry |= {"status": result.status, "timestamp": dt.datetime.now(dt.timezone.utc)}
     store.append_log(spark, root, entry)
+    if result.success:
+        discard(spark, result)
     return result
 
 
+def discard(spark: SparkSession, result: ImportResult) -> None:
+    """Deletes the staged files of a run; they are no part of the store."""
+    if result.staged_path:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(result.staged_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        result.staged_path = None
+
+
 def import_objects(spark: SparkSession, path: str, root: str, fmt: str = "csv") -> ImportResult:
     return import_table(spark, path, root, "objects", fmt)
 

@@ -33,6 +33,9 @@ oracle("import_preview", O, """
     FROM objects ORDER BY object_id LIMIT 10""")
 oracle("import_objects", O, "SELECT * FROM objects")
 oracle("import_diagnostics", D, "SELECT * FROM diagnostics")
+oracle("import_and_train", D, """
+    SELECT 'SUCCESS' AS status, count(*) AS rows_imported, count(*) AS n_stored,
+           count(*) FILTER (defect_found AND ml_label IS NOT NULL) >= 10 AS is_trained FROM diagnostics""")
 _LOG = """log AS (
     SELECT 'objects' AS table_name, 'objects.csv' AS file, 'SUCCESS' AS status,
            (SELECT count(*) FROM objects) AS rows, 0 AS n_errors
@@ -132,7 +135,8 @@ oracle("startup_validation", DD + OD,
 _ON_LINE = f"object_id IN (SELECT object_id FROM objects WHERE pipeline_id = '{LINE}')"
 oracle("list_trunklines", P, "SELECT * FROM pipelines")
 oracle("list_objects", O, f"SELECT * FROM objects WHERE pipeline_id = '{LINE}' AND object_type = 'crane'")
-oracle("object_profile", O, "SELECT * FROM objects")
+oracle("object_profile", O, "SELECT * FROM objects WHERE object_id = 7")
+oracle("object_profiles", O, "SELECT * FROM objects")
 oracle("list_diagnostics", D + O, """
     SELECT d.*, object_name, lat, lon, pipeline_id
     FROM (SELECT * FROM diagnostics
@@ -272,6 +276,12 @@ oracle("rule_based_class", D, """
                       WHEN quality_grade = 'недопустимо' OR param1 > 50 THEN 'high'
                       WHEN quality_grade = 'требует_мер' OR param1 > 30 THEN 'medium'
                       ELSE 'normal' END AS ml_label FROM diagnostics)""")
+oracle("untrained_scores", D, """
+    SELECT diag_id, CASE WHEN NOT defect_found THEN 'normal'
+                         WHEN quality_grade = 'недопустимо' OR param1 > 50 THEN 'high'
+                         WHEN quality_grade = 'требует_мер' OR param1 > 30 THEN 'medium'
+                         ELSE 'normal' END AS ml_label,
+           100.0::double AS confidence, 'rule_based' AS model_type, 1.0::double AS probability FROM diagnostics""")
 _SCORE = ("CASE quality_grade WHEN 'допустимо' THEN 2 WHEN 'требует_мер' THEN 3 "
           "WHEN 'недопустимо' THEN 4 ELSE 1 END")
 _CRITICAL = f"CASE WHEN method IN {_in(s.CRITICAL_METHODS)} THEN 1 ELSE 0 END"
@@ -341,26 +351,40 @@ oracle("class_weights", D, """
     FROM (SELECT ml_label, count(*) AS n FROM diagnostics WHERE defect_found GROUP BY ml_label)""")
 oracle("train_model", D, """
     SELECT count(*) AS n_samples, string_agg(DISTINCT ml_label, ',' ORDER BY ml_label) AS classes,
-           true AS is_trained FROM diagnostics WHERE defect_found""")
+           count(*) >= 10 AS is_trained FROM diagnostics WHERE defect_found""")
+oracle("accuracy_check", D, """
+    SELECT count(*) AS n_samples, true AS train_in_band, true AS test_in_band
+    FROM diagnostics WHERE defect_found AND ml_label IS NOT NULL""")
+oracle("score_check", D, """
+    SELECT count(*) AS n_rows, count(DISTINCT diag_id) AS n_ids, 0::bigint AS n_not_likeliest,
+           0::bigint AS n_not_whole, 0::bigint AS n_wrong_confidence, 0::bigint AS n_by_rule FROM diagnostics""")
+oracle("importance_check", D, f"""
+    SELECT string_agg(f, ',' ORDER BY f) AS features, true AS sums_to_one, 0::bigint AS n_negative
+    FROM features""", "features AS (SELECT unnest([" + ", ".join(f"'{f}'" for f in s.FEATURES) + "]) AS f)")
+oracle("training_alert_check", D, f"""
+    SELECT 1::bigint AS n_alerts, 1::bigint AS n_success, count(*)::int AS features_count, 0::bigint AS n_wrong_accuracy
+    FROM features""", "features AS (SELECT unnest([" + ", ".join(f"'{f}'" for f in s.FEATURES) + "]) AS f)")
 
 # --- forecast ---------------------------------------------------------------------------------------------
 _HISTORY = """history AS (
     SELECT object_id, count(*) AS inspections, max(cast(date AS date)) AS last_day,
-           count(*) FILTER (defect_found) AS n
-    FROM diagnostics GROUP BY object_id)"""
+           count(*) FILTER (defect_found) AS n, count(*) FILTER (defect_found AND cast(date AS date) IS NOT NULL) AS dated
+    FROM diagnostics GROUP BY object_id)""".replace("cast(date AS date)", "try_cast(date AS date)")
 _FIT = """points AS (
     SELECT object_id, diag_id, cast(date AS date) AS d, coalesce(param1, 0) AS depth,
            datediff('day', min(cast(date AS date)) OVER (PARTITION BY object_id), cast(date AS date))::double AS x
-    FROM diagnostics WHERE defect_found),
+    FROM diagnostics WHERE defect_found AND cast(date AS date) IS NOT NULL),
+defects AS (SELECT object_id, count(*) AS all_defects FROM diagnostics WHERE defect_found GROUP BY object_id),
 fit AS (
-    SELECT object_id, slope, intercept + slope * (last_x + 365) AS predicted, current_depth, n
+    SELECT object_id, slope, intercept + slope * (last_x + 365) AS predicted, current_depth, all_defects AS n
     FROM (SELECT object_id, count(*) AS n, max(x) AS last_x,
                  CASE WHEN var_pop(x) = 0 THEN 0 ELSE regr_slope(depth, x) END AS slope,
                  CASE WHEN var_pop(x) = 0 THEN avg(depth) ELSE regr_intercept(depth, x) END AS intercept
           FROM points GROUP BY object_id)
     JOIN (SELECT object_id, depth AS current_depth FROM points
           QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY d DESC, diag_id DESC) = 1) USING (object_id)
-    WHERE n >= 2)"""
+    JOIN defects USING (object_id)
+    WHERE n >= 2)""".replace("cast(date AS date)", "try_cast(date AS date)")
 
 
 def _tier(high, medium, low) -> str:
@@ -370,7 +394,7 @@ def _tier(high, medium, low) -> str:
 
 def _branch(few, clean, single, fitted) -> str:
     return (f"CASE WHEN coalesce(inspections, 0) < 3 THEN {few} WHEN h.n = 0 THEN {clean} "
-            f"WHEN h.n = 1 THEN {single} ELSE {fitted} END")
+            f"WHEN h.dated < 2 THEN {single} ELSE {fitted} END")
 
 
 def _places(value: str, digits: int) -> str:
@@ -396,15 +420,19 @@ _FORECAST = f"""forecast AS (
     FROM objects o LEFT JOIN history h USING (object_id) LEFT JOIN fit f USING (object_id))"""
 _F = (_HISTORY, _FIT, _FORECAST)
 
-oracle("depth_trend", D, f"""
+_LINES = f"""
     SELECT object_id, n AS defect_count, {_places('slope', 4)} AS slope, {_places('current_depth', 2)} AS current_depth,
-           {_places('predicted', 2)} AS predicted_depth, {_TREND} AS trend FROM fit""", _FIT)
+           {_places('predicted', 2)} AS predicted_depth, {_TREND} AS trend FROM fit"""
+oracle("depth_trend", D, _LINES, _FIT)
+oracle("depth_trend_dirty", DD, _LINES, _FIT.replace("FROM diagnostics", "FROM diagnostics_dirty"))
 oracle("risk_tier", D, f"""
     SELECT object_id, {_tier(0.85, 0.65, 0.25)}::double AS risk_probability, {_tier(90, 180, 365)} AS days_ahead,
            {_tier("'UZK'", "'UZK'", "'VIK'")} AS recommended_method,
            {_tier(f"'{s.MSG_HIGH}'", f"'{s.MSG_MEDIUM}'", f"'{s.MSG_LOW}'")} AS message FROM fit""", _FIT)
 oracle("object_forecast", O + D,
        "SELECT * EXCLUDE (object_name, object_type, pipeline_id) FROM forecast", *_F)
+oracle("object_forecast_dirty", O + DD, "SELECT * EXCLUDE (object_name, object_type, pipeline_id) FROM forecast",
+       *[part.replace("FROM diagnostics", "FROM diagnostics_dirty") for part in _F])
 oracle("trend_class", O + D,
        "SELECT trend, count(*) AS objects FROM forecast WHERE trend IS NOT NULL GROUP BY trend", *_F)
 oracle("next_inspection_date", O + D, "SELECT object_id, next_inspection_date FROM forecast", *_F)

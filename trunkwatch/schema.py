@@ -132,12 +132,14 @@ ALERT_REPORT = "Отчет (%s) для трубопровода %s успешн
 ALERT_TRAINING = "ML модель обучена. Точность: %.2f%%, признаков: %d"
 
 # --- fixed values: import messages (printf-style) -----------------------------
-ERR_MISSING_COLUMNS = "Отсутствуют обязательные колонки: %s"
+ERR_MISSING_COLUMNS = ("❌ Отсутствуют обязательные колонки: %s\n"
+                       "📋 Найденные колонки в файле: %s\n"
+                       "💡 Скачайте шаблон и проверьте названия колонок (регистр важен!)")
 ERR_DUPLICATES = "Дублирующиеся %s: [%s]"
 ERR_LATITUDE = "Некорректные значения широты (должны быть от -90 до 90)"
 ERR_LONGITUDE = "Некорректные значения долготы (должны быть от -180 до 180)"
 ERR_ORPHANS = "Ссылки на несуществующие object_id: [%s]"
-ERR_READ = "Ошибка чтения файла: %s"
+ERR_READ = "Критическая ошибка: %s"
 WARN_TYPES = "Неизвестные типы объектов"
 WARN_METHODS = "Неизвестные методы"
 WARN_GRADES = "Неизвестные оценки качества"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from urllib.parse import unquote
 
@@ -23,6 +24,11 @@ AS_LATIN1 = _HIGH_BYTES.decode("latin1")
 AS_CP1251 = "".join(bytes([b]).decode("cp1251", errors="ignore") or chr(b) for b in _HIGH_BYTES)
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean_header(name: str) -> str:
     return name.replace("\ufeff", "").replace("\u200b", "").strip()
 
@@ -57,6 +63,11 @@ def _from_cp1251(text: str) -> str:
     return text.translate(str.maketrans(AS_LATIN1, AS_CP1251))
 
 
+def _as_path(file: str) -> str:
+    """A file's path with what a glob would take for a pattern escaped."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file))
+
+
 def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str,
                       multi_line: bool) -> DataFrame:
     """CSV files of one charset with all columns as text, headers cleaned.
@@ -73,7 +84,7 @@ def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str,
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     df = reader.schema(schema).option("enforceSchema", False).csv(paths)
     if charset == CP1251:
-        df = df.select([F.translate(F.col(f"`{name}`"), AS_LATIN1, AS_CP1251)
+        df = df.select([F.translate(named(name), AS_LATIN1, AS_CP1251)
                         .alias(_from_cp1251(name)) for name in header])
     return clean_headers(df)
 
@@ -81,26 +92,32 @@ def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str,
 def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder as text columns, each file in its own charset.
 
-    Only the kind of each file comes to the driver, not its content.
+    Files that are all of one kind, as they mostly are, are read as the folder they
+    are in. Only where kinds mix are they read by name, kind by kind.
     """
-    kinds: dict[tuple[str, bool], list[str]] = {}
-    for row in detect_charsets(spark, path).collect():
-        kinds.setdefault((row["charset"], row["multi_line"]), []).append(unquote(row["file"]))
+    files = detect_charsets(spark, path)
+    kinds = [(r["charset"], r["multi_line"]) for r in files.select("charset", "multi_line").distinct().collect()]
     if not kinds:
         raise ValueError(f"no CSV rows below {path}")
-    frames = [_read_csv_as_text(spark, sorted(paths), *kind) for kind, paths in sorted(kinds.items())]
+    if len(kinds) == 1:
+        return _read_csv_as_text(spark, [path], *kinds[0])
+    paths: dict[tuple[str, bool], list[str]] = {kind: [] for kind in sorted(kinds)}
+    for row in files.toLocalIterator():
+        paths[row["charset"], row["multi_line"]].append(_as_path(row["file"]))
+    frames = [_read_csv_as_text(spark, sorted(own), *kind) for kind, own in paths.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def _missing(name: str) -> Column:
     texts = ", ".join(f"'{text}'" for text in MISSING)
-    return F.expr(f"`{name}` IN ({texts})")
+    quoted = name.replace("`", "``")
+    return F.expr(f"`{quoted}` IN ({texts})")
 
 
 def _typed(name: str, wanted: T.DataType) -> Column:
-    text = F.trim(F.col(name))
+    text = F.trim(named(name))
     if isinstance(wanted, T.StringType):
-        return F.col(name)
+        return named(name)
     if isinstance(wanted, (T.LongType, T.IntegerType)):
         number = text.try_cast("double")
         whole = F.when(number == F.floor(number), number.try_cast(wanted))
@@ -112,12 +129,12 @@ def conform(df: DataFrame, schema: T.StructType, mark: bool = False) -> DataFram
     """Text columns cast to their declared types; missing and unreadable values
     become null, undeclared columns stay text. ``mark`` adds the names of the
     columns whose value got lost in a row."""
-    df = df.select([F.when(~_missing(c), F.col(f"`{c}`")).alias(c) for c in df.columns])
+    df = df.select([F.when(~_missing(c), named(c)).alias(c) for c in df.columns])
     wanted = {f.name: f.dataType for f in schema.fields}
     typed = {c: _typed(c, wanted[c]) for c in df.columns if c in wanted}
-    columns = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
+    columns = [typed[c].alias(c) if c in typed else named(c) for c in df.columns]
     if mark:
-        lost = [F.when((F.trim(F.col(c)) != "") & value.isNull(), c)
+        lost = [F.when((F.trim(named(c)) != "") & value.isNull(), c)
                 for c, value in typed.items() if not isinstance(wanted[c], T.StringType)]
         columns.append(F.array_compact(F.array(*lost)).cast("array<string>").alias(UNREADABLE))
     return df.select(columns)

@@ -1,29 +1,49 @@
-"""Defect alerts as diagnostics arrive, one per diagnostic."""
+"""Defect alerts as diagnostics arrive, one per diagnostic for good."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trunkwatch.operators.alerts import defect_alerts
+from trunkwatch import schema as s
+from trunkwatch.operators.alerts import created_events, defect_alerts
 from trunkwatch.operators.listing import defects_only
+from trunkwatch.sources.tables import complete
 
+DETAILS = ("pipeline_id", "object_id", "risk_level", "category")
 
-def alert_stream(stream: DataFrame, objects: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Alerts of a stream of diagnostics. A diagnostic seen twice within ``delay``
-    alerts once.
 
-    The watermark runs on the time of arrival: inspection dates may be years old,
-    and by them nearly every row would be late.
+def log_alerts(batch: DataFrame, batch_id: int, objects: DataFrame, log: str) -> None:
+    """Appends the created events of one batch, in a folder of its own, so a repeated
+    batch replaces itself. The join is a batch join, whose hot objects are split."""
+    events = created_events(defect_alerts(batch, objects), F.current_timestamp(), *DETAILS)
+    complete(events, s.ALERT_EVENTS).write.mode("overwrite").parquet(f"{log}/batch_id={batch_id}")
+
+
+def stream_alerts(stream: DataFrame, objects: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Writes the alerts of a stream of diagnostics to an event log.
+
+    An alert's id comes from its diagnostic, and the log is read as a fold by that
+    id: a diagnostic that is delivered again, however late, adds no second alert.
+    The stream keeps no state.
     """
-    arriving = (defects_only(stream).withColumn("arrived_at", F.current_timestamp())
-                .withWatermark("arrived_at", delay)
-                .dropDuplicatesWithinWatermark(["diag_id"]))
-    return defect_alerts(arriving, objects)
+    def one(batch: DataFrame, batch_id: int) -> None:
+        log_alerts(batch, batch_id, objects, log)
+
+    return (defects_only(stream).writeStream.foreachBatch(one)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def alert_events(spark: SparkSession, log: str) -> DataFrame:
+    """The log as the event table that the alert operators fold."""
+    return spark.read.schema(s.ALERT_EVENTS).parquet(log)
 
 
-def stream_alerts(stream: DataFrame, objects: DataFrame, target: str, checkpoint: str,
-                  delay: str = "1 hour") -> StreamingQuery:
-    return (alert_stream(stream, objects, delay).writeStream.format("parquet")
-            .option("path", target).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+def defect_alerts_of(events: DataFrame) -> DataFrame:
+    """The defect alerts of a log, each once, as they were first created."""
+    first = F.min_by(F.struct("message", "type", "metadata"), "event_at").alias("alert")
+    details = F.col("alert.metadata")
+    return (events.where(F.col("action") == "created").groupBy("alert_id").agg(first)
+            .select("alert_id", "alert.message", "alert.type", details["pipeline_id"].alias("pipeline_id"),
+                    details["object_id"].cast("long").alias("object_id"),
+                    details["risk_level"].alias("risk_level"), details["category"].alias("category")))

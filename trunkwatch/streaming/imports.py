@@ -1,13 +1,13 @@
 """Drop folder of diagnostics files: good rows appended, bad rows set aside.
 
 Unlike an import of a whole table nothing is replaced and one bad row does not
-hold up the others.
+hold up the others. Rows are kept as they arrive; which of them count is read off
+the whole of them.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from trunkwatch.functions.cleaning import inspected_on
@@ -15,6 +15,7 @@ from trunkwatch.operators.listing import group_apart
 from trunkwatch.schema import DIAGNOSTICS
 
 REASONS = "reasons"
+_ARRIVED = T.StructType([*DIAGNOSTICS.fields, T.StructField(REASONS, T.ArrayType(T.StringType()))])
 
 
 def watch(spark: SparkSession, folder: str, fmt: str = "parquet", files_per_batch: int = 1000) -> DataFrame:
@@ -27,45 +28,63 @@ def watch(spark: SparkSession, folder: str, fmt: str = "parquet", files_per_batc
 
 
 def _row_reasons() -> Column:
-    """The rules that a row breaks; what an import only warns of is let through,
-    but a row without a usable key or date is not."""
+    """The rules that a row breaks on its own; what an import only warns of is let
+    through, but a row without a usable key or date is not."""
     def broken(name: str, bad: Column) -> Column:
         return F.when(bad, F.lit(name))
 
     return F.array_compact(F.array(
         broken("null_diag_id", F.col("diag_id").isNull()),
         broken("invalid_date", inspected_on().isNull()),
-        broken("duplicate_diag_id", F.col("times") > 1),
         broken("orphan_object_id", F.col("known").isNull())))
 
 
 def judged(batch: DataFrame, objects: DataFrame) -> DataFrame:
-    """Rows with the rules they break. All rows of a repeated key are bad, since
-    nothing tells the right one; counting by key needs no group in one place."""
+    """Rows with the rules that each breaks whatever else has arrived."""
     known = group_apart(objects, "object_id").agg(F.lit(True).alias("known")).drop("shard")
-    times = (group_apart(batch.where(F.col("diag_id").isNotNull()), "diag_id")
+    return batch.join(known, "object_id", "left").select(*batch.columns, _row_reasons().alias(REASONS))
+
+
+def keep(batch: DataFrame, batch_id: int, objects: DataFrame, arrived: str) -> None:
+    """Writes one judged batch into a folder of its own, so a repeated batch replaces itself."""
+    judged(batch, objects).write.mode("overwrite").parquet(f"{arrived}/batch_id={batch_id}")
+
+
+def outcome(arrived: DataFrame) -> DataFrame:
+    """All rows that arrived, with all the rules they break.
+
+    All rows of a repeated key are bad, since nothing tells the right one. Keys are
+    counted over everything that arrived, so the outcome does not depend on how
+    files were dealt to batches; a late copy takes back what was good until then.
+    """
+    times = (group_apart(arrived.where(F.col("diag_id").isNotNull()), "diag_id")
              .agg(F.count("*").alias("times")).drop("shard"))
-    return (batch.join(times, "diag_id", "left").join(known, "object_id", "left")
-            .select(*batch.columns, _row_reasons().alias(REASONS)))
+    repeated = F.when(F.col("times") > 1, F.array(F.lit("duplicate_diag_id"))).otherwise(F.array())
+    own = F.col(REASONS)
+    before = F.filter(own, lambda r: r != "orphan_object_id")
+    after = F.filter(own, lambda r: r == "orphan_object_id")
+    return (arrived.join(times, "diag_id", "left")
+            .select(*[c for c in arrived.columns if c != REASONS], F.concat(before, repeated, after).alias(REASONS)))
+
+
+def arrivals(spark: SparkSession, arrived: str) -> DataFrame:
+    """What the stream has kept so far, of all batches."""
+    return spark.read.schema(_ARRIVED).parquet(arrived)
+
+
+def accepted(spark: SparkSession, arrived: str) -> DataFrame:
+    return outcome(arrivals(spark, arrived)).where(F.size(REASONS) == 0).drop(REASONS)
 
 
-def accept(batch: DataFrame, batch_id: int, objects: DataFrame, accepted: str, quarantine: str) -> None:
-    """Writes one batch into folders of its own, so a repeated batch replaces itself."""
-    rows = judged(batch, objects).persist(StorageLevel.MEMORY_AND_DISK)
-    target = f"batch_id={batch_id}"
-    try:
-        (rows.where(F.size(REASONS) == 0).drop(REASONS)
-         .write.mode("overwrite").parquet(f"{accepted}/{target}"))
-        (rows.where(F.size(REASONS) > 0)
-         .write.mode("overwrite").parquet(f"{quarantine}/{target}"))
-    finally:
-        rows.unpersist()
+def quarantined(spark: SparkSession, arrived: str) -> DataFrame:
+    return outcome(arrivals(spark, arrived)).where(F.size(REASONS) > 0)
 
 
-def stream_import(stream: DataFrame, objects: DataFrame, accepted: str, quarantine: str,
-                  checkpoint: str) -> StreamingQuery:
+def stream_import(stream: DataFrame, objects: DataFrame, arrived: str, checkpoint: str) -> StreamingQuery:
+    """Keeps all rows of a stream, judged one by one; :func:`accepted` and
+    :func:`quarantined` tell them apart by the rules for the whole table."""
     def one(batch: DataFrame, batch_id: int) -> None:
-        accept(batch, batch_id, objects, accepted, quarantine)
+        keep(batch, batch_id, objects, arrived)
 
     return (stream.writeStream.foreachBatch(one)
             .option("checkpointLocation", checkpoint)
