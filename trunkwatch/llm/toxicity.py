@@ -33,7 +33,8 @@ _ORDER = 4
 #: Labelled rows of each class that the model is fitted on, and features it may use.
 SAMPLE_ROWS = 3000
 FEATURES = 4096
-_EVIDENCE = 5
+#: Toxic rows with a feature for it to be used, and for it to be proof.
+_EVIDENCE, _PROOF = 5, 20
 #: Readings that a worker remembers.
 _REMEMBERED = 300_000
 
@@ -254,15 +255,22 @@ class Reader:
 
 
 class Scorer:
-    """A logistic model over present features."""
+    """A logistic model over present features.
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    A feature that was seen often and in next to no clean row is proof by itself:
+    ``proof`` has the share of toxic rows among those with it, and the score is
+    at least that.
+    """
+
+    def __init__(self, weights: dict[str, float], bias: float, proof: dict[str, float] | None = None):
         self.names = {f: i for i, f in enumerate(weights)}
         self.weights, self.bias = np.array(list(weights.values()), np.float64), bias
+        self.proof = np.array([(proof or {}).get(f, 0.0) for f in weights])
 
     def score(self, present: set[int]) -> float:
-        z = self.bias + float(self.weights[list(present)].sum()) if present else self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        at = list(present)
+        z = self.bias + float(self.weights[at].sum())
+        return max(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), float(self.proof[at].max(initial=0.0)))
 
 
 def character_model(docs: DataFrame, text: str = "text") -> CharacterModel:
@@ -306,23 +314,30 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
     n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     prior = float(np.log((n_toxic + .5) / (n_clean + .5)))
+    total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    # the sample may hold more toxic rows, by share, than there are
+    shift = float(np.log((total.get(1, 0) + .5) / (total.get(0, 0) + .5))) - prior
     if not n_toxic or not n_clean:
-        return Scorer({}, prior)
+        return Scorer({}, prior + shift)
     each = drawn.select("row", "toxic", F.explode("found").alias("f"))
     ratio = ((F.col("t") + .5) / (n_toxic + 1)) / ((F.col("c") + .5) / (n_clean + 1))
     gain = F.col("t") * F.log(ratio)
     picked = (each.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
               .where((F.col("t") >= _EVIDENCE) & (ratio >= 3)).orderBy(gain.desc(), "f").limit(FEATURES))
-    names = [r.f for r in picked.select("f").collect()]
+    chosen_features = picked.select("f", "t", "c").collect()
+    names = [r.f for r in chosen_features]
     if not names:
-        return Scorer({}, prior)
+        return Scorer({}, prior + shift)
+    share = {r.f: r.t / (r.t + r.c + 2) for r in chosen_features if r.t >= _PROOF}
+    proof = {f: p for f, p in share.items() if p >= .9}
     kept = each.join(F.broadcast(picked.select("f")), "f").groupBy("row", "toxic").agg(F.sort_array(F.collect_list("f")).alias("f"))
     at = {f: i for i, f in enumerate(names)}
     present = [(r.toxic, [at[f] for f in r.f]) for r in kept.collect()]
-    return _logistic(names, present, n_toxic, n_clean)
+    weights, bias = _logistic(names, present, n_toxic, n_clean)
+    return Scorer(weights, bias + shift, proof)
 
 
-def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: int, n_clean: int) -> Scorer:
+def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
     """Weights by full gradient steps with a penalty; classes weigh as they occur, no feature counts against."""
     y = np.array([t for t, _ in present], np.float64)
     rows = np.repeat(np.arange(len(present)), [len(f) for _, f in present])
@@ -338,7 +353,7 @@ def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: i
         g_b = (float((p - y).sum()) + p_bare * bare_clean + (p_bare - 1) * bare_toxic) / total
         step_w, step_b = step_w + g * g, step_b + g_b * g_b
         w, bias = np.maximum(0, w - .3 * g / np.sqrt(step_w)), bias - .3 * g_b / np.sqrt(step_b)
-    return Scorer(dict(zip(names, w.tolist())), float(bias))
+    return dict(zip(names, w.tolist())), float(bias)
 
 
 def _score(model: CharacterModel, scorer: Scorer, packed: DataFrame, result):
