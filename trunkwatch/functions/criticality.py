@@ -10,8 +10,9 @@ def risk_label(depth: Column, erf: Column, grade: Column) -> Column:
     """Label from depth, repair factor and grade; an absent factor has no say."""
     depth, erf = or_zero(depth), or_zero(erf)
     grade = F.coalesce(grade, F.lit(""))
-    return (F.when((grade == "недопустимо") | (depth > 50) | (erf > 0.7), "high")
-            .when((grade == "требует_мер") | (depth > 30) | (erf > 0.5), "medium")
+    *_, needs_measures, unacceptable = QUALITY_GRADES
+    return (F.when((grade == unacceptable) | (depth > 50) | (erf > 0.7), "high")
+            .when((grade == needs_measures) | (depth > 30) | (erf > 0.5), "medium")
             .otherwise("normal"))
 
 
