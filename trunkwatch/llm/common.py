@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trunkwatch.session import work_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # tasks import this package, from wherever the driver was started
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

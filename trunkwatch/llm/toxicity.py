@@ -286,55 +286,68 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "text", doc_id: str = "doc_id",
-        sample_rows: int = SAMPLE_ROWS) -> Scorer:
-    """Fits the weights on at most ``sample_rows`` labelled rows of each class.
+def _present(rows: DataFrame, model: CharacterModel, wanted: dict[str, int]) -> DataFrame:
+    """``doc_id, found``: the numbers of the wanted features in every text of (doc_id, t)."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model, wanted)
+        for batch in batches:
+            found = [sorted(f) for f in reader.texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))],
+                                             names=["doc_id", "found"])
 
-    Rows held out are not among them; which of the others are is decided by a
-    hash of their id. An id with several labels is toxic if one says so. Without
-    rows of both classes no feature counts.
+    return rows.mapInArrow(read, "doc_id long, found array<int>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "text", doc_id: str = "doc_id",
+        sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame]:
+    """The scorer, and ``doc_id, found``, the numbers of its features in every document.
+
+    At most ``sample_rows`` labelled rows of each class propose features and fit the
+    weights; which, is decided by a hash of their id. All labelled rows then say how
+    often a feature goes with a toxic text: copies of one text in the sample make
+    its words look telling, which they are not elsewhere. Rows held out take part in
+    neither. An id with several labels is toxic if one says so. Without rows of both
+    classes no feature counts.
     """
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-             .where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-             .where(~held_out()))
+    known = stored(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+                   .where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+                   .where(~held_out()), "toxicity-labels")
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    sample = F.broadcast(chosen[0].unionByName(chosen[1]))  # two times sample_rows rows at most
+    # two times sample_rows rows at most
+    sample = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "toxicity-chosen"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("t"))
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         for batch in batches:
             for label, found in zip(batch.column(1).to_pylist(), reader.texts(batch.column(0))):
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([list(found)], pa.list_(pa.string()))],
                                                  names=["toxic", "found"])
 
-    # the sample's features: as many as its words
-    drawn = stored(rows.join(sample, "doc_id").select("t", "toxic").mapInArrow(read, "toxic int, found array<string>")
-                   .withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
+    drawn = stored(rows.join(sample, "doc_id").select("t", "toxic")
+                   .mapInArrow(propose, "toxic int, found array<string>"), "toxicity-sample")
     n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
-    prior = float(np.log((n_toxic + .5) / (n_clean + .5)))
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    # the sample may hold more toxic rows, by share, than there are
-    shift = float(np.log((total.get(1, 0) + .5) / (total.get(0, 0) + .5))) - prior
-    if not n_toxic or not n_clean:
-        return Scorer({}, prior + shift)
-    each = drawn.select("row", "toxic", F.explode("found").alias("f"))
+    n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     ratio = ((F.col("t") + .5) / (n_toxic + 1)) / ((F.col("c") + .5) / (n_clean + 1))
-    gain = F.col("t") * F.log(ratio)
-    picked = (each.groupBy("f").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-              .where((F.col("t") >= _EVIDENCE) & (ratio >= 3)).orderBy(gain.desc(), "f").limit(FEATURES))
-    chosen_features = picked.select("f", "t", "c").collect()
-    names = [r.f for r in chosen_features]
-    if not names:
-        return Scorer({}, prior + shift)
-    share = {r.f: r.t / (r.t + r.c + 2) for r in chosen_features if r.t >= _PROOF}
-    proof = {f: p for f, p in share.items() if p >= .9}
-    kept = each.join(F.broadcast(picked.select("f")), "f").groupBy("row", "toxic").agg(F.sort_array(F.collect_list("f")).alias("f"))
-    at = {f: i for i, f in enumerate(names)}
-    present = [(r.toxic, [at[f] for f in r.f]) for r in kept.collect()]
-    weights, bias = _logistic(names, present, n_toxic, n_clean)
-    return Scorer(weights, bias + shift, proof)
+    toxic_rows, clean_rows = F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")
+    proposed = (drawn.select("toxic", F.explode("found").alias("f")).groupBy("f").agg(toxic_rows, clean_rows)
+                .where((F.col("t") >= _EVIDENCE) & (ratio >= 3)).orderBy((F.col("t") * F.log(ratio)).desc(), "f").limit(FEATURES))
+    names = [r.f for r in proposed.select("f").collect()] if n_toxic and n_clean else []
+    present = stored(_present(rows, model, {f: i for i, f in enumerate(names)}), "toxicity-present")
+    # the sample may hold more toxic rows, by share, than there are
+    odds = float(np.log((total.get(1, 0) + .5) / (total.get(0, 0) + .5)))
+    shift = odds - float(np.log((n_toxic + .5) / (n_clean + .5)))
+    each = (present.join(known, "doc_id").select("toxic", F.explode("found").alias("f"))
+            .groupBy("f").agg(toxic_rows, clean_rows).collect())  # a row per feature
+    share = {r.f: r.t / (r.t + r.c + 2) for r in each if r.t >= _EVIDENCE}
+    proof = {names[r.f]: share[r.f] for r in each if r.t >= _PROOF and share[r.f] >= .9}
+    used = {f for f, p in share.items() if p >= .5}
+    fitted = present.join(sample, "doc_id").select("toxic", "found").where(F.size("found") > 0).collect()
+    rows_with = [(r.toxic, [f for f in r.found if f in used]) for r in fitted]
+    weights, bias = _logistic(names, [r for r in rows_with if r[1]], n_toxic, n_clean) if used else ({}, odds - shift)
+    return Scorer({f: weights.get(f, 0.0) for f in names}, bias + shift, proof), present
 
 
 def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
@@ -356,17 +369,6 @@ def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: i
     return dict(zip(names, w.tolist())), float(bias)
 
 
-def _score(model: CharacterModel, scorer: Scorer, packed: DataFrame, result):
-    """Batches of (text, row) to ``result(batch, scores)``."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model, scorer.names)
-        for batch in batches:
-            yield result(batch, np.fromiter(map(scorer.score, reader.texts(batch.column(0))), np.float64, batch.num_rows))
-
-    return score
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every row.
 
@@ -374,22 +376,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     scores as one without any telling word; rows that repeat score alike; an
     empty table gives no rows.
     """
-    model = character_model(docs, text)
-    scorer = fit(docs, labels, model, text, doc_id)
-    packed = docs.select(text_of(f"`{text}`").alias("t"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
-    scored = packed.mapInArrow(_score(model, scorer, packed, lambda b, s: pa.RecordBatch.from_arrays(
-        [b.column(1), pa.array(s)], names=["doc_id", "score"])), "doc_id long, score double")
+    scorer, present = fit(docs, labels, character_model(docs, text), text, doc_id)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [scorer.score(set(found)) for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+
+    scored = present.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that :func:`toxicity` does not predict toxic, with all their columns."""
-    model = character_model(docs, text)
-    scorer = fit(docs, labels, model, text, doc_id)
-    columns = docs.columns
-    packed = docs.select(text_of(f"`{text}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    kept = packed.mapInArrow(_score(model, scorer, packed, lambda b, s: b.filter(pa.array(s < 0.5))), packed.schema)
+    model, columns = character_model(docs, text), docs.columns
+    scorer, _ = fit(docs, labels, model, text, doc_id)
+    packed, at = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), columns.index(text)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model, scorer.names)
+        for batch in batches:
+            texts = batch.column(0).field(at).cast(pa.string())
+            yield batch.filter(pa.array([scorer.score(found) < 0.5 for found in reader.texts(texts)], pa.bool_()))
+
+    kept = packed.mapInArrow(keep, packed.schema)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
