@@ -30,8 +30,8 @@ _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: what a byte-level vocabulary's texts are split by.
 SPLIT = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+"
          rf"|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-#: Pieces of which the ids are remembered.
-_REMEMBERED = 400_000
+#: Pieces whose ids, and token pairs whose test, a worker remembers. Decides no result.
+_PIECES, _PAIRS = 50_000, 300_000
 
 
 def byte_letters() -> list[str]:
@@ -41,12 +41,38 @@ def byte_letters() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
+def _load(path: str) -> dict:
+    with open(path, encoding="utf-8") as file:
+        return json.load(file)
+
+
+class Decoder:
+    """The bytes of each token of a byte-level vocabulary."""
+
+    def __init__(self, whole: dict):
+        vocab = whole["model"]["vocab"]
+        special = {a["content"]: a["id"] for a in whole.get("added_tokens", ())}
+        back = {c: b for b, c in enumerate(byte_letters())}
+        parts = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        for token, made in [*vocab.items(), *special.items()]:
+            parts[made] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids; those the vocabulary lacks give none."""
+        ids = ids[ids < len(self.lengths)].astype(np.int64)
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.bytes[at].tobytes()
+
+
 class Bpe:
     """A byte-level vocabulary with its merges."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as file:
-            whole = json.load(file)
+    def __init__(self, whole: dict):
         model = whole["model"]
         self._ids: dict[str, int] = model["vocab"]
         self.special = {a["content"]: a["id"] for a in whole.get("added_tokens", ())}
@@ -61,7 +87,7 @@ class Bpe:
             self._pairs[x, y] = rank
             if self._rank[made] < 0:
                 self._rank[made], self._left[made], self._right[made] = rank, x, y
-        self._compatible: dict[tuple[int, int], bool] = {}
+        self._compatible: dict[int, bool] = {}
         self._automaton = ahocorasick.Automaton()
         reachable = {self._ids[c] for c in letters if c in self._ids}
         for token, made in sorted(self._ids.items(), key=lambda t: self._rank[t[1]]):
@@ -72,13 +98,9 @@ class Bpe:
                 self._automaton.add_word(token, (made, len(token)))
         self._automaton.make_automaton()
         self._reachable = reachable
-        back = {c: b for b, c in enumerate(letters)}
-        parts = [b""] * size
-        for token, made in [*self._ids.items(), *self.special.items()]:
-            parts[made] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.lengths = np.fromiter(map(len, parts), np.int64, size)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self._sizes = [0] * size
+        for token, made in self._ids.items():
+            self._sizes[made] = len(token)
         self._split = regex.compile(SPLIT)
         self._specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._pieces: dict[str, tuple[int, ...]] = {}
@@ -98,11 +120,12 @@ class Bpe:
                 return True
 
     def compatible(self, x: int, y: int) -> bool:
-        known = self._compatible.get((x, y))
+        pair = x << 32 | y
+        known = self._compatible.get(pair)
         if known is None:
-            if len(self._compatible) >= 4 * _REMEMBERED:
+            if len(self._compatible) >= _PAIRS:
                 self._compatible.clear()
-            known = self._compatible[x, y] = self._apart(x, y)
+            known = self._compatible[pair] = self._apart(x, y)
         return known
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
@@ -121,7 +144,7 @@ class Bpe:
         found, at = [], len(letters)
         while at:
             found.append(last[at])
-            at -= int(self.lengths[last[at]])
+            at -= self._sizes[last[at]]
         return tuple(reversed(found))
 
     def _encode_plain(self, text: str) -> list[int]:
@@ -129,7 +152,7 @@ class Bpe:
         for piece in self._split.findall(text):
             found = known.get(piece)
             if found is None:
-                if len(known) >= _REMEMBERED:
+                if len(known) >= _PIECES:
                     known.clear()
                 found = known[piece] = self.encode_piece(piece)
             ids += found
@@ -146,37 +169,24 @@ class Bpe:
             at = match.end()
         return ids + self._encode_plain(text[at:])
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of some ids; those the vocabulary lacks give none."""
-        ids = ids[ids < len(self.lengths)].astype(np.int64)
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.bytes[at].tobytes()
-
 
-_VOCABULARIES: dict[str, Bpe] = {}
+_DECODERS: dict[str, Decoder] = {}
 
 
-def vocabulary(path: str) -> Bpe:
-    """The worker's own tables, kept between tasks."""
-    if path not in _VOCABULARIES:
-        _VOCABULARIES[path] = Bpe(path)
-    return _VOCABULARIES[path]
+def decoder(path: str) -> Decoder:
+    """The worker's own table, kept between tasks."""
+    if path not in _DECODERS:
+        _DECODERS[path] = Decoder(_load(path))
+    return _DECODERS[path]
 
 
 def _part_encoder(path: str):
-    own = vocabulary(path)
+    own = Bpe(_load(path))
     return lambda parts: [own.encode(p) for p in parts]
 
 
-def bpe_encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """``row`` (a struct of the ``keep`` columns) and ``ids`` of every document.
-
-    ``ids`` are little-endian unsigned 32-bit integers. A null or empty text has
-    none; rows that repeat count each; an empty table gives no rows.
-    """
-    file = path or vocabulary_path()
+def _encoding(file: str):
+    """Batches of (text, row) to batches of (row, ids)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file, "prefixes", _part_encoder)
@@ -186,17 +196,16 @@ def bpe_encode(docs: DataFrame, keep: list[str], text: str = "text", path: str |
                 packed = pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(first, len(packed)), packed],
                                                  names=["row", "ids"])
+        own.forget()  # the worker may wait for long, and its memory with it
 
-    packed = docs.select(text_of(f"`{text}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
-    return packed.mapInArrow(encode, f"row {packed.schema['row'].dataType.simpleString()}, ids binary")
+    return encode
 
 
-def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """``row``, ``ids`` and ``decoded``, the text of the ids; bytes that are no UTF-8 become U+FFFD."""
-    file = path or vocabulary_path()
+def _decoding(file: str):
+    """Batches of (row, ids) to batches of (row, ids, decoded)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = vocabulary(file)
+        own = decoder(file)
         for batch in batches:
             ids, row = batch.column(1), 0
             upto = np.cumsum(pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -210,13 +219,40 @@ def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
                     names=["row", "ids", "decoded"])
                 row = end
 
+    return decode
+
+
+def _packed(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
+    packed = docs.select(text_of(f"`{text}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    return packed, f"row {packed.schema['row'].dataType.simpleString()}, ids binary"
+
+
+def bpe_encode(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
+    """``row`` (a struct of the ``keep`` columns) and ``ids`` of every document.
+
+    ``ids`` are little-endian unsigned 32-bit integers. A null or empty text has
+    none; rows that repeat count each; an empty table gives no rows.
+    """
+    packed, kinds = _packed(docs, keep, text)
+    return packed.mapInArrow(_encoding(path or vocabulary_path()), kinds)
+
+
+def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """``row``, ``ids`` and ``decoded``, the text of the ids; bytes that are no UTF-8 become U+FFFD."""
     kind = encoded.schema["row"].dataType.simpleString()
-    return encoded.select("row", "ids").mapInArrow(decode, f"row {kind}, ids binary, decoded string")
+    return encoded.select("row", "ids").mapInArrow(
+        _decoding(path or vocabulary_path()), f"row {kind}, ids binary, decoded string")
 
 
 def round_trips(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """The ``keep`` columns with ``n_tokens, ids_sha256, decoded_sha256`` of every document."""
-    both = bpe_decode(bpe_encode(docs, keep, text, path), path)
+    """The ``keep`` columns with ``n_tokens, ids_sha256, decoded_sha256`` of every document.
+
+    Encodes and then decodes what came of it, in the same worker.
+    """
+    file = path or vocabulary_path()
+    encode, decode = _encoding(file), _decoding(file)
+    packed, kinds = _packed(docs, keep, text)
+    both = packed.mapInArrow(lambda batches: decode(encode(batches)), kinds + ", decoded string")
     return both.select(*[F.col("row").getField(c).alias(c) for c in keep],
                        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

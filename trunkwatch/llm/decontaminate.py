@@ -175,15 +175,14 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = _matcher(items, share)
             for batch in batches:
-                free = [next(own.find(t.as_py()), None) is None for t in batch.column(0)]
+                free = [next(own.find(t.as_py()), None) is None for t in batch.column(0).field(at).cast(pa.string())]
                 yield batch.filter(pa.array(free, pa.bool_()))
 
         return keep
 
     columns = docs.columns
-    left = docs.select(F.col(f"`{text}`").cast("string").alias("t"),
-                       F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
-    schema = left.schema
+    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    schema, at = left.schema, columns.index(text)
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
         left = (stored(left, "decontaminated") if number else left).mapInArrow(clean(block), schema)
     return left.select(*[F.col("row").getField(c).alias(c) for c in columns])
