@@ -7,7 +7,7 @@ from trunkwatch.llm.token_counts import length_histogram, length_report, quantil
 from trunkwatch.llm.tokens import TextEncoder, library_encoder, vocabulary_path
 
 TEXTS = ["", None, " ", "a", " a", "a ", "a  b", "a \n b\n\n c", "tab\tx", "no break   em", "  lead", "it's I'll",
-         "x<|endoftext|> y <|endoftext|>", "a" * 5000, " " * 300, "\x1c a \x1f b", "é ü 漢字 🙂 1234 $$$ %%%", "\n", "a.\nB c"]
+         "x<|endoftext|> y <|endoftext|>", "a" * 5000, " " * 300, "\x1c a \x1f b", "é ü 漢字 🙂 1234 $$$ %%%", "\n", "a.\nB c", "x, y. z,", "a,. b., c.,", "é, 漢. 1, x., ,", "ab. ", ", a", "I'll, we've."]
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_parts_give_the_ids_of_whole_texts(own):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab .,'\n\t\r\x1c  é1$<|endoftext|>"), max_size=30), max_size=5))
+@given(st.lists(st.text(st.sampled_from("ab .,.,'\n\t\r\x1c  é1$<|endoftext|>"), max_size=30), max_size=5))
 def test_any_white_space(own, texts):
     assert through_parts(own, texts) == whole(texts)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trunkwatch.llm.token_shards import occurrences, read_documents, write_shards
+from trunkwatch.llm.token_shards import occurrences, read_shards, with_starts, write_shards
 from trunkwatch.llm.tokens import library_encoder, vocabulary_path
 from trunkwatch.llm.wavelet import Shard, encode_shard
 
@@ -31,7 +31,7 @@ def test_documents_come_back_in_order(spark, documents, tmp_path, shard_tokens):
     rows = [(i * 7 % 66, t) for i, t in enumerate(texts)]
     path = f"{tmp_path}/{shard_tokens}"
     write_shards(documents(rows, shard="clash", image="clash").repartition(4), path, shard_tokens=shard_tokens)
-    found = sorted(read_documents(spark, path).collect(), key=lambda r: r.doc_id)
+    found = sorted(with_starts(read_shards(spark, path), path).collect(), key=lambda r: r.doc_id)
     encode, start, all_ids = library_encoder(vocabulary_path()), 0, []
     for r, (i, text) in zip(found, sorted(rows), strict=True):
         ids = encode([text or ""])[0] + [0]
@@ -45,7 +45,7 @@ def test_documents_come_back_in_order(spark, documents, tmp_path, shard_tokens):
 
 def test_missing_and_repeated_ids_and_empty_table(spark, documents, tmp_path):
     write_shards(documents([(None, "a"), (2, "b"), (2, "b"), (2, "c c"), (1, "")]), f"{tmp_path}/a")
-    found = read_documents(spark, f"{tmp_path}/a").orderBy("start").select("doc_id", "start", F.crc32("ids").alias("c")).collect()
+    found = with_starts(read_shards(spark, f"{tmp_path}/a"), f"{tmp_path}/a").orderBy("start").select("doc_id", "start", F.crc32("ids").alias("c")).collect()
     assert [r.doc_id for r in found] == [None, 1, 2, 2, 2] and found[1].c == zlib.crc32(bytes(4))
     write_shards(documents([]), f"{tmp_path}/b")
-    assert read_documents(spark, f"{tmp_path}/b").count() == 0
+    assert read_shards(spark, f"{tmp_path}/b").count() == 0

@@ -76,11 +76,14 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
      .mapInArrow(images, "shard long, n_tokens long, image binary").write.parquet(path))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, shard, place, start, n_tokens, ids`` of every document, read from the shards.
+_SHARD = "shard long, n_tokens long, image binary"
 
-    ``ids`` are little-endian unsigned 32-bit integers; ``start`` counts the ids
-    of all documents before, ``place`` those in the shard.
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, shard, place, n_tokens, ids`` of every document, read from the shards.
+
+    ``ids`` are little-endian unsigned 32-bit integers; ``place`` counts the ids
+    before them in the shard.
     """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +100,20 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                          pa.array([raw[4 * (y - x):4 * y] for x, y in zip(n.tolist(), e.tolist())], pa.binary())],
                         names=["doc_id", "shard", "place", "n_tokens", "ids"])
 
-    shards = spark.read.schema("shard long, n_tokens long, image binary").parquet(path)
-    found = shards.select("shard", "image").mapInArrow(
-        unpack, "doc_id long, shard long, place long, n_tokens long, ids binary")
-    # one row per shard: some millions of tokens each
+    shards = spark.read.schema(_SHARD).parquet(path).select("shard", "image")
+    return shards.mapInArrow(unpack, "doc_id long, shard long, place long, n_tokens long, ids binary")
+
+
+def with_starts(rows: DataFrame, path: str) -> DataFrame:
+    """``rows`` of :func:`read_shards` with ``start``, the ids of all documents before.
+
+    Leave out ``ids`` where they are not needed, as rows move to their shard's start.
+    """
+    shards = rows.sparkSession.read.schema(_SHARD).parquet(path).select("shard", "n_tokens")
+    # one row per shard: a million tokens each
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("before"))
-    return found.join(starts, "shard").select(
-        "doc_id", "shard", "place", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
+    return rows.join(starts, "shard").withColumn("start", F.col("before") + F.col("place")).drop("before")
 
 
 def occurrences(spark: SparkSession, path: str, token: int, limit: int | None = None) -> DataFrame:
@@ -120,12 +129,12 @@ def occurrences(spark: SparkSession, path: str, token: int, limit: int | None =
                     [pa.array([number.as_py()], pa.int64()), pa.array([n], pa.int64()),
                      pa.array([places.tolist()], pa.list_(pa.int64()))], names=["shard", "n", "places"])
 
-    shards = spark.read.schema("shard long, n_tokens long, image binary").parquet(path)
+    shards = spark.read.schema(_SHARD).parquet(path)
     return shards.select("shard", "image").mapInArrow(look, "shard long, n long, places array<long>")
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path)
-    read = read_documents(spark, path)
-    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "shard", "place")
+    read = read_shards(spark, path).select("doc_id", "shard", "place", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return with_starts(read, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")

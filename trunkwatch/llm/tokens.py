@@ -2,9 +2,9 @@
 
 The byte-level pattern never lets a token cross a single space between two
 characters that are not white space, except that the space goes with what
-follows. So a text is cut at those spaces, each distinct part is encoded once
-(with its space), and the ids of the parts are put together by numpy. What
-encodes the parts is a parameter.
+follows, nor from a letter to a comma or period that ends such a part. So a text
+is cut there, each distinct part is encoded once (with its space), and the ids of
+the parts are put together by numpy. What encodes the parts is a parameter.
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import pyarrow.compute as pc
 VOCABULARY = "byte_bpe_50k.json"
 
 #: Parts that one worker remembers; beyond that it forgets those met once. Decides no result.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 #: Bytes of text that are encoded at once, a longer text alone.
 _AT_ONCE = 4 << 20
 
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _OUTER_SPACE = f"^[{_SPACE}]|[{_SPACE}]$|^$"
+_MARKS = [",", "."]
+_MARKED = r"\p{L}[,.]$"
 _INNER_BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -56,9 +58,9 @@ class TextEncoder:
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
         self._encode = encode
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self._slots: dict[str, int] = {}
         self._starts = np.zeros(0, np.int64)
         self._lengths = np.zeros(0, np.int64)
@@ -76,16 +78,16 @@ class TextEncoder:
         ends = np.cumsum(lengths)
         at = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
         ids = self._ids[at]
-        self._forget()
+        self.forget()
         self._slots = {p: i for i, (p, _) in enumerate(kept)}
         self._starts, self._lengths, self._ids = ends - lengths, lengths, ids
         self._met = np.ones(len(kept), np.uint8)
         if len(self._slots) + len(parts) > REMEMBERED:
-            self._forget()
+            self.forget()
 
     def _slots_of(self, parts: list[str]) -> np.ndarray:
         known = self._slots
-        new = list(dict.fromkeys(p for p in parts if p not in known))
+        new = list(dict.fromkeys([p for p in parts if p not in known]))
         if new:
             if len(known) + len(new) > REMEMBERED and known:
                 self._forget_rare(parts)
@@ -109,15 +111,27 @@ class TextEncoder:
         parts = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets -= offsets[0]
         coded = parts.dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        # a mark after a letter is a part of its own, with no space before it
+        marked = pc.match_substring_regex(words, _MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        marks = pc.if_else(marked, pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(_MARKS)), -1)
+        marks = marks.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        codes = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+        words = stems.dictionary
         loose = pc.match_substring_regex(words, _OUTER_SPACE).to_numpy(zero_copy_only=False)
-        keys = [" " + w for w in words.to_pylist()]
+        keys = pc.binary_join_element_wise(" ", words, "").to_numpy(zero_copy_only=False).tolist()
         # the first part of a text has no space before it
-        first, where = np.unique(codes[offsets[:-1]], return_inverse=True)
-        codes[offsets[:-1]] = len(keys) + where
+        texts_here = offsets[:-1]
+        first, where = np.unique(codes[texts_here], return_inverse=True)
+        codes[texts_here] = len(keys) + where
         keys += [keys[c][1:] for c in first]
         odd = np.unique(np.searchsorted(offsets, np.flatnonzero(
             np.concatenate([loose, loose[first]])[codes]), side="right") - 1)
+        at_mark = np.flatnonzero(marks >= 0)
+        codes = np.insert(codes, at_mark + 1, len(keys) + marks[at_mark])
+        offsets = offsets + np.searchsorted(at_mark, offsets)
+        keys += _MARKS
         pieces: dict[int, list[str]] = {}
         for row in odd:
             text = texts[int(row)].as_py()
@@ -135,8 +149,9 @@ class TextEncoder:
             codes = np.concatenate([*runs, codes[last:]])
             offsets = np.concatenate([[0], np.cumsum(sizes)])
         keys += extra
-        used, codes = np.unique(codes, return_inverse=True)
-        slots = self._slots_of([keys[u] for u in used])[codes]
+        there = np.zeros(len(keys), bool)
+        there[codes] = True
+        slots = self._slots_of([keys[u] for u in np.flatnonzero(there)])[(np.cumsum(there) - 1)[codes]]
         lengths = self._lengths[slots]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         at = np.repeat(self._starts[slots] - ends[:-1], lengths) + np.arange(ends[-1])

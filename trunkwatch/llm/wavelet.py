@@ -24,6 +24,11 @@ _HEAD = struct.Struct("<4sQQB")
 _WORDS = 8  # 64-bit words of a rank block
 
 
+def _narrow(bits: int) -> type:
+    """The type that moves the fewest bytes."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
     """The image of the documents' tokens, which follow one another in ``tokens``."""
     packer = zstandard.ZstdCompressor(level=1)
@@ -31,12 +36,12 @@ def encode_shard(doc_ids: list[int | None], lengths: np.ndarray, tokens: np.ndar
     sections = [np.array([i or 0 for i in doc_ids], np.int64).tobytes(),
                 np.array([i is None for i in doc_ids], np.uint8).tobytes(),
                 np.asarray(lengths, np.int64).tobytes()]
-    rest = tokens.astype(np.uint32)
+    rest = tokens.astype(_narrow(bits))
     for bit in range(bits - 1, -1, -1):
-        one = (rest >> np.uint32(bit)) & np.uint32(1) == 1
+        one = rest & rest.dtype.type(1 << bit) != 0
         packed = np.packbits(one, bitorder="little")
         packed = np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)])
-        rest = np.concatenate([rest[~one], rest[one]])
+        rest = np.concatenate([np.compress(~one, rest), np.compress(one, rest)])
         sections.append(struct.pack("<Q", len(one) - int(one.sum())) + packed.tobytes())
     image = [_HEAD.pack(MAGIC, len(doc_ids), len(tokens), bits)]
     for section in sections:
@@ -135,12 +140,13 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All tokens in order: the divisions are undone from the lowest plane up."""
-        ids = np.zeros(self.n_tokens, np.uint32)
+        kind = _narrow(self.bits)
+        ids = np.zeros(self.n_tokens, kind)
         for level in range(self.bits - 1, -1, -1):
             raw = self._section(3 + level)
             one = np.unpackbits(np.frombuffer(raw, np.uint8, offset=8), count=self.n_tokens, bitorder="little") == 1
             zeros, = struct.unpack_from("<Q", raw)
             below, ids = ids, np.empty_like(ids)
-            ids[~one] = below[:zeros]
-            ids[one] = below[zeros:] | np.uint32(1 << (self.bits - 1 - level))
-        return ids
+            ids[np.flatnonzero(~one)] = below[:zeros]
+            ids[np.flatnonzero(one)] = below[zeros:] | kind(1 << (self.bits - 1 - level))
+        return ids.astype(np.uint32)
