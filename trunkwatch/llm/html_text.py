@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trunkwatch.llm.common import table, text_of
+from trunkwatch.llm.common import stored, table, text_of
 from trunkwatch.llm.url_filter import host
 
 #: A subtree on this share of a host's pages, and on so many, is template.
@@ -229,7 +229,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
                         text_of(f"`{page}`").alias("page"))
-    found = host_templates(rows, "url", "page", share, least)
+    # written first: pages then need not move to their host's task, or a hot host's can be split
+    found = stored(host_templates(rows, "url", "page", share, least), "host-templates")
     joined = rows.withColumn("host", host(F.col("url"))).join(found, "host", "left")
     return joined.select("page_id", "url", "page", "template").mapInArrow(extract, "page_id long, url string, text string")
 
