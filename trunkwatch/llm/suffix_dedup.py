@@ -243,7 +243,8 @@ def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     Spans of a document may overlap; together they cover what is to be removed.
     """
     found = marked.mapInArrow(_runs(length, gram), _RUN)
-    anchors = found.groupBy("gram").count().where("count > 1").select("gram")
+    # written first: joined as they lie, aggregates by anchor would keep a hot one from being split
+    anchors = stored(found.groupBy("gram").count().where("count > 1").select("gram"), "repeat-anchors")
     live = stored(found.join(anchors, "gram", "left_semi"), "repeat-runs")
     whole = live.groupBy("gram", "u1", "u2").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "first", "more")).alias("at"))
@@ -251,8 +252,8 @@ def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     equal = live.join(whole.where("n > 1").select("gram", "u1", "u2"), ["gram", "u1", "u2"], "left_semi").select(
         "doc_id", "mark", F.col("first").alias("s"), (F.col("first") + F.col("more") + length).alias("e"))
     # an anchor with different runs, of which one is not known to be repeated
-    mixed = whole.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
-        "kinds > 1 and least = 1")
+    mixed = stored(whole.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
+        "kinds > 1 and least = 1"), "repeat-mixed")
     wanted = whole.join(mixed, "gram").select(
         "at.doc_id", "at.mark", F.struct("gram", (F.col("n") > 1).alias("known"), (F.col("kinds") > group).alias("many"),
                                          "at.first", "at.more").alias("run"))
@@ -264,7 +265,8 @@ def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     compared = few.mapInArrow(_compare(length), "doc_id long, mark long, s long, e long")
     window = parts.where("many").mapInArrow(
         _named(length), "x long, y long, known boolean, doc_id long, mark long, s long")
-    again = window.groupBy("x", "y").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n")).where("n > 1")
+    again = stored(window.groupBy("x", "y").agg(F.sum(F.when(F.col("known"), 2).otherwise(1)).alias("n"))
+                   .where("n > 1"), "repeat-windows")
     counted = window.where("not known").join(again, ["x", "y"], "left_semi").select(
         "doc_id", "mark", "s", (F.col("s") + length).alias("e"))
     return equal.unionByName(compared).unionByName(counted)
