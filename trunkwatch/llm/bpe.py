@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trunkwatch.llm.common import table, text_of
+from trunkwatch.llm.common import table, text_of, tidied
 from trunkwatch.llm.tokens import encoder, vocabulary_path
 
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -234,7 +234,7 @@ def bpe_encode(docs: DataFrame, keep: list[str], text: str = "text", path: str |
     none; rows that repeat count each; an empty table gives no rows.
     """
     packed, kinds = _packed(docs, keep, text)
-    return packed.mapInArrow(_encoding(path or vocabulary_path()), kinds)
+    return packed.mapInArrow(tidied(_encoding(path or vocabulary_path())), kinds)
 
 
 def bpe_decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -252,7 +252,7 @@ def round_trips(docs: DataFrame, keep: list[str], text: str = "text", path: str
     file = path or vocabulary_path()
     encode, decode = _encoding(file), _decoding(file)
     packed, kinds = _packed(docs, keep, text)
-    both = packed.mapInArrow(lambda batches: decode(encode(batches)), kinds + ", decoded string")
+    both = packed.mapInArrow(tidied(lambda batches: decode(encode(batches))), kinds + ", decoded string")
     return both.select(*[F.col("row").getField(c).alias(c) for c in keep],
                        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

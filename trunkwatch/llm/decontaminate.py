@@ -14,7 +14,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trunkwatch.llm.common import stored, table
+from trunkwatch.llm.common import stored, table, tidied
 
 #: Edits per character of an item: pieces then have twelve characters or more, which ordinary text seldom hits.
 EDIT_SHARE = 0.08
@@ -184,7 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     schema, at = left.schema, columns.index(text)
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
-        left = (stored(left, "decontaminated") if number else left).mapInArrow(clean(block), schema)
+        left = (stored(left, "decontaminated") if number else left).mapInArrow(tidied(clean(block)), schema)
     return left.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 

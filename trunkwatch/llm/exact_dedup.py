@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from trunkwatch.llm.common import partitions, stored, table
+from trunkwatch.llm.common import partitions, stored, table, tidied
 
 #: Bytes of content that a table holds. Any value gives the same result.
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 16 << 20
 #: What an entry counts beside its content.
 _ENTRY_BYTES = 400
 
@@ -240,7 +240,7 @@ def _resolve(folded: DataFrame, whole_rows: bool, limit: int) -> DataFrame:
             return done
         buckets = partitions(spark, n_bytes, max(1, limit // 2))
         dealt = pending.repartition(buckets, F.xxhash64("digest", F.lit(level)))
-        merged = stored(dealt.mapInArrow(_merge(whole_rows, schema, limit), schema), "exact-level")
+        merged = stored(dealt.mapInArrow(tidied(_merge(whole_rows, schema, limit)), schema), "exact-level")
         resolved = merged.where("kind = 0")
         done = resolved if done is None else done.unionByName(resolved)
         pending, level = merged.where("kind = 1"), level + 1
@@ -257,7 +257,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     schema = _schema(None)
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
-    folded = stored(rows.mapInArrow(_fold(False, schema, table_bytes), schema), "exact-folded")
+    folded = stored(rows.mapInArrow(tidied(_fold(False, schema, table_bytes)), schema), "exact-folded")
     groups = _resolve(folded, False, table_bytes).select(
         "home", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("lead"),
         F.lower(F.hex("digest")).alias("text_sha256"))
@@ -276,7 +276,7 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     packed = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"))
     schema = _schema(packed.schema["rest"].dataType)
-    folded = stored(packed.mapInArrow(_fold(True, schema, table_bytes), schema), "exact-folded")
+    folded = stored(packed.mapInArrow(tidied(_fold(True, schema, table_bytes)), schema), "exact-folded")
     kept = _resolve(folded, True, table_bytes)
     return kept.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text
                           else F.col("rest").getField(c)).alias(c) for c in docs.columns])

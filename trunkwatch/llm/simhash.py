@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from trunkwatch.llm.common import stored, table
+from trunkwatch.llm.common import stored, table, tidied
 from trunkwatch.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     thin = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
-    return thin.mapInArrow(add, "doc_id long, fp long")
+    return thin.mapInArrow(tidied(add), "doc_id long, fp long")
 
 
 def _links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:

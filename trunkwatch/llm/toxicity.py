@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trunkwatch.llm.common import stored, table, text_of
+from trunkwatch.llm.common import stored, table, text_of, tidied
 
 #: The letters that a sign may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -36,7 +36,7 @@ FEATURES = 4096
 #: Toxic rows with a feature for it to be used, and for it to be proof.
 _EVIDENCE, _PROOF = 5, 20
 #: Readings that a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 60_000
 
 _SYMBOL_OF_BYTE = np.zeros(256, np.uint8)
 _SYMBOL_OF_BYTE[97:123] = np.arange(1, 27)
@@ -74,7 +74,7 @@ def count_characters(docs: DataFrame, text: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
 
     rows = docs.select(F.lower(text_of(f"`{text}`")).alias("t"))
-    return rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tidied(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 class CharacterModel:
@@ -222,7 +222,7 @@ class Reader:
         upto = np.cumsum(pc.binary_length(lower).to_numpy(zero_copy_only=False).astype(np.int64))
         while row < len(lower):
             done = upto[row - 1] if row else 0
-            end = max(row + 1, int(np.searchsorted(upto, done + (4 << 20), side="right")))
+            end = max(row + 1, int(np.searchsorted(upto, done + (2 << 20), side="right")))
             yield from self._slice(pa.concat_arrays([lower.slice(row, end - row)]))
             row = end
 
@@ -296,7 +296,7 @@ def _present(rows: DataFrame, model: CharacterModel, wanted: dict[str, int]) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))],
                                              names=["doc_id", "found"])
 
-    return rows.mapInArrow(read, "doc_id long, found array<int>")
+    return rows.mapInArrow(tidied(read), "doc_id long, found array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "text", doc_id: str = "doc_id",
@@ -326,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
                                                  names=["toxic", "found"])
 
     drawn = stored(rows.join(sample, "doc_id").select("t", "toxic")
-                   .mapInArrow(propose, "toxic int, found array<string>"), "toxicity-sample")
+                   .mapInArrow(tidied(propose), "toxic int, found array<string>"), "toxicity-sample")
     n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
@@ -400,7 +400,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: s
             texts = batch.column(0).field(at).cast(pa.string())
             yield batch.filter(pa.array([scorer.score(found) < 0.5 for found in reader.texts(texts)], pa.bool_()))
 
-    kept = packed.mapInArrow(keep, packed.schema)
+    kept = packed.mapInArrow(tidied(keep), packed.schema)
     return kept.select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
