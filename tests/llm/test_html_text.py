@@ -52,6 +52,18 @@ def test_templates_are_counted_by_host(spark):
     assert len(texts) == 13 and extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    def page(i, article):
+        return f"<script>track({i})</script><nav>Menu {i}</nav><article><h1>{article}</h1><p>Text of {article}</p></article>"
+
+    rows = [("http://only.x/1", page(0, "one"))] * 6
+    rows += [(f"http://half.x/{i}", page(i, "one" if i < 4 else f"other {i}")) for i in range(8)]
+    rows += [("http://bare.x/1", "<h1>one</h1><p>Text of one</p>")] * 5
+    pages = pages_of(spark, rows).repartition(3)
+    texts = [r.text for r in extract_main_text(pages).orderBy("page_id").collect()]
+    assert texts == ["one Text of one"] * 10 + [f"other {i} Text of other {i}" for i in range(4, 8)] + ["one Text of one"] * 5
+
+
 def test_whole_small_table(spark):
     found = {r.page_id: r for r in extract_main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
     for i, url, page in duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():

@@ -187,26 +187,38 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _content(root: Element) -> int:
+    """What tells a page from its copies: the hash of its main text, templates included."""
+    return _signed(xxhash.xxh3_64_intdigest(main_text(root).encode("utf-8", "surrogatepass")))
+
+
 def host_templates(pages: DataFrame, url: str = "url", page: str = "html", share: float = TEMPLATE_SHARE,
                    least: int = TEMPLATE_PAGES) -> DataFrame:
     """``host, template``: the hashes of the subtrees on many pages of each host.
 
+    Pages of a host with the same main text count as one, whatever stands around it.
     As each is on a share of the host's pages, a host has no more of them than
     some pages have subtrees.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, contents, found = [], [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = subtrees(parse(text.as_py()))
-                hosts += [name] * len(own)
-                found += map(_signed, own)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "hash"])
+                root = parse(text.as_py())
+                own = subtrees(root)
+                # a page without subtrees is a page of its host as well
+                hosts += [name] * (len(own) + 1)
+                contents += [_content(root)] * (len(own) + 1)
+                found += [None, *map(_signed, own)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()),
+                                              pa.array(found, pa.int64())], names=["host", "content", "hash"])
 
     rows = pages.select(host(F.col(f"`{url}`").cast("string")).alias("host"), text_of(f"`{page}`").alias("page"))
-    n_pages = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = rows.mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    distinct = rows.mapInArrow(hashes, "host string, content long, hash long").distinct()
+    counted = stored(distinct.groupBy("host", "hash").agg(F.count("*").alias("n")), "host-subtrees")
+    n_pages = counted.where("hash is null").select("host", F.col("n").alias("pages"))
+    counted = counted.where("hash is not null")
     many = counted.where(F.col("n") >= least).join(n_pages, "host").where(F.col("n") >= share * F.col("pages"))
     return many.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
@@ -216,8 +228,9 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     """``page_id, url, text`` for every row.
 
     A null or empty page has an empty text. Pages without a host share an empty
-    one. Rows that repeat count each as a page; an empty table gives no rows.
-    Other columns are not read.
+    one. Rows that repeat, and copies of one main text on a host, count as one page
+    of it, and each gets its text; an empty table gives no rows. Other columns are
+    not read.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
