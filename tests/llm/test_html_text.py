@@ -64,6 +64,23 @@ def test_copies_of_a_page_are_no_template(spark):
     assert texts == ["one Text of one"] * 10 + [f"other {i} Text of other {i}" for i in range(4, 8)] + ["one Text of one"] * 5
 
 
+def test_blocks_beside_the_main_part_go_by_number(spark):
+    def page(i):
+        notice = f"<div><div>Notice of {'one' if i < 6 else 'other' if i < 12 else i}</div></div>"
+        return f"{notice}<section><p>Text {i} as it is.</p><p>{'A common line.' if i < 6 else i}</p></section>"
+
+    texts = extract_main_text(pages_of(spark, [(f"http://a.x/{i}", page(i)) for i in range(40)]).repartition(3))
+    expected = [("" if i < 12 else f"Notice of {i} ") + f"Text {i} as it is. {'A common line.' if i < 6 else i}" for i in range(40)]
+    assert [r.text for r in texts.orderBy("page_id").collect()] == expected
+
+
+def test_passages_of_an_article_stay_and_its_other_blocks_go_by_share(spark):
+    rows = [(f"http://a.x/{i}", f"<article><h1>Title</h1><div>Read on</div><p>A long passage that near copies share.</p>"
+                                f"<p><b>Bold</b> Edited {i}</p></article>") for i in range(8)]
+    texts = extract_main_text(pages_of(spark, rows).repartition(3)).orderBy("page_id").collect()
+    assert [r.text for r in texts] == [f"Title A long passage that near copies share. Bold Edited {i}" for i in range(8)]
+
+
 def test_whole_small_table(spark):
     found = {r.page_id: r for r in extract_main_text(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")).collect()}
     for i, url, page in duckdb.sql("SELECT page_id, url, html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():

@@ -1,9 +1,11 @@
 """The main text of HTML pages, with site templates removed.
 
 Every element's subtree has a hash of its tags and text. Spark counts on how
-many pages of a host each hash is; subtrees that recur on many of them are the
-site's template and are deleted. What is left of the article, without the parts
-whose tag or name says they are no text of it, is the main text.
+many pages of a host each hash is; subtrees that recur are the site's template
+and are deleted. How often they must recur depends on where they stand: some
+pages are enough beside the main part, half of the host's pages within it, and
+passages of an ``article`` always stay. What is left of the article, without the
+parts whose tag or name says they are no text of it, is the main text.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trunkwatch.llm.common import stored, table, text_of
 from trunkwatch.llm.url_filter import host
 
-#: A subtree on this share of a host's pages, and on so many, is template.
+#: A subtree within the main part is template on this share of a host's pages, and on so many.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 4
+#: One beside it on that many, too, and this share of the host's pages or the number behind it.
+BESIDE_SHARE, BESIDE_PAGES = 0.01, 1000
+#: Where a subtree stands: in a part that is not read, beside the main part, in it, or as a passage of an article.
+UNREAD, BESIDE, WITHIN, SAFE = range(4)
 
 #: Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -31,6 +37,7 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
                    "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol "
                    "option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "title"}
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 #: An opening tag that closes an open one of the named, up to the barrier.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -48,11 +55,13 @@ _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=
 
 
 class Element:
-    __slots__ = ("tag", "names", "children", "hash", "has_text")
+    __slots__ = ("tag", "names", "children", "hash", "has_text", "size", "prose", "flat")
 
     def __init__(self, tag: str, names: str = ""):
         self.tag, self.names, self.children = tag, names, []
         self.hash, self.has_text = 0, False
+        # characters, those in passages, and whether no block is in it
+        self.size, self.prose, self.flat = 0, 0, True
 
 
 def parse(page: str) -> Element:
@@ -124,9 +133,16 @@ def _hash(root: Element) -> None:
                 if child.has_text:
                     parts.append(f"\x01{child.hash:x}")
                     element.has_text = True
+                    if child.tag not in RAW:
+                        element.size += child.size
+                        element.prose += child.prose
+                        element.flat &= child.flat and child.tag not in BLOCKS
             elif words := " ".join(child.split()):
                 parts.append(f"\x02{words}")
                 element.has_text = True
+                element.size += len(words)
+        if element.tag in PROSE:
+            element.prose = element.size
         element.hash = xxhash.xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
 
 
@@ -139,8 +155,8 @@ def _elements(root: Element) -> Iterator[Element]:
 
 
 def subtrees(root: Element) -> set[int]:
-    """The hashes of the elements with text, whole pages and their body apart."""
-    return {e.hash for e in _elements(root) if e.has_text and e.tag not in ("#root", "html", "body", "head")}
+    """The hashes of the elements with text, whole pages, their head and body apart."""
+    return set(places(root))
 
 
 def _is_boilerplate(element: Element) -> bool:
@@ -165,8 +181,8 @@ def _text(root: Element, template: set[int]) -> str:
     return " ".join("".join(found).split())
 
 
-def main_text(root: Element, template: set[int] = frozenset()) -> str:
-    """The text of the article; of the whole body where no element is the article or main part."""
+def _roots(root: Element) -> list[Element]:
+    """The articles, or the main part, or all."""
     articles, mains, todo = [], [], [root]
     while todo:
         element = todo.pop()
@@ -179,8 +195,69 @@ def main_text(root: Element, template: set[int] = frozenset()) -> str:
         elif element.tag != "#root":
             continue
         todo.extend(c for c in reversed(element.children) if isinstance(c, Element))
-    roots = articles or mains[:1] or [root]
-    return " ".join(filter(None, (_text(r, template) for r in roots)))
+    return articles or mains[:1] or [root]
+
+
+def main_text(root: Element, template: set[int] = frozenset()) -> str:
+    """The text of the article; of the whole body where no element is the article or main part."""
+    return " ".join(filter(None, (_text(r, template) for r in _roots(root))))
+
+
+def _main_part(root: Element) -> Element:
+    """Where no article is, the element with most text in passages of its own."""
+    best, most, todo = root, 0, [root]
+    while todo:
+        element = todo.pop()
+        own = 0
+        for child in element.children:
+            if isinstance(child, str):
+                own += len(" ".join(child.split()))
+            elif child.tag in ("html", "body") or not _is_boilerplate(child):
+                todo.append(child)
+                if child.tag in PROSE or child.flat and child.tag not in ("li", "dt", "dd", "td", "th"):
+                    own += child.size
+        # of equals the outer one, which is seen first
+        if own > most:
+            best, most = element, own
+    return best
+
+
+def places(root: Element) -> dict[int, int]:
+    """The hashes of the elements with text, whole pages, their head and body apart, and where they stand.
+
+    Of several places of one hash it has the one that protects most. In an article,
+    passages and what holds them are safe, and so is everything if passages are not
+    most of it.
+    """
+    roots = _roots(root)
+    start = BESIDE if roots[0] is root else UNREAD
+    within, holds = set(), set()
+    if roots[0].tag != "article":
+        part = _main_part(roots[0])
+        within, holds = {id(part)}, {id(part)}
+        for element in reversed(list(_elements(roots[0]))):
+            if any(id(c) in holds for c in element.children):
+                holds.add(id(element))
+    articles = {id(r) for r in roots if r.tag == "article"}
+    found: dict[int, int] = {}
+    todo = [(root, start, False)]
+    while todo:
+        element, place, keeps = todo.pop()
+        own = place
+        if id(element) in articles:
+            own, place, keeps = SAFE, WITHIN, 2 * element.prose < element.size
+        elif id(element) in within:
+            own = place = WITHIN
+        elif id(element) in holds:
+            own = WITHIN
+            place = BESIDE if element is roots[0] else place
+        elif place == WITHIN and articles and (keeps or element.prose):
+            own = SAFE
+            keeps = keeps or element.tag in PROSE
+        if element.has_text and element.tag not in ("#root", "html", "body") and element.tag not in RAW:
+            found[element.hash] = max(own, found.get(element.hash, own))
+        todo.extend((c, place, keeps) for c in element.children if isinstance(c, Element) and c.tag != "head")
+    return found
 
 
 def _signed(value: int) -> int:
@@ -192,35 +269,55 @@ def _content(root: Element) -> int:
     return _signed(xxhash.xxh3_64_intdigest(main_text(root).encode("utf-8", "surrogatepass")))
 
 
-def host_templates(pages: DataFrame, url: str = "url", page: str = "html", share: float = TEMPLATE_SHARE,
-                   least: int = TEMPLATE_PAGES) -> DataFrame:
-    """``host, template``: the hashes of the subtrees on many pages of each host.
-
-    Pages of a host with the same main text count as one, whatever stands around it.
-    As each is on a share of the host's pages, a host has no more of them than
-    some pages have subtrees.
-    """
+def _standing(rows: DataFrame) -> DataFrame:
+    """``host, mark, content, hash, place`` of the subtrees of (host, mark, page) that may be template; a null hash for each page."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, contents, found = [], [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at, contents, found, where = [], [], [], []
+            for row, text in enumerate(batch.column(2)):
                 root = parse(text.as_py())
-                own = subtrees(root)
+                own = [(h, p) for h, p in places(root).items() if p != SAFE]
                 # a page without subtrees is a page of its host as well
-                hosts += [name] * (len(own) + 1)
+                at += [row] * (len(own) + 1)
                 contents += [_content(root)] * (len(own) + 1)
-                found += [None, *map(_signed, own)]
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(contents, pa.int64()),
-                                              pa.array(found, pa.int64())], names=["host", "content", "hash"])
+                found += [None, *(_signed(h) for h, _ in own)]
+                where += [UNREAD, *(p for _, p in own)]
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(contents, pa.int64()),
+                 pa.array(found, pa.int64()), pa.array(where, pa.int32())], names=["host", "mark", "content", "hash", "place"])
+
+    return stored(rows.select("host", "mark", "page").mapInArrow(
+        hashes, "host string, mark long, content long, hash long, place int"), "host-subtrees")
+
+
+def _templates(standing: DataFrame, share: float, least: int) -> DataFrame:
+    """``host, hash, wide``: the subtrees that are template beside the main part, and whether within it, too."""
+    # pages of one main text count as one
+    counted = stored(standing.select("host", "content", "hash").distinct().groupBy("host", "hash")
+                     .agg(F.count("*").alias("n")).where(F.col("hash").isNull() | (F.col("n") >= least)), "host-counts")
+    n_pages = counted.where("hash is null").select("host", F.col("n").alias("pages"))
+    many = counted.where("hash is not null").join(n_pages, "host").withColumn("wide", F.col("n") >= share * F.col("pages"))
+    beside = F.col("n") >= F.least(BESIDE_SHARE * F.col("pages"), F.lit(BESIDE_PAGES))
+    return stored(many.where(F.col("wide") | beside).select("host", "hash", "wide"), "host-templates")
+
 
+def _rows(pages: DataFrame, url: str, page: str) -> DataFrame:
     rows = pages.select(host(F.col(f"`{url}`").cast("string")).alias("host"), text_of(f"`{page}`").alias("page"))
-    distinct = rows.mapInArrow(hashes, "host string, content long, hash long").distinct()
-    counted = stored(distinct.groupBy("host", "hash").agg(F.count("*").alias("n")), "host-subtrees")
-    n_pages = counted.where("hash is null").select("host", F.col("n").alias("pages"))
-    counted = counted.where("hash is not null")
-    many = counted.where(F.col("n") >= least).join(n_pages, "host").where(F.col("n") >= share * F.col("pages"))
-    return many.groupBy("host").agg(F.collect_list("hash").alias("template"))
+    return rows.select("host", F.xxhash64("page").alias("mark"), "page")
+
+
+def host_templates(pages: DataFrame, url: str = "url", page: str = "html", share: float = TEMPLATE_SHARE,
+                   least: int = TEMPLATE_PAGES) -> DataFrame:
+    """``host, template``: the hashes of the subtrees that are template somewhere on each host, for a look.
+
+    Pages of a host with the same main text count as one, whatever stands around it.
+    """
+    standing = _standing(_rows(pages, url, page))
+    stands = standing.where("hash is not null").groupBy("host", "hash").agg(F.min("place").alias("place"))
+    found = stands.join(_templates(standing, share, least), ["host", "hash"]).where(F.col("wide") | (F.col("place") < WITHIN))
+    return found.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html",
@@ -242,9 +339,15 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
 
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
                         text_of(f"`{page}`").alias("page"))
-    # written first: pages then need not move to their host's task, or a hot host's can be split
-    found = stored(host_templates(rows, "url", "page", share, least), "host-templates")
-    joined = rows.withColumn("host", host(F.col("url"))).join(found, "host", "left")
+    rows = rows.withColumn("host", host(F.col("url"))).withColumn("mark", F.xxhash64("page"))
+    standing = _standing(rows)
+    templates = _templates(standing, share, least)
+    # each page has only its own: a host may have any number of them
+    asked = standing.where(f"hash is not null and place > {UNREAD}").select("host", "mark", "hash", "place").distinct()
+    own = asked.join(templates, ["host", "hash"]).where(F.col("wide") | (F.col("place") == BESIDE))
+    # written first: pages then need not move to their host's task, or a hot page's can be split
+    found = stored(own.groupBy("host", "mark").agg(F.collect_list("hash").alias("template")), "page-templates")
+    joined = rows.join(found, ["host", "mark"], "left")
     return joined.select("page_id", "url", "page", "template").mapInArrow(extract, "page_id long, url string, text string")
 
 
