@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from trunkwatch.llm import suffix_dedup
 from trunkwatch.llm.suffix_dedup import names, remove_repeats, runs
 
 
@@ -48,6 +49,25 @@ def test_same_bytes_as_brute_force(documents, length, gram, group):
         assert r.n_bytes == len((texts[r.doc_id] or "").encode())
 
 
+def test_rows_that_repeat_are_held_once(documents, monkeypatch):
+    rng = random.Random(4)
+    plain = lambda k: "".join(rng.choice("abcdefgh ") for _ in range(k))
+    passage = plain(300)
+    texts = [plain(300) + passage + plain(300) for _ in range(3)]
+    rows = [(0, texts[0])] * 30 + [(None, texts[1])] * 3 + [(2, texts[2])]
+    arrays, cuts = [], []
+    compare, removed = suffix_dedup._parts, suffix_dedup.spans_by_document
+    monkeypatch.setattr(suffix_dedup, "_parts", lambda *a: cuts.append(compare(*a)) or cuts[0])
+    monkeypatch.setattr(suffix_dedup, "spans_by_document", lambda *a: arrays.append(removed(*a)) or arrays[0])
+    found = remove_repeats(documents(rows).repartition(5)).collect()
+    expected = {i: by_hand([t for _, t in rows], 200)[[r[0] for r in rows].index(i)] for i in (0, None, 2)}
+    assert len(found) == len(rows) and all((bytes(r.kept), len(r.spans)) == expected[r.doc_id] for r in found)
+    keys = [(r.gram, r.doc_id, r["first"]) for r in cuts[0].collect()]
+    assert keys and len(keys) == len(set(keys))
+    held = [[(s.s, s.e) for s in r.spans] for r in arrays[0].collect()]
+    assert len(held) == 3 and all(len(h) == len(set(h)) for h in held)
+
+
 def test_runs_cover_each_window_once_and_agree_on_equal_windows():
     rng = random.Random(9)
     data = bytes(rng.choice(b"ab") for _ in range(3000)) + b"c" * 600 + bytes(rng.choice(b"ab") for _ in range(900))

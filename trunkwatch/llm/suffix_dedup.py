@@ -123,11 +123,17 @@ def _runs(length: int, gram: int):
 
 
 def _cut(length: int):
-    """Documents with the runs wanted of them to one row per run, with its bytes."""
+    """Documents with the runs wanted of them to one row per run, with its bytes; of rows that repeat, a task cuts one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()
         for batch in batches:
             for i in range(batch.num_rows):
+                if repeats := batch.column(4)[i].as_py():
+                    key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                    if key in done:
+                        continue
+                    done.add(key)
                 data = batch.column(2)[i].as_py().encode("utf-8", "surrogatepass")
                 wanted = pa.RecordBatch.from_struct_array(batch.column(3).slice(i, 1).flatten())
                 first, more = wanted.column("first"), wanted.column("more")
@@ -136,13 +142,14 @@ def _cut(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [wanted.column("gram"), wanted.column("known"), wanted.column("many"),
                      pa.array([batch.column(0)[i].as_py()] * n, pa.int64()),
-                     pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), first, pa.array(parts, pa.binary())],
-                    names=["gram", "known", "many", "doc_id", "mark", "first", "part"])
+                     pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), first, pa.array(parts, pa.binary()),
+                     pa.array([repeats] * n, pa.bool_())],
+                    names=["gram", "known", "many", "doc_id", "mark", "first", "part", "repeats"])
 
     return cut
 
 
-_PART = "gram long, known boolean, many boolean, doc_id long, mark long, first long, part binary"
+_PART = "gram long, known boolean, many boolean, doc_id long, mark long, first long, part binary, repeats boolean"
 
 
 def _windows(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,10 +244,25 @@ def _on_document(left: DataFrame, right: DataFrame):
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["mark"] == right["mark"])
 
 
+def _parts(marked: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """The wanted runs with their bytes, each once, however many rows repeat."""
+    by_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))
+    again = marked.groupBy("doc_id", "mark").agg(F.count("*").alias("rows")).where("rows > 1")
+    # written first: a row that repeats very often can then be split in the join
+    by_doc = stored(by_doc.join(again, _on_document(by_doc, again), "left").select(
+        by_doc["doc_id"], by_doc["mark"], "runs", F.col("rows").isNotNull().alias("repeats")), "repeat-wanted")
+    joined = marked.join(by_doc, _on_document(marked, by_doc)).select(
+        marked["doc_id"], marked["mark"], "text", "runs", "repeats")
+    cut = stored(joined.mapInArrow(_cut(length), _PART), "repeat-cuts")
+    once = cut.where("repeats").dropDuplicates(["gram", "doc_id", "mark", "first"])
+    return cut.where("not repeats").unionByName(once).drop("repeats")
+
+
 def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc_id, mark, s, e``: byte spans covered by strings of ``length`` bytes that occur twice.
 
-    Spans of a document may overlap; together they cover what is to be removed.
+    Spans of a document may overlap, and come once for each of its rows; together
+    they cover what is to be removed.
     """
     found = marked.mapInArrow(_runs(length, gram), _RUN)
     # written first: joined as they lie, aggregates by anchor would keep a hot one from being split
@@ -257,10 +279,7 @@ def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     wanted = whole.join(mixed, "gram").select(
         "at.doc_id", "at.mark", F.struct("gram", (F.col("n") > 1).alias("known"), (F.col("kinds") > group).alias("many"),
                                          "at.first", "at.more").alias("run"))
-    by_doc = wanted.groupBy("doc_id", "mark").agg(F.collect_list("run").alias("runs"))
-    joined = marked.join(by_doc, _on_document(marked, by_doc)).select(
-        marked["doc_id"], marked["mark"], "text", "runs")
-    parts = stored(joined.mapInArrow(_cut(length), _PART), "repeat-parts")
+    parts = _parts(marked, wanted, length)
     few = parts.where("not many").repartition("gram").sortWithinPartitions("gram")
     compared = few.mapInArrow(_compare(length), "doc_id long, mark long, s long, e long")
     window = parts.where("many").mapInArrow(
@@ -272,6 +291,12 @@ def repeated_spans(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, gr
     return equal.unionByName(compared).unionByName(counted)
 
 
+def spans_by_document(marked: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """``doc_id, mark, spans``: those of :func:`repeated_spans`, equal ones once."""
+    return repeated_spans(marked, length, gram, group).groupBy("doc_id", "mark").agg(
+        F.collect_set(F.struct("s", "e")).alias("spans"))
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The maximal runs of bytes that the spans cover."""
     found: list[tuple[int, int]] = []
@@ -313,8 +338,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole; an empty table gives no rows. Other columns are not read.
     """
     marked = _marked(docs, doc_id, text)
-    spans = repeated_spans(marked, length, gram, group).groupBy("doc_id", "mark").agg(
-        F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = stored(spans_by_document(marked, length, gram, group), "repeat-spans")
     joined = marked.join(spans, _on_document(marked, spans), "left").select(marked["doc_id"], "text", "spans")
     return joined.mapInArrow(_removed, "doc_id long, n_bytes long, spans array<struct<s:long,e:long>>, kept binary")
 
