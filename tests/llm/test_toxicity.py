@@ -6,8 +6,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from trunkwatch.llm import toxicity as module
 from trunkwatch.llm.toxicity import (CharacterModel, Reader, character_model, count_characters, deobfuscated, drop_toxic,
-                                     features, lattice, looks_disguised, restore, spaced, toxicity, viterbi)
+                                     features, fit, lattice, looks_disguised, restore, spaced, toxicity, viterbi)
 
 RUDE = ["idiot", "moron", "scum", "worthless"]
 
@@ -97,6 +98,19 @@ def test_labels_held_out_teach_nothing(documents, labelled):
     assert scores[0] == scores[1]
 
 
+def test_rows_that_share_an_id_teach_once(documents, labelled, model, monkeypatch):
+    texts, labels = corpus(200)
+    own = next(i for i, _, t in labels if t == 1 and zlib.crc32(str(i).encode()) % 5)
+    seen, logistic = [], module._logistic
+    monkeypatch.setattr(module, "_logistic", lambda *a: seen.append(a) or logistic(*a))
+    once = fit(documents(texts), labelled(labels), model, sample_rows=60)[0]
+    rows = [*enumerate(texts), *[(own, texts[own])] * 300]
+    often = fit(documents(rows).repartition(4), labelled(labels), model, sample_rows=60)[0]
+    assert once.names == often.names and np.allclose(once.weights, often.weights) and np.allclose(once.proof, often.proof)
+    fit(documents([*rows, *[(own, f"idiot scum number {i}") for i in range(300)]]), labelled(labels), model, sample_rows=60)
+    assert len(seen) == 3 and all(len(x[1]) <= 120 and x[2] <= 60 and x[3] <= 60 for x in seen)
+
+
 def test_without_labels_repeated_rows_and_empty_table(documents, labelled):
     docs = documents([(None, "idiot"), (3, "idiot"), (3, "idiot")])
     rows = toxicity(docs, labelled([(3, None, None)])).collect()

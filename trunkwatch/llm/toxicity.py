@@ -287,25 +287,26 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def _present(rows: DataFrame, model: CharacterModel, wanted: dict[str, int]) -> DataFrame:
-    """``doc_id, found``: the numbers of the wanted features in every text of (doc_id, t)."""
+    """``doc_id, mark, found``: the numbers of the wanted features in every text of (doc_id, mark, t)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model, wanted)
         for batch in batches:
-            found = [sorted(f) for f in reader.texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))],
-                                             names=["doc_id", "found"])
+            found = [sorted(f) for f in reader.texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))],
+                                             names=["doc_id", "mark", "found"])
 
-    return rows.mapInArrow(tidied(read), "doc_id long, found array<int>")
+    return rows.mapInArrow(tidied(read), "doc_id long, mark long, found array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "text", doc_id: str = "doc_id",
         sample_rows: int = SAMPLE_ROWS) -> tuple[Scorer, DataFrame]:
-    """The scorer, and ``doc_id, found``, the numbers of its features in every document.
+    """The scorer, and ``doc_id, mark, found``, the numbers of its features in every document.
 
-    At most ``sample_rows`` labelled rows of each class propose features and fit the
-    weights; which, is decided by a hash of their id. All labelled rows then say how
-    often a feature goes with a toxic text: copies of one text in the sample make
+    A label speaks for one text: of rows that share its id, the one with the least
+    hash (``mark``) teaches. At most ``sample_rows`` labelled ids of each class
+    propose features and fit the weights; which, is decided by a hash of their id.
+    All labelled ids then say how often a feature goes with a toxic text: copies of one text in the sample make
     its words look telling, which they are not elsewhere. Rows held out take part in
     neither. An id with several labels is toxic if one says so. Without rows of both
     classes no feature counts.
@@ -314,9 +315,10 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
                    .where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
                    .where(~held_out()), "toxicity-labels")
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
-    # two times sample_rows rows at most
+    # two times sample_rows ids at most
     sample = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "toxicity-chosen"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("t"))
+    rows = rows.select("doc_id", F.xxhash64("t").alias("mark"), "t")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
@@ -325,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
                 yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([list(found)], pa.list_(pa.string()))],
                                                  names=["toxic", "found"])
 
-    drawn = stored(rows.join(sample, "doc_id").select("t", "toxic")
+    drawn = stored(rows.join(sample, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("t", "mark").alias("t")).select("t", "toxic")
                    .mapInArrow(tidied(propose), "toxic int, found array<string>"), "toxicity-sample")
     n = {r.toxic: r.n for r in drawn.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -339,12 +341,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
     # the sample may hold more toxic rows, by share, than there are
     odds = float(np.log((total.get(1, 0) + .5) / (total.get(0, 0) + .5)))
     shift = odds - float(np.log((n_toxic + .5) / (n_clean + .5)))
-    each = (present.join(known, "doc_id").select("toxic", F.explode("found").alias("f"))
+    taught = stored(present.join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("found", "mark").alias("found")),
+                    "toxicity-taught")
+    each = (taught.select("toxic", F.explode("found").alias("f"))
             .groupBy("f").agg(toxic_rows, clean_rows).collect())  # a row per feature
     share = {r.f: r.t / (r.t + r.c + 2) for r in each if r.t >= _EVIDENCE}
     proof = {names[r.f]: share[r.f] for r in each if r.t >= _PROOF and share[r.f] >= .9}
     used = {f for f, p in share.items() if p >= .5}
-    fitted = present.join(sample, "doc_id").select("toxic", "found").where(F.size("found") > 0).collect()
+    fitted = taught.join(sample.select("doc_id"), "doc_id").select("toxic", "found").where(F.size("found") > 0).collect()
     rows_with = [(r.toxic, [f for f in r.found if f in used]) for r in fitted]
     weights, bias = _logistic(names, [r for r in rows_with if r[1]], n_toxic, n_clean) if used else ({}, odds - shift)
     return Scorer({f: weights.get(f, 0.0) for f in names}, bias + shift, proof), present
@@ -383,7 +387,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
             scores = [scorer.score(set(found)) for found in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
-    scored = present.mapInArrow(score, "doc_id long, score double")
+    scored = present.select("doc_id", "found").mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
