@@ -225,6 +225,14 @@ def test_every_unknown_value_is_told(spark, tmp_path):
     assert done.success and done.warnings == [f"Неизвестные методы: [{', '.join(f'M{i:02}' for i in range(30))}]"]
 
 
+def test_many_unknown_values_are_rows_of_a_table(spark, tmp_path):
+    rows = "".join(f"{i},1,M{i // 2},2024-01-01,true\n" for i in range(600))
+    done = imports.import_diagnostics(spark, write(tmp_path / "d.csv", DIAG + rows, "utf-8"), str(tmp_path / "store"))
+    (path,) = (tmp_path / "store" / "import_unknown").glob("*/method")
+    assert done.success and done.warnings == [f"Неизвестные методы: 300 ({path})"]
+    assert {(r["value"], r["n_rows"]) for r in spark.read.parquet(str(path)).collect()} == {(f"M{i}", 2) for i in range(300)}
+
+
 def test_batch_is_parsed_once(spark, tmp_path, monkeypatch):
     parsed = spark.sparkContext.accumulator(0)
     real = imports.read_batch

@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from trunkwatch import schema as s
 from trunkwatch.operators import model, quality
@@ -21,6 +21,8 @@ _LISTS = {
     "unknown_ml_label": (s.WARN_LABELS, "ml_label", s.RISK_LABELS),
 }
 PREVIEW_ROWS = 10
+#: Unknown values, and characters of them, that a warning itself lists; all are in the table of the run.
+LISTED_VALUES, LISTED_CHARS = 100, 10_000
 
 # Rows that are looked up together lie together: a lookup by object skips the
 # other files, and an aggregate by object is nearly done before its shuffle.
@@ -30,8 +32,8 @@ _LAYOUT = {"objects": ["pipeline_id", "object_id"], "diagnostics": ["object_id",
 
 @dataclass
 class ImportResult:
-    """What a run did. Warnings name every unknown value; a rejected batch stays at
-    ``staged_path`` until :func:`discard`."""
+    """What a run did. Warnings name every unknown value, or the table that has them; a
+    rejected batch stays at ``staged_path`` until :func:`discard`."""
     success: bool = False
     status: str = store.FAILED
     rows_imported: int = 0
@@ -59,16 +61,23 @@ def _examples(one_row: DataFrame) -> str:
     return one_row.first()["examples"]
 
 
-def _list_message(df: DataFrame, rule: str) -> str:
+def _list_message(df: DataFrame, rule: str, unknown: str) -> str:
+    """All values go to a table, ``value, n_rows``; the message names them, or how many and where."""
     text, column, allowed = _LISTS[rule]
-    # the message is the list of the distinct values, as long as that is
-    rows = quality.offending_values(df, column, allowed).orderBy("value").select("value").toLocalIterator()
+    path = f"{unknown}/{column}"
+    found = quality.offending_values(df, column, allowed)
+    found.write.parquet(path)
+    found = df.sparkSession.read.schema(found.schema).parquet(path)
+    n, n_chars = found.agg(F.count("*"), F.coalesce(F.sum(F.char_length("value")), F.lit(0))).first()
+    if n > LISTED_VALUES or n_chars > LISTED_CHARS:
+        return f"{text}: {n} ({path})"
+    rows = found.orderBy("value").select("value").collect()  # LISTED_VALUES at most
     return f"{text}: [{', '.join('null' if value is None else value for value, in rows)}]"
 
 
-def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None) -> str:
+def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None, unknown: str) -> str:
     if rule in _LISTS:
-        return _list_message(df, rule)
+        return _list_message(df, rule, unknown)
     if rule.startswith("duplicate_"):
         key = rule.removeprefix("duplicate_")
         return s.ERR_DUPLICATES % (key, _examples(quality.first_repeats(df, key)))
@@ -83,8 +92,11 @@ def _message(rule: str, n_bad: int, df: DataFrame, objects: DataFrame | None) ->
             "missing_param1": s.WARN_DEPTH % n_bad}[rule]
 
 
-def check(df: DataFrame, table: str, objects: DataFrame | None) -> tuple[list[str], list[str]]:
-    """Errors and warnings of a batch; a missing column ends the check at once."""
+def check(df: DataFrame, table: str, objects: DataFrame | None, unknown: str) -> tuple[list[str], list[str]]:
+    """Errors and warnings of a batch; a missing column ends the check at once.
+
+    Unknown values are written below the path ``unknown``, a table for each column.
+    """
     missing = quality.missing_columns(df.columns, table)
     if missing:
         there = [name for name in df.columns if name != UNREADABLE]
@@ -97,7 +109,7 @@ def check(df: DataFrame, table: str, objects: DataFrame | None) -> tuple[list[st
     if "invalid_date" in n_bad:  # told as one with the missing dates
         n_bad["null_date"] = n_bad.get("null_date", 0) + n_bad.pop("invalid_date")
         severity["null_date"] = severity["invalid_date"]
-    messages = {rule: _message(rule, n, df, objects) for rule, n in sorted(n_bad.items())}
+    messages = {rule: _message(rule, n, df, objects, unknown) for rule, n in sorted(n_bad.items())}
     errors = [m for rule, m in messages.items() if severity[rule] == quality.ERROR]
     warnings = [m for rule, m in messages.items() if severity[rule] == quality.WARNING]
     if UNREADABLE in df.columns:
@@ -124,7 +136,7 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
         staged = spark.read.parquet(result.staged_path)
         result.preview = staged.drop(UNREADABLE).limit(PREVIEW_ROWS).collect()
         objects = store.current(spark, root, "objects") if table == "diagnostics" else None
-        result.errors, result.warnings = check(staged, table, objects)
+        result.errors, result.warnings = check(staged, table, objects, f"{root.rstrip('/')}/import_unknown/{version}")
         if result.errors:
             entry |= {"errors": result.errors}
         else:
