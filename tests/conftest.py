@@ -9,9 +9,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from trunkwatch import schema as s  # noqa: E402
 from trunkwatch.session import session  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
@@ -56,7 +53,3 @@ def pipelines(table):
     def build(*ids):
         return table(s.PIPELINES, *[{"pipeline_id": i, "name": f"line {i}"} for i in ids])
     return build
-
-
-def dicts(df):
-    return [row.asDict() for row in df.collect()]

@@ -2,7 +2,7 @@ import datetime as dt
 import random
 
 import pytest
-from conftest import dicts
+from helpers import dicts
 from pyspark.sql import functions as F
 
 from trunkwatch import schema as s

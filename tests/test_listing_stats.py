@@ -1,5 +1,5 @@
 import pytest
-from conftest import dicts
+from helpers import dicts
 
 from trunkwatch.operators import latest, listing, stats
 from trunkwatch.plans import report

@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, dicts
+from helpers import SMALL, dicts
 from pyspark.sql import functions as F
 
 from trunkwatch import schema as s

@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import SMALL, dicts
+from helpers import SMALL, dicts
 from pyspark.sql import functions as F
 
 from trunkwatch.operators import alerts, forecast, latest, listing, stats

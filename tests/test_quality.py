@@ -1,5 +1,5 @@
 import pytest
-from conftest import dicts
+from helpers import dicts
 
 from trunkwatch import schema as s
 from trunkwatch.operators import quality

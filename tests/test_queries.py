@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as contract
 from trunkwatch.plans.catalog import QUERIES

@@ -3,7 +3,7 @@ import io
 import zipfile
 
 import pytest
-from conftest import dicts
+from helpers import dicts
 
 from trunkwatch import schema as s
 from trunkwatch.plans import imports

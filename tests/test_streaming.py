@@ -1,4 +1,4 @@
-from conftest import dicts
+from helpers import dicts
 
 from trunkwatch.operators.alerts import current_alerts, defect_alerts
 from trunkwatch.streaming import alerts as alert_streams, imports as import_streams
