@@ -16,6 +16,7 @@ from trunkwatch.llm.token_counts import op2_token_counts
 from trunkwatch.llm.token_shards import op4_token_shards
 from trunkwatch.llm.toxicity import op5_toxicity
 from trunkwatch.llm.url_filter import OP6_SQL, op6_url_filter
+from trunkwatch.llm.vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
@@ -28,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": op8_html_text,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op6_url_filter": OP6_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
