@@ -121,14 +121,14 @@ def small_parts(spark):
 
 def test_a_long_conversation_lies_in_several_parts(small_parts):
     """One conversation with nearly all rows, and two that repeat its beginning."""
-    rows = [(40, t, "u", f"turn {t}") for t in range(4000)]
-    rows += [(c, t, "u", f"turn {t}") for c in (44, 59) for t in range(300)] + chats(30)
+    rows = [(40, t, "u", f"turn {t}") for t in range(400)]
+    rows += [(c, t, "u", f"turn {t}") for c in (44, 59) for t in range(130)] + chats(30)
     spark = small_parts
     placed = turns(frame(spark, rows, 8))
     assert placed.where("conv = 40").select("part").distinct().count() > 3
     order = {r.pos: r.x for r in sequences(placed).where("conv = 40").collect()}
-    assert sorted(order) == list(range(4001)) and len(set(order.values())) == 4001
-    assert sorted(map(tuple, prefix_trie(frame(spark, rows, 8), block=128).collect()), key=str) == plain(rows)
+    assert sorted(order) == list(range(401)) and len(set(order.values())) == 401
+    assert sorted(map(tuple, prefix_trie(frame(spark, rows, 8), block=32).collect()), key=str) == plain(rows)
 
 
 def test_partitions_do_not_matter(spark):

@@ -183,6 +183,8 @@ class Shard:
         self.postings = [1 << int(local[order[s]]) if e - s == 1 else _bits(local[order[s:e]], n)
                          for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
         counts = np.bincount(local, minlength=n)
+        if (pos - first != np.arange(len(pos)) - np.repeat(np.cumsum(counts) - counts, counts)).any():
+            raise ValueError("positions with gaps")
         self.starts = (np.cumsum(counts) - counts).tolist()
         self.codes = self.codes.tolist()
         # conversations whose last turn in the block is at an offset, and those that end there
