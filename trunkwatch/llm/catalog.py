@@ -10,6 +10,7 @@ from trunkwatch.llm.bpe import op7_bpe
 from trunkwatch.llm.decontaminate import op10_decontaminate
 from trunkwatch.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from trunkwatch.llm.html_text import op8_html_text
+from trunkwatch.llm.nearest import op13_nearest
 from trunkwatch.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from trunkwatch.llm.simhash import op1_simhash_near_dedup
 from trunkwatch.llm.suffix_dedup import op3_suffix_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_vector_codes": op11_vector_codes,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_nearest": op13_nearest,
 }
 
 ORACLES: dict[str, str] = {
