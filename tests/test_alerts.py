@@ -65,6 +65,33 @@ def test_events_logged_twice_change_nothing(table):
     assert dicts(alerts.read_all_marks(twice))[0]["marked_count"] == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_next_mark_over_many_partitions(spark, table, seed):
+    """Marks many partitions away, several rows of one instant, and rows after the last mark."""
+    rnd = random.Random(seed)
+    rows = [(rnd.randrange(300), None) for _ in range(400)] + [(77, None)] * 200 + [(m, m) for m in rnd.sample(range(250), 4 + seed) + [77]]
+    rows = list({(at, mark, i if mark is None else 0) for i, (at, mark) in enumerate(rows)})
+    frame = spark.createDataFrame([(START + dt.timedelta(seconds=at), None if mark is None else START + dt.timedelta(seconds=mark), f"a{i}")
+                                   for at, mark, i in rows], "at timestamp, mark timestamp, alert_id string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        found = alerts.next_mark(frame).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    marks = sorted({r.mark for r in found if r.mark})
+    assert len(found) == len(rows)
+    assert all(r.next_mark == next((m for m in marks if m >= r.at), None) for r in found)
+
+
+def test_read_alls_without_time_and_events_of_unknown_alerts_count_nothing(table):
+    log = table(s.ALERT_EVENTS, event("created", "a", 3), {"action": "read_all"}, event("read_all", None, 3), event("read", "b", 1),
+                event("created", None, 1), event("read_all", "c", 9))
+    marked = {r["event_at"]: r["marked_count"] for r in dicts(alerts.read_all_marks(log))}
+    assert marked == {(START + dt.timedelta(minutes=m)).replace(tzinfo=None): n for m, n in ((3, 1), (9, 0))}
+
+
 def test_log_without_read_all(table):
     log = table(s.ALERT_EVENTS, event("created", "a", 0), event("read", "x", 1))
     assert [r["is_read"] for r in dicts(alerts.current_alerts(log))] == [False]

@@ -147,6 +147,19 @@ def test_latest_and_map(sample, places):
     assert latest.map_points(sample, places, date_from="2024-02-02").count() == 0
 
 
+def test_latest_of_odd_rows(diagnostics):
+    """No date, a text that is none, no id, and rows that differ in nothing that orders them."""
+    rows = diagnostics(
+        {"diag_id": 1, "object_id": 1, "date": None}, {"diag_id": 2, "object_id": 1, "date": "2024-13-45"},
+        {"diag_id": 9, "object_id": 2, "date": None}, {"diag_id": None, "object_id": 2, "date": "1999-01-01"},
+        {"diag_id": -(1 << 63), "object_id": 3, "date": "2024-01-02"}, {"diag_id": (1 << 63) - 1, "object_id": 3, "date": "2024-01-01"},
+        {"diag_id": 5, "object_id": 4, "date": "2024-01-01", "method": "UZK"}, {"diag_id": 5, "object_id": 4, "date": "2024-01-01", "method": "VIK"},
+        *[{"diag_id": 6, "object_id": 5, "date": "2024-01-01"}] * 3, {"diag_id": 7, "object_id": None, "date": "2024-01-01"})
+    found = dicts(latest.latest_per_object(rows))
+    assert {r["object_id"]: r["diag_id"] for r in found} == {1: 2, 2: None, 3: -(1 << 63), 4: 5, 5: 6} and len(found) == 5
+    assert next(r["method"] for r in found if r["object_id"] == 4) == "VIK"
+
+
 def test_polylines(places, pipelines):
     rows = [tuple(r)[:3] for r in latest.trunkline_polylines(pipelines("MT-01", "MT-02", "MT-03"), places).collect()]
     assert [(p, o) for p, _, o in rows] == [("MT-01", 0), ("MT-01", 1), ("MT-01", 1), ("MT-02", 2)]

@@ -16,7 +16,7 @@ from trunkwatch.streaming import imports as import_streams
 ACTIONS = {"train_model", "model_accuracy", "score_defects", "feature_importance", "training_alerts",
            "import_objects", "import_diagnostics", "import_log", "run_alerts", "alert_log", "stream_import",
            "accuracy_check", "score_check", "importance_check", "training_alert_check", "import_and_train",
-           "stream_defect_alerts", "scan_trunklines", "scan_objects", "scan_diagnostics", "csv_charset_fallback"}
+           "stream_defect_alerts", "read_all_marks", "scan_trunklines", "scan_objects", "scan_diagnostics", "csv_charset_fallback"}
 
 
 def plan(df):
@@ -81,9 +81,15 @@ def test_map_points_read_what_they_show_and_only_their_line(stored):
     assert text.index("LeftSemi") > text.rindex("newest")
 
 
-def test_read_all_marks_have_no_task_for_all(spark):
-    text = plan(QUERIES["read_all_marks"](spark, SMALL))
-    assert "SinglePartition" not in text
+def test_read_all_marks_read_events_once_and_have_no_task_for_all(spark):
+    events = view(spark, SMALL, "alert_events")
+    folded = plan(alerts._timeline(events))
+    assert folded.count("FileScan") == plan(events).count("FileScan")
+    text = plan(alerts.read_all_marks(events))
+    # from the written timeline: once for the rows and once for a row per partition
+    assert text.count("FileScan") == 2
+    single = [i for i, line in enumerate(text.splitlines()) if "SinglePartition" in line]
+    assert len(single) == 1 and "HashAggregate(keys=[part" in text.splitlines()[single[0] + 1]
 
 
 def test_critical_objects_are_cut_before_the_shuffle(spark, stored):

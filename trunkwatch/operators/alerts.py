@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trunkwatch import schema as s
 from trunkwatch.operators.latest import one_per_object
 from trunkwatch.operators.listing import defects_only
+from trunkwatch.session import written
 
 DEFECT = "defect_detection"
 
@@ -116,57 +117,48 @@ def unread_count(alerts: DataFrame) -> DataFrame:
     return alerts.agg(F.count_if(~F.col("is_read")).alias("unread_count"))
 
 
-def _later_years(marks: DataFrame) -> DataFrame:
-    """For each year before a read-all, the first read-all of a later year."""
-    first = marks.groupBy(F.year("at").alias("y")).agg(F.min("at").alias("first"))
-    return (first.select(F.explode(F.sequence(F.lit(1), F.col("y") - 1)).alias("year"), "first")
-            .groupBy("year").agg(F.min("first").alias("later_year")))
+def _timeline(events: DataFrame) -> DataFrame:
+    """One row per alert that was created and one per instant of a read-all, from one reading of the events.
 
+    ``at`` is when the alert was created or all were read, ``mark`` is null for an alert.
+    """
+    def first(action: str) -> Column:
+        return F.min(F.when(F.col("action") == action, F.col("event_at")))
 
-def _next_read_all(instants: DataFrame, read_alls: DataFrame) -> DataFrame:
-    """For each instant the first read-all at or after it.
+    mark = F.when(F.col("action") == "read_all", F.col("event_at"))
+    mine = F.when(F.col("action") != "read_all", F.col("alert_id"))
+    return (events.groupBy(mine.alias("alert_id"), mark.alias("mark"))
+            .agg(first("created").alias("created_at"), first("read").alias("read_at"), first("deleted").alias("deleted_at"))
+            .where(F.col("mark").isNotNull() | (F.col("alert_id").isNotNull() & F.col("created_at").isNotNull()))
+            .select(F.coalesce("mark", "created_at").alias("at"), "mark", "alert_id", "read_at", "deleted_at"))
 
-    Looked up in its second first, then in later seconds of the minute, minutes of
-    the hour, and so on up to years. A window spans the distinct instants of a
-    second or the at most 366 parts of the next larger unit, whatever the number
-    of alerts and however many fall into one hour.
+
+def next_mark(timeline: DataFrame) -> DataFrame:
+    """``timeline`` with ``next_mark``, the first ``mark`` at or after each row's ``at``: an as-of merge.
+
+    Rows are sorted by time over all partitions and written with the number of
+    theirs. Within a partition a window carries the marks back in time; what is
+    left takes the first mark of a later partition, from one row per partition.
+    Rows of one instant differ by ``alert_id``, so that a hot one extends over
+    several partitions.
     """
-    marks = read_alls.where(F.col("event_at").isNotNull()).select(F.col("event_at").alias("at")).distinct()
-    moments = (instants.where(F.col("at").isNotNull()).withColumn("mark", F.lit(None).cast("timestamp"))
-               .unionByName(marks.withColumn("mark", F.col("at")))
-               .groupBy("at").agg(F.max("mark").alias("mark")))
-    parts = moments.groupBy(F.date_trunc("second", "at").alias("part")).agg(F.min("mark").alias("first"))
-    levels = [parts]
-    for unit in ("minute", "hour", "day", "year"):
-        levels.append(levels[-1].groupBy(F.date_trunc(unit, "part").alias("part")).agg(F.min("first").alias("first")))
-    years = levels.pop().withColumn("year", F.year("part"))
-    following = years.join(_later_years(marks), "year", "left").select(
-        F.col("part").alias("whole"), F.col("later_year").alias("beyond"))
-    for unit, level in zip(("year", "day", "hour", "minute"), reversed(levels)):
-        after = Window.partitionBy("whole").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
-        within = (level.withColumn("whole", F.date_trunc(unit, "part"))
-                  .withColumn("later", F.last("first", ignorenulls=True).over(after)))
-        following = within.join(following, "whole").select(
-            F.col("part").alias("whole"), F.coalesce("later", "beyond").alias("beyond"))
-    onwards = Window.partitionBy("whole").orderBy(F.desc("at"))
-    return (moments.withColumn("whole", F.date_trunc("second", "at"))
-            .withColumn("own", F.last("mark", ignorenulls=True).over(onwards))
-            .join(following, "whole")
-            .select("at", F.coalesce("own", "beyond").alias("read_all_at")))
+    # within an instant the mark comes last: it is in the partition of its alerts or in a later one
+    dealt = timeline.repartitionByRange("at", F.asc_nulls_first("mark"), "alert_id")
+    placed = written(dealt.withColumn("part", F.spark_partition_id()), "timeline")
+    onwards = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    first = placed.groupBy("part").agg(F.min("mark").alias("first"))  # a row per partition
+    beyond = first.select("part", F.last("first", ignorenulls=True).over(onwards).alias("beyond"))
+    backwards = Window.partitionBy("part").orderBy(F.desc("at"), F.asc_nulls_last("mark"))
+    return (placed.withColumn("own", F.last("mark", ignorenulls=True).over(backwards))
+            .join(beyond, "part").withColumn("next_mark", F.coalesce("own", "beyond")).drop("part", "own", "beyond"))
 
 
 def read_all_marks(events: DataFrame) -> DataFrame:
     """How many alerts each read-all newly marked: those created by then and
     neither read nor deleted before it."""
-    folded, read_alls = _folded(events), _read_alls(events)
-    created = events.where(F.col("action") == "created")
-    instants = created.select(F.col("event_at").alias("at")).distinct()
-    following = _next_read_all(instants, read_alls).select(F.col("at").alias("created_at"), "read_all_at")
-    marked = (folded.join(following, "created_at")
-              .where(F.col("read_all_at").isNotNull()
-                     & (F.col("read_at").isNull() | (F.col("read_at") > F.col("read_all_at")))
-                     & (F.col("deleted_at").isNull() | (F.col("deleted_at") > F.col("read_all_at"))))
-              .groupBy(F.col("read_all_at").alias("event_at"))
-              .agg(F.count("*").alias("marked")))
-    return (read_alls.select("event_at").distinct().join(marked, "event_at", "left")
-            .select("event_at", F.coalesce("marked", F.lit(0)).alias("marked_count")))
+    def not_before(name: str) -> Column:
+        return F.col(name).isNull() | (F.col(name) > F.col("next_mark"))
+
+    merged = next_mark(_timeline(events)).where(F.col("next_mark").isNotNull())
+    counted = F.count_if(F.col("mark").isNull() & not_before("read_at") & not_before("deleted_at"))
+    return merged.groupBy(F.col("next_mark").alias("event_at")).agg(counted.alias("marked_count"))
