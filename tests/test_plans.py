@@ -6,7 +6,7 @@ import pytest
 from helpers import SMALL, dicts
 from pyspark.sql import functions as F
 
-from trunkwatch.operators import alerts, forecast, latest, listing, stats
+from trunkwatch.operators import alerts, forecast, latest, listing, quality, stats
 from trunkwatch.plans.catalog import QUERIES
 from trunkwatch.plans.imports import laid_out
 from trunkwatch.sources.bridge import view
@@ -92,6 +92,16 @@ def test_read_all_marks_read_events_once_and_have_no_task_for_all(spark):
     assert len(single) == 1 and "HashAggregate(keys=[part" in text.splitlines()[single[0] + 1]
 
 
+def test_validation_reads_each_table_once(spark, stored, no_broadcast):
+    checked = quality.validate_diagnostics(stored["diagnostics"], stored["objects"])
+    text = plan(checked)
+    assert len(re.findall(r"FileScan parquet \[.*?diag_id", text)) == 1 and text.count("FileScan") == 2
+    assert plan(quality.validate_objects(stored["objects"])).count("FileScan") == 1
+    started = plan(quality.validate_at_startup(stored["objects"], stored["diagnostics"]))
+    assert started.count("FileScan") == 3  # objects are read to be judged, and to be referred to
+    assert re.search(r"Exchange hashpartitioning\(kind.*\n.*partial_count", text)
+
+
 def test_critical_objects_are_cut_before_the_shuffle(spark, stored):
     text = plan(forecast.critical_objects(stored["objects"], stored["diagnostics"]))
     assert re.search(r"Exchange hashpartitioning\(pipeline_id.*\n.*WindowGroupLimit.*Partial", text)

@@ -1,8 +1,10 @@
 """Data-quality rules.
 
-All row rules of a table are conditional counts in one pass. Repeated keys add
-one aggregate by key; orphans are first reduced to one row per id and then
-anti-joined, so a hot missing object costs one row in the join.
+All rules of a table are counted in one pass. A row is counted once under its key
+and once under the object it refers to, in one aggregate; the conditional counts of
+the row rules ride on the latter. Keys that are counted twice are repeats, objects
+that are not in the object table make orphans; a hot missing object costs one row
+in that join.
 """
 
 from __future__ import annotations
@@ -146,21 +148,47 @@ def _severities(rules: dict[str, tuple[str, Column]]) -> dict[str, str]:
     return {name: severity for name, (severity, _) in rules.items()}
 
 
+def count_all(df: DataFrame, rules: dict[str, tuple[str, Column]], key: str | None = None,
+              objects: DataFrame | None = None) -> DataFrame:
+    """One row, from one reading of ``df``: offending rows per rule, repeats of ``key``, orphans and emptiness.
+
+    ``objects`` is what ``object_id`` refers to; without it, or without a key, the
+    rows that these count are left out.
+    """
+    flags = [bad.cast("long").alias(name) for name, (_, bad) in rules.items()]
+    nothing = [F.lit(0).cast("long").alias(name) for name in rules]
+    id_ = (F.col("object_id") if objects is not None else F.lit(None)).cast("long")
+    views = [F.struct(F.lit("object").alias("kind"), id_.alias("id"), *flags)]
+    if key:
+        views.append(F.struct(F.lit("key").alias("kind"), F.col(key).cast("long").alias("id"), *nothing))
+    counted = (df.select(F.inline(F.array(*views))).groupBy("kind", "id")
+               .agg(F.count("*").alias("n"), *[F.sum(name).alias(name) for name in rules]))
+    by_object = F.col("kind") == "object"
+    counts = [F.sum(name).alias(name) for name in rules]
+    counts.append((F.coalesce(F.sum(F.when(by_object, F.col("n"))), F.lit(0)) == 0).cast("long").alias("empty_table"))
+    if key:
+        counts.append(F.sum(F.when(~by_object, F.col("n") - 1)).alias(f"duplicate_{key}"))
+    if objects is not None:
+        known = (objects.groupBy(F.col("object_id").cast("long").alias("id")).agg(F.lit(True).alias("known"))
+                 .withColumn("kind", F.lit("object")))
+        counted = counted.join(known, ["kind", "id"], "left")
+        counts.append(F.sum(F.when(by_object & F.col("known").isNull(), F.col("n"))).alias("orphan_object_id"))
+    return counted.agg(*counts)
+
+
 def validate_objects(objects: DataFrame) -> DataFrame:
     rules = object_row_rules()
-    return findings([count_rules(objects, rules), count_repeats(objects, "object_id")],
+    return findings([count_all(objects, rules, "object_id")],
                     {**_severities(rules), "duplicate_object_id": ERROR})
 
 
 def validate_diagnostics(diagnostics: DataFrame, objects: DataFrame | None = None) -> DataFrame:
     """Import rules; the reference to objects is checked where there are any."""
     rules = diagnostic_row_rules(diagnostics.columns)
-    parts = [count_rules(diagnostics, rules), count_repeats(diagnostics, "diag_id")]
     severities = {**_severities(rules), "duplicate_diag_id": ERROR}
     if objects is not None:
-        parts.append(count_orphans(diagnostics, objects))
         severities["orphan_object_id"] = ERROR
-    return findings(parts, severities)
+    return findings([count_all(diagnostics, rules, "diag_id", objects)], severities)
 
 
 def validate_at_startup(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
@@ -170,10 +198,10 @@ def validate_at_startup(objects: DataFrame, diagnostics: DataFrame) -> DataFrame
         "invalid_date": (ERROR, bad_date()),
     }
     on_objects = findings(
-        [count_repeats(objects, "object_id"), count_empty(objects)],
+        [count_all(objects, {}, "object_id")],
         {"duplicate_object_id": ERROR, "empty_table": ERROR})
     on_diagnostics = findings(
-        [count_rules(diagnostics, rules), count_orphans(diagnostics, objects), count_empty(diagnostics)],
+        [count_all(diagnostics, rules, objects=objects)],
         {**_severities(rules), "orphan_object_id": ERROR, "empty_table": ERROR})
     return (on_objects.withColumn("table_name", F.lit("objects"))
             .unionByName(on_diagnostics.withColumn("table_name", F.lit("diagnostics"))))
