@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from trunkwatch.llm.token_counts import length_histogram, length_report, quantiles, truncated_total
-from trunkwatch.llm.tokens import TextEncoder, library_encoder, vocabulary_path
+from trunkwatch.llm.tokens import TextEncoder, library_encoder, part_encoder, vocabulary_path
 
 TEXTS = ["", None, " ", "a", " a", "a ", "a  b", "a \n b\n\n c", "tab\tx", "no break   em", "  lead", "it's I'll",
          "x<|endoftext|> y <|endoftext|>", "a" * 5000, " " * 300, "\x1c a \x1f b", "é ü 漢字 🙂 1234 $$$ %%%", "\n", "a.\nB c", "x, y. z,", "a,. b., c.,", "é, 漢. 1, x., ,", "ab. ", ", a", "I'll, we've."]
@@ -12,7 +12,11 @@ TEXTS = ["", None, " ", "a", " a", "a ", "a  b", "a \n b\n\n c", "tab\tx", "no 
 
 @pytest.fixture(scope="module")
 def own():
-    return TextEncoder(library_encoder(vocabulary_path()))
+    return TextEncoder(part_encoder(vocabulary_path()))
+
+
+LINED = ["a\nb", "a.\nB c", "a.\n\nB", "x,\ny.\nz", " a\nb", "a\nb ", "\na", "a\n", "a\tb\nc", "a.\nb.\n c", "a\r\nb", "1\n2 3\n.4", "it\n's I\n'll",
+         "a\nb<|endoftext|>\nc", "é.\nÉ, é\n漢", "a\x0bb\nc", "<|endo\nftext|>"]
 
 
 def whole(texts):
@@ -30,6 +34,11 @@ def test_parts_give_the_ids_of_whole_texts(own):
     assert through_parts(own, TEXTS) == whole(TEXTS)
 
 
+def test_lines_and_parts_with_the_added_token(own):
+    texts = [*LINED, *[f"w{i}\nv{i}. x<|endoftext|>{i}" for i in range(3000)], *LINED]
+    assert through_parts(own, texts) == whole(texts)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab .,.,'\n\t\r\x1c  é1$<|endoftext|>"), max_size=30), max_size=5))
 def test_any_white_space(own, texts):

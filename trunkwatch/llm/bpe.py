@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import table, text_of, tidied
-from trunkwatch.llm.tokens import encoder, vocabulary_path
+from trunkwatch.llm.tokens import encoder, flat, vocabulary_path
+from trunkwatch.sources.tables import named
 
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Fixed value: what a byte-level vocabulary's texts are split by.
@@ -182,7 +183,7 @@ def decoder(path: str) -> Decoder:
 
 def _part_encoder(path: str):
     own = Bpe(_load(path))
-    return lambda parts: [own.encode(p) for p in parts]
+    return lambda parts: flat([own.encode(p) for p in parts])
 
 
 def _encoding(file: str):
@@ -223,7 +224,7 @@ def _decoding(file: str):
 
 
 def _packed(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, str]:
-    packed = docs.select(text_of(f"`{text}`").alias("t"), F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"))
+    packed = docs.select(text_of(text).alias("t"), F.struct(*[named(c) for c in keep]).alias("row"))
     return packed, f"row {packed.schema['row'].dataType.simpleString()}, ids binary"
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from trunkwatch.llm.common import stored, table, text_of
-from trunkwatch.llm.tokens import encoder, library_encoder, vocabulary_path
+from trunkwatch.llm.tokens import encoder, vocabulary_path
 
 #: Lengths that are summed together first, so that no task sees all lengths.
 _BLOCK = 1024
@@ -31,7 +31,7 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None
     path = vocabulary or vocabulary_path()
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, "library", library_encoder)
+        own = encoder(path, "library")
         for batch in batches:
             for _, offsets, _ in own.encode(batch.column(0)):
                 n, count = np.unique(np.diff(offsets), return_counts=True)

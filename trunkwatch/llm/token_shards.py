@@ -8,24 +8,23 @@ and a task that is run again leaves nothing behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from trunkwatch.llm.common import partitions, table, text_of
-from trunkwatch.llm.tokens import encoder, library_encoder, vocabulary_path
+from trunkwatch.llm.common import table, text_of
+from trunkwatch.llm.tokens import encoder, vocabulary_path
 from trunkwatch.llm.wavelet import Shard, encode_shard
 from trunkwatch.session import work_folder
+from trunkwatch.sources.tables import named
 
 #: The id after each document.
 END = 0
 #: Tokens of a shard; a longer document makes a longer shard.
 SHARD_TOKENS = 1 << 20
-#: Bytes of text of a partition.
-_PARTITION_BYTES = 24 << 20
-
 
 def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                  vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END) -> None:
@@ -36,10 +35,9 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     alone. An empty table writes no shard. Other columns are not read.
     """
     file = vocabulary or vocabulary_path()
-    spark = docs.sparkSession
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard = encoder(file, "library", library_encoder), TaskContext.get().partitionId() << 32
+        own, shard = encoder(file, "library"), TaskContext.get().partitionId() << 32
         ids, lengths, tokens, held = [], [], [], 0
 
         def image() -> pa.RecordBatch:
@@ -69,39 +67,43 @@ def write_shards(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         if ids:
             yield image()
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("i"), text_of(f"`{text}`").alias("t"))
-    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    place = [F.col("i"), F.xxhash64("t")]
-    (rows.repartitionByRange(partitions(spark, n_bytes, _PARTITION_BYTES), *place).sortWithinPartitions(*place)
+    # rows that share id and text differ in their place, so that the range sort can split them
+    rows = docs.select(named(doc_id).cast("long").alias("i"), text_of(text).alias("t"),
+                       F.monotonically_increasing_id().alias("row"))
+    place = ["i", F.xxhash64("t"), "row"]
+    (rows.repartitionByRange(*place).sortWithinPartitions(*place).select("i", "t")
      .mapInArrow(images, "shard long, n_tokens long, image binary").write.parquet(path))
 
 
 _SHARD = "shard long, n_tokens long, image binary"
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     """``doc_id, shard, place, n_tokens, ids`` of every document, read from the shards.
 
     ``ids`` are little-endian unsigned 32-bit integers; ``place`` counts the ids
-    before them in the shard.
+    before them in the shard. With ``digest`` their CRC-32 stands for them, as ``ids_crc32``.
     """
 
+    last = "ids_crc32" if digest else "ids"
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, image in zip(batch.column(0), batch.column(1)):
                 shard = Shard(image.as_py())
-                raw = shard.tokens().astype("<u4").tobytes()
+                raw = memoryview(shard.tokens().astype("<u4").tobytes())
                 ends = np.cumsum(shard.lengths)
                 for a in range(0, len(ends), 2048):
                     e, n = ends[a:a + 2048], shard.lengths[a:a + 2048]
+                    own = [raw[4 * (y - x):4 * y] for x, y in zip(n.tolist(), e.tolist())]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(shard.doc_ids[a:a + 2048], pa.int64()),
                          pa.array([number.as_py()] * len(e), pa.int64()), pa.array(e - n), pa.array(n),
-                         pa.array([raw[4 * (y - x):4 * y] for x, y in zip(n.tolist(), e.tolist())], pa.binary())],
-                        names=["doc_id", "shard", "place", "n_tokens", "ids"])
+                         pa.array([crc32(i) for i in own], pa.int64()) if digest else pa.array(own, pa.binary())],
+                        names=["doc_id", "shard", "place", "n_tokens", last])
 
     shards = spark.read.schema(_SHARD).parquet(path).select("shard", "image")
-    return shards.mapInArrow(unpack, "doc_id long, shard long, place long, n_tokens long, ids binary")
+    return shards.mapInArrow(unpack, f"doc_id long, shard long, place long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def with_starts(rows: DataFrame, path: str) -> DataFrame:
@@ -134,7 +136,7 @@ def occurrences(spark: SparkSession, path: str, token: int, limit: int | None =
 
 
 def op4_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all ``documents``, read back from their shards; see :func:`write_shards` for odd inputs."""
     path = work_folder(spark, "token-shards")
     write_shards(table(spark, sf_dir, "documents"), path)
-    read = read_shards(spark, path).select("doc_id", "shard", "place", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return with_starts(read, path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")
+    return with_starts(read_shards(spark, path, digest=True), path).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "place")

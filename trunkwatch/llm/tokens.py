@@ -4,7 +4,9 @@ The byte-level pattern never lets a token cross a single space between two
 characters that are not white space, except that the space goes with what
 follows, nor from a letter to a comma or period that ends such a part. So a text
 is cut there, each distinct part is encoded once (with its space), and the ids of
-the parts are put together by numpy. What encodes the parts is a parameter.
+the parts are put together by numpy. What encodes the parts is a parameter. A line
+end between two characters that are not white space is a token of its own, so
+parts are cut there too.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Parts that one worker remembers; beyond that it forgets those met once. Decides no result.
 REMEMBERED = 600_000
 #: Bytes of text that are encoded at once, a longer text alone.
-_AT_ONCE = 4 << 20
+_AT_ONCE = 8 << 20
 
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _OUTER_SPACE = f"^[{_SPACE}]|[{_SPACE}]$|^$"
 _MARKS = [",", "."]
+_LINES = f"^[^{_SPACE}]+(\n[^{_SPACE}]+)+$"
 _MARKED = r"\p{L}[,.]$"
 _INNER_BREAK = re.compile(r"(?<=\S) (?=\S)")
 
@@ -53,10 +56,59 @@ def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     return encode
 
 
+#: Parts that the library encodes as one text.
+_JOINED = 2048
+
+
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of ids of each part, all ids)"""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+
+
+def part_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """The library's ids of many parts, encoded together with an added token between them.
+
+    An added token is cut out before anything else, so parts keep their own ids. That
+    holds where there is one such token that no end of itself begins; parts that
+    hold it, and vocabularies without it, are encoded part by part.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    apart, added = library_encoder(path), tokenizer.get_added_tokens_decoder()
+    (number, token), = added.items() if len(added) == 1 else [(0, None)]
+    plain = token is not None and not (token.lstrip or token.rstrip or token.single_word or token.normalized)
+    if not plain or any(token.content.startswith(token.content[i:]) for i in range(1, len(token.content))):
+        return lambda parts: flat(apart(parts))
+    between = token.content
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, ids = [], []
+        for at in range(0, len(parts), _JOINED):
+            some = parts[at:at + _JOINED]
+            text = between.join(some)
+            if text.count(between) == len(some) - 1:
+                found = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(found == number)
+                lengths.append(np.diff(cuts, prepend=-1, append=len(found)) - 1)
+                ids.append(np.delete(found, cuts))
+            else:
+                own = flat(apart(some))
+                lengths.append(own[0])
+                ids.append(own[1])
+        return np.concatenate(lengths), np.concatenate(ids)
+
+    return encode
+
+
 class TextEncoder:
-    """Ids of whole texts from an encoder of their parts."""
+    """Ids of whole texts from an encoder of their parts, which gives their numbers of ids and all ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
         self._encode = encode
         self.forget()
 
@@ -87,21 +139,21 @@ class TextEncoder:
 
     def _slots_of(self, parts: list[str]) -> np.ndarray:
         known = self._slots
-        new = list(dict.fromkeys([p for p in parts if p not in known]))
-        if new:
+        slots = np.fromiter(map(known.get, parts, repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(slots < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys([parts[i] for i in missing]))
             if len(known) + len(new) > REMEMBERED and known:
                 self._forget_rare(parts)
                 return self._slots_of(parts)
-            found = self._encode(new)
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            lengths, found = self._encode(new)
             starts = len(self._ids) + np.cumsum(lengths) - lengths
-            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
             known.update(zip(new, range(len(known), len(known) + len(new))))
             self._starts = np.concatenate([self._starts, starts])
             self._lengths = np.concatenate([self._lengths, lengths])
-            self._ids = np.concatenate([self._ids, flat])
+            self._ids = np.concatenate([self._ids, found])
             self._met = np.concatenate([self._met, np.zeros(len(new), np.uint8)])
-        slots = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            slots[missing] = [known[parts[i]] for i in missing]
         self._met[slots] = np.minimum(self._met[slots], 2) + 1
         return slots
 
@@ -111,27 +163,20 @@ class TextEncoder:
         parts = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets -= offsets[0]
         coded = parts.dictionary_encode()
-        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
-        # a mark after a letter is a part of its own, with no space before it
-        marked = pc.match_substring_regex(words, _MARKED)
-        stems = pc.if_else(marked, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        marks = pc.if_else(marked, pc.index_in(pc.utf8_slice_codeunits(words, -1), value_set=pa.array(_MARKS)), -1)
-        marks = marks.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        codes = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        words = stems.dictionary
+        words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         loose = pc.match_substring_regex(words, _OUTER_SPACE).to_numpy(zero_copy_only=False)
-        keys = pc.binary_join_element_wise(" ", words, "").to_numpy(zero_copy_only=False).tolist()
         # the first part of a text has no space before it
         texts_here = offsets[:-1]
         first, where = np.unique(codes[texts_here], return_inverse=True)
-        codes[texts_here] = len(keys) + where
-        keys += [keys[c][1:] for c in first]
+        codes[texts_here] = len(words) + where
         odd = np.unique(np.searchsorted(offsets, np.flatnonzero(
             np.concatenate([loose, loose[first]])[codes]), side="right") - 1)
-        at_mark = np.flatnonzero(marks >= 0)
-        codes = np.insert(codes, at_mark + 1, len(keys) + marks[at_mark])
-        offsets = offsets + np.searchsorted(at_mark, offsets)
-        keys += _MARKS
+        keys, starts, sizes = _pieces_of(words, first)
+        # from parts to the pieces they are cut into
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        codes = starts[1][np.repeat(starts[0][codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        offsets = ends[offsets]
         pieces: dict[int, list[str]] = {}
         for row in odd:
             text = texts[int(row)].as_py()
@@ -170,10 +215,60 @@ class TextEncoder:
             row = end
 
 
+def _pieces_of(words: pa.Array, first: np.ndarray) -> tuple[list[str], tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(keys, (starts, pieces), sizes): the pieces of each word after a space, and then of the words
+    numbered in ``first`` without one, as numbers of keys.
+
+    A word is cut at its line ends, and a mark after a letter is a piece of its own,
+    with no space before it.
+    """
+    n = len(words)
+    lined = np.flatnonzero(pc.match_substring_regex(words, _LINES).to_numpy(zero_copy_only=False))
+    cut = pc.split_pattern(words.take(pa.array(lined)), "\n")
+    n_lines = pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
+    stems = pa.concat_arrays([words, cut.flatten(), pa.array(["\n"], words.type)])
+    marked = pc.match_substring_regex(stems, _MARKED)
+    marks = pc.if_else(marked, pc.index_in(pc.utf8_slice_codeunits(stems, -1), value_set=pa.array(_MARKS, stems.type)), -1)
+    stems = pc.if_else(marked, pc.utf8_slice_codeunits(stems, 0, -1), stems)
+    marks = marks.to_numpy(zero_copy_only=False).astype(np.int64)
+    # the stems of each word, line ends between lines
+    size = np.ones(n, np.int64)
+    size[lined] = 2 * n_lines - 1
+    start = np.cumsum(size) - size
+    stem = np.full(int(size.sum()), len(stems) - 1)
+    whole = np.ones(n, bool)
+    whole[lined] = False
+    stem[start[whole]] = np.flatnonzero(whole)
+    line = np.arange(int(n_lines.sum())) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
+    stem[np.repeat(start[lined], n_lines) + 2 * line] = n + np.arange(len(line))
+    # the words of ``first`` once more at the end
+    again = np.repeat(start[first], size[first]) + np.arange(int(size[first].sum())) - np.repeat(
+        np.cumsum(size[first]) - size[first], size[first])
+    stem, spaced = np.concatenate([stem, stem[again]]), np.zeros(len(stem) + len(again), bool)
+    spaced[start] = True
+    size = np.concatenate([size, size[first]])
+    # a key for each stem with a space and each without, then the marks
+    after, bare = np.unique(stem[spaced]), np.unique(stem[~spaced])
+    texts = pa.concat_arrays([pc.binary_join_element_wise(" ", stems.take(pa.array(after)), ""), stems.take(pa.array(bare))])
+    coded = texts.dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    key_of = np.empty(len(stem), np.int64)
+    key_of[spaced] = number[np.searchsorted(after, stem[spaced])]
+    key_of[~spaced] = number[len(after) + np.searchsorted(bare, stem[~spaced])]
+    mark = marks[stem]
+    at = np.flatnonzero(mark >= 0)
+    pieces = np.insert(key_of, at + 1, len(keys) + mark[at])
+    ends = np.cumsum(size)
+    ends += np.searchsorted(at, ends)
+    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    return keys + _MARKS, (starts, pieces), ends - starts
+
+
 _ENCODERS: dict[tuple[str, str], TextEncoder] = {}
 
 
-def encoder(path: str, kind: str, make: Callable[[str], Callable]) -> TextEncoder:
+def encoder(path: str, kind: str, make: Callable[[str], Callable] = part_encoder) -> TextEncoder:
     """The worker's own encoder of this vocabulary, kept between tasks."""
     if (path, kind) not in _ENCODERS:
         _ENCODERS[path, kind] = TextEncoder(make(path))
