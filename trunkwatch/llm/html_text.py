@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, text_of
 from trunkwatch.llm.url_filter import host
+from trunkwatch.sources.tables import named
 
 #: A subtree within the main part is template on this share of a host's pages, and on so many.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 4
@@ -49,6 +50,15 @@ _BOILERPLATE = re.compile(
     r"nav(?:bar|igation)?|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|"
     r"newsletter|subscribe|signup|login|comments?|disqus|replies|reply|respond|share|sharing|social|related|recommended|"
     r"widgets?|pagination|pager|toolbar|search|skip|contentinfo|complementary|site-header|page-header|header)(?:$|[\s_-])", re.I)
+#: Those of them that in an article may also name a part of its text: there they count for parts that are not mostly passages.
+_DOUBTFUL = re.compile(
+    r"(?:^|[\s_-])(?:promo(?:tion)?s?|banners?|menus?|masthead|alerts?|overlay|related|recommended|widgets?|pagination|pager|"
+    r"toolbar|search|skip|contentinfo|complementary|site-header|page-header|header)(?=$|[\s_-])", re.I)
+#: Names that say it of a passage or of a part of a line, too, when they are a whole name.
+_ADVERT = re.compile(r"(?:^|\s)(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|cookie-notice|hidden-element)(?:$|\s)", re.I)
+#: Dropped elsewhere; in an article their text belongs to it.
+_TEXT_IN_ARTICLE = frozenset("svg math title label".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
                     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
@@ -68,18 +78,23 @@ def parse(page: str) -> Element:
     """The tree of a page, however broken; texts are strings with references decoded."""
     root = Element("#root")
     stack, at, size = [root], 0, len(page)
+    open_: dict[str, list[int]] = {}  # by tag, where its open elements are in the stack
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(html.unescape(raw))
 
+    def innermost(tags) -> int:
+        return max((open_[tag][-1] for tag in tags if open_.get(tag)), default=0)
+
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            open_[stack.pop().tag].pop()
+
     def close(tags: set[str], barriers) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth].tag in tags:
-                del stack[depth:]
-                return
-            if stack[depth].tag in barriers:
-                return
+        depth = innermost(tags)
+        if depth and depth >= innermost(barriers):
+            leave(depth)
 
     while at < size:
         found = _TOKEN.search(page, at)
@@ -95,9 +110,8 @@ def parse(page: str) -> Element:
         if not tag:
             continue
         if found.group(2):
-            if any(e.tag == tag for e in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_.get(tag):
+                leave(open_[tag][-1])
             continue
         names = " ".join((v or k).strip("\"'") if k.lower() != "hidden" else "hidden-element"
                          for k, v in _NAMES.findall(found.group(4))) if found.group(4) else ""
@@ -114,6 +128,7 @@ def parse(page: str) -> Element:
             element.children.append(page[at:end.start() if end else size])
             at = end.end() if end else size
         elif not found.group(4).endswith("/") or tag in BLOCKS:
+            open_.setdefault(tag, []).append(len(stack))
             stack.append(element)
     _hash(root)
     return root
@@ -164,14 +179,35 @@ def _is_boilerplate(element: Element) -> bool:
         "hidden-element" in element.names or _BOILERPLATE.search(element.names) is not None)
 
 
+def _left_out(element: Element) -> bool:
+    """:func:`_is_boilerplate` of an element in an article.
+
+    What a name says counts for parts, not for passages and parts of a line, unless
+    the whole name says it; and a doubtful name only for a part that is not mostly passages.
+    """
+    if element.tag in DROPPED and element.tag not in _TEXT_IN_ARTICLE:
+        return True
+    if not element.names:
+        return False
+    if element.tag in PROSE or element.tag not in BLOCKS:
+        return _ADVERT.search(element.names) is not None
+    if element.prose and 2 * element.prose >= element.size:
+        return "hidden-element" in element.names or _BOILERPLATE.search(_DOUBTFUL.sub(" ", element.names)) is not None
+    return _is_boilerplate(element)
+
+
 def _text(root: Element, template: set[int]) -> str:
-    found, todo = [], [root]
+    """The text of an article, whose own headers keep their headings, or of another element."""
+    found, todo, article = [], [root], root.tag == "article"
     while todo:
         node = todo.pop()
         if isinstance(node, str):
             found.append(node)
             continue
-        if node is not root and (_is_boilerplate(node) or node.hash in template):
+        if article and node.tag == "header":
+            todo += [" ", *reversed([e for e in _elements(node) if e.tag in _HEADINGS and not _left_out(e)]), " "]
+            continue
+        if node is not root and ((_left_out if article else _is_boilerplate)(node) or node.hash in template):
             found.append(" " if node.tag in BLOCKS else "")
             continue
         if node.tag in BLOCKS:
@@ -304,7 +340,7 @@ def _templates(standing: DataFrame, share: float, least: int) -> DataFrame:
 
 
 def _rows(pages: DataFrame, url: str, page: str) -> DataFrame:
-    rows = pages.select(host(F.col(f"`{url}`").cast("string")).alias("host"), text_of(f"`{page}`").alias("page"))
+    rows = pages.select(host(named(url).cast("string")).alias("host"), text_of(page).alias("page"))
     return rows.select("host", F.xxhash64("page").alias("mark"), "page")
 
 
@@ -337,8 +373,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                              names=["page_id", "url", "text"])
 
-    rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
-                        text_of(f"`{page}`").alias("page"))
+    rows = pages.select(named(page_id).cast("long").alias("page_id"), named(url).cast("string").alias("url"),
+                        text_of(page).alias("page"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("mark", F.xxhash64("page"))
     standing = _standing(rows)
     templates = _templates(standing, share, least)
