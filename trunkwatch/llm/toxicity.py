@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, text_of, tidied
+from trunkwatch.sources.tables import named
 
 #: The letters that a sign may stand for.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -35,6 +36,8 @@ SAMPLE_ROWS = 3000
 FEATURES = 4096
 #: Toxic rows with a feature for it to be used, and for it to be proof.
 _EVIDENCE, _PROOF = 5, 20
+#: Log odds of a text without any telling word, at most: the labels' share alone finds no text toxic.
+_NO_WORD = -0.05
 #: Readings that a worker remembers.
 _REMEMBERED = 60_000
 
@@ -73,7 +76,7 @@ def count_characters(docs: DataFrame, text: str = "text") -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["code", "n"])
 
-    rows = docs.select(F.lower(text_of(f"`{text}`")).alias("t"))
+    rows = docs.select(F.lower(text_of(text)).alias("t"))
     return rows.mapInArrow(tidied(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -283,7 +286,7 @@ def character_model(docs: DataFrame, text: str = "text") -> CharacterModel:
 
 def held_out(doc_id: str = "doc_id"):
     """Whether a row is kept from learning: crc32 of its id as text, modulo 5, is 0."""
-    return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))) % 5 == 0
+    return F.crc32(F.coalesce(named(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
 def _present(rows: DataFrame, model: CharacterModel, wanted: dict[str, int]) -> DataFrame:
@@ -309,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
     All labelled ids then say how often a feature goes with a toxic text: copies of one text in the sample make
     its words look telling, which they are not elsewhere. Rows held out take part in
     neither. An id with several labels is toxic if one says so. Without rows of both
-    classes no feature counts.
+    classes no feature counts, and a text without features that count scores below one
+    half, however many labels are toxic.
     """
     known = stored(labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
                    .where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -317,7 +321,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
     chosen = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for c in (0, 1)]
     # two times sample_rows ids at most
     sample = F.broadcast(stored(chosen[0].unionByName(chosen[1]), "toxicity-chosen"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("t"))
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("mark"), "t")
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: CharacterModel, text: str = "
     fitted = taught.join(sample.select("doc_id"), "doc_id").select("toxic", "found").where(F.size("found") > 0).collect()
     rows_with = [(r.toxic, [f for f in r.found if f in used]) for r in fitted]
     weights, bias = _logistic(names, [r for r in rows_with if r[1]], n_toxic, n_clean) if used else ({}, odds - shift)
-    return Scorer({f: weights.get(f, 0.0) for f in names}, bias + shift, proof), present
+    return Scorer({f: weights.get(f, 0.0) for f in names}, min(bias + shift, _NO_WORD), proof), present
 
 
 def _logistic(names: list[str], present: list[tuple[int, list[int]]], n_toxic: int, n_clean: int) -> tuple[dict[str, float], float]:
@@ -393,10 +397,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that :func:`toxicity` does not predict toxic, with all their columns."""
+    """The rows of ``docs`` that :func:`toxicity` does not predict toxic, with all their columns, of any names.
+
+    Without labels, or with labels of one class, all rows stay. Null and empty texts
+    stay; repeated rows stay or go together; very long texts are read whole.
+    """
     model, columns = character_model(docs, text), docs.columns
     scorer, _ = fit(docs, labels, model, text, doc_id)
-    packed, at = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")), columns.index(text)
+    packed, at = docs.select(F.struct(*[named(c) for c in columns]).alias("row")), columns.index(text)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model, scorer.names)
@@ -415,7 +423,7 @@ def deobfuscated(docs: DataFrame, model: CharacterModel, text: str = "text") ->
     def read(texts):
         return texts.map(lambda t: restore(model, t))
 
-    return docs.withColumn(text, read(text_of(f"`{text}`")))
+    return docs.withColumn(text, read(text_of(text)))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
