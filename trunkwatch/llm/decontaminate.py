@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, tidied
+from trunkwatch.sources.tables import named
 
 #: Edits per character of an item: pieces then have twelve characters or more, which ordinary text seldom hits.
 EDIT_SHARE = 0.08
@@ -122,7 +123,7 @@ def _matcher(items: tuple[Item, ...], share: float) -> Matcher:
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[tuple[Item, ...]]:
     """The items in blocks of bounded size; those without a character are none."""
     block, held = [], 0
-    rows = benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`").cast("string"))
+    rows = benchmark.select(named(item_id).cast("long"), named(text).cast("string"))
     for i, t in rows.toLocalIterator():
         t = normalised(t)
         if t:
@@ -157,7 +158,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id"
     empty texts and items match nothing; rows and items that repeat count each;
     empty tables give no rows. Other columns are not read.
     """
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("d"), F.col(f"`{text}`").cast("string").alias("t"))
+    rows = docs.select(named(doc_id).cast("long").alias("d"), named(text).cast("string").alias("t"))
     kind, found = "doc_id long, item_id long, edits long, end_char long", None
     for block in _blocks(benchmark, item_id, item_text, block_chars):
         if found is not None:  # a pass is done before the next block comes to the driver
@@ -181,7 +182,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
         return keep
 
     columns = docs.columns
-    left = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    left = docs.select(F.struct(*[named(c) for c in columns]).alias("row"))
     schema, at = left.schema, columns.index(text)
     for number, block in enumerate(_blocks(benchmark, item_id, item_text, block_chars)):
         left = (stored(left, "decontaminated") if number else left).mapInArrow(tidied(clean(block)), schema)

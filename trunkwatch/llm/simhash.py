@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, tidied
 from trunkwatch.llm.components import components
+from trunkwatch.sources.tables import named
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -71,7 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    thin = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("t"))
+    thin = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("t"))
     return thin.mapInArrow(tidied(add), "doc_id long, fp long")
 
 
@@ -191,7 +192,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = (marked.join(_classes(marked, radius, block), "fp")
             .where((F.col("fp") == F.col("rep")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept, F.col(f"`{doc_id}`").cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    return docs.join(kept, named(doc_id).cast("long").eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

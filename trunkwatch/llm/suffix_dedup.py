@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, text_of
+from trunkwatch.sources.tables import named
 
 LENGTH = 200
 GRAM = 32
@@ -236,7 +237,7 @@ def _named(length: int):
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``doc_id, mark, text``; the mark tells texts apart that share an id."""
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), text_of(f"`{text}`").alias("text"))
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     return rows.select("doc_id", F.xxhash64("text").alias("mark"), "text")
 
 

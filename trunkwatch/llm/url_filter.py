@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table
+from trunkwatch.sources.tables import named
 
 #: The rules of the query, a host and a path with what they say.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -122,8 +123,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str], page_id: s
     """
     known = stored(listed.where("canonical <> ''").select("canonical").distinct(), "listed-urls")
     blocks = bloom_filter(known)
-    own = F.col(f"`{url}`").cast("string")
-    parts = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), host(own).alias("host"),
+    own = named(url).cast("string")
+    parts = pages.select(named(page_id).cast("long").alias("page_id"), host(own).alias("host"),
                          path(own).alias("path"), canonical(own).alias("canonical"))
     ruled = parts.select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"),
                          "canonical", F.xxhash64("canonical").alias("hashed"))
@@ -148,7 +149,7 @@ def judge(pages: DataFrame, listed: DataFrame, rules: dict[str, str], page_id: s
 
 def listed_by_host(pages: DataFrame, url: str = "url") -> DataFrame:
     """``canonical`` URLs of the pages on hosts whose name has a listed word."""
-    own = F.col(f"`{url}`").cast("string")
+    own = named(url).cast("string")
     return pages.where(host(own).rlike(_LISTED_HOST)).select(canonical(own).alias("canonical"))
 
 
