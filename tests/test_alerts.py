@@ -124,7 +124,7 @@ def test_log_round_trip(spark, diagnostics, objects, tmp_path):
     path = str(tmp_path / "log")
     store.append_events(events, path, s.ALERT_EVENTS)
     store.append_events(events, path, s.ALERT_EVENTS)
-    log = spark.read.schema(s.ALERT_EVENTS).parquet(path)
+    log = store.read_events(spark, path, s.ALERT_EVENTS)
     assert log.count() == 2 and alerts.current_alerts(log).count() == 1
     assert log.first()["metadata"] == {"pipeline_id": "MT-01", "object_id": "1"}
 

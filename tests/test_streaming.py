@@ -1,3 +1,6 @@
+import re
+import time
+
 from helpers import dicts
 
 from trunkwatch.operators.alerts import current_alerts, defect_alerts
@@ -39,6 +42,45 @@ def test_outcome_does_not_depend_on_the_batches(spark, diagnostics, objects, tmp
     assert [r for r in bad if r[0] == 309] == [(309, ["duplicate_diag_id", "orphan_object_id"])] * 2
 
 
+def test_a_batch_counts_its_own_keys_only(spark, diagnostics, objects, tmp_path):
+    """What the second run tells of keys is about its own; the outcome aggregates no rows that arrived."""
+    known = objects(*[{"object_id": i} for i in range(5)])
+    sample(diagnostics, 100).coalesce(1).write.mode("append").parquet(f"{tmp_path}/drop")
+    sample(diagnostics, 106).coalesce(1).write.mode("append").parquet(f"{tmp_path}/drop")  # six keys again
+    run_import(spark, known, tmp_path, 1000)
+    told = lambda: {(r["diag_id"], r["times"]) for r in dicts(import_streams.repeated_keys(spark, f"{tmp_path}/arrived"))}
+    assert told() == {(i, 2) for i in range(106, 112)}
+    sample(diagnostics, 110, 3).coalesce(1).write.mode("append").parquet(f"{tmp_path}/drop")  # 110, 111 once more, 112 again
+    run_import(spark, known, tmp_path, 1000)
+    assert told() == {(i, 2) for i in range(106, 113)} | {(110, 3), (111, 3)}
+    outcome_ = import_streams.judged_arrivals(spark, f"{tmp_path}/arrived")
+    counted = {r["diag_id"] for r in dicts(import_streams.outcome(import_streams.arrivals(spark, f"{tmp_path}/arrived"))) if "duplicate_diag_id" in r["reasons"]}
+    assert {r["diag_id"] for r in dicts(outcome_) if "duplicate_diag_id" in r["reasons"]} == counted == set(range(106, 113))
+    text = import_streams.judged_arrivals(spark, f"{tmp_path}/arrived")._jdf.queryExecution().executedPlan().toString()
+    rows = re.findall(r"FileScan parquet \[diag_id[^\]]*reasons", text)
+    assert len(rows) == 1 and not re.search(r"partial_count", text)
+
+
+def test_a_diagnostic_delivered_again(spark, diagnostics, objects, tmp_path):
+    """While it is remembered no event is added, afterwards an event and no alert."""
+    known, first = objects(*[{"object_id": i} for i in range(5)]), sample(diagnostics, 100)
+    defects = first.where("defect_found").count()
+
+    def deliver(folder, remembered, rows=first):
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/drop")
+        stream = import_streams.watch(spark, f"{folder}/drop", files_per_batch=1)
+        alert_streams.stream_alerts(stream, known, f"{folder}/log", f"{folder}/state", remembered).awaitTermination()
+        events = alert_streams.alert_events(spark, f"{folder}/log")
+        return events.count(), current_alerts(events).count()
+
+    assert [deliver(tmp_path / "long", "7 days") for _ in range(3)] == [(defects, defects)] * 3
+    deliver(tmp_path / "short", "1 second")
+    time.sleep(3)
+    deliver(tmp_path / "short", "1 second", sample(diagnostics, 500, 1))  # moves the watermark on
+    n_events, n_alerts = deliver(tmp_path / "short", "1 second")
+    assert n_alerts == defects + 1 and n_events > n_alerts
+
+
 def test_repeated_batch_replaces_itself(spark, diagnostics, objects, tmp_path):
     known, batch = objects({"object_id": 1}), diagnostics({"object_id": 1, "date": "2024-01-01", "defect_found": True})
     for _ in range(2):

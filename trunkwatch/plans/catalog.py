@@ -179,7 +179,7 @@ def alert_log(objects: DataFrame, diagnostics: DataFrame) -> DataFrame:
     events = alerts.created_events(found, F.lit(AS_OF).cast("timestamp"),
                                    "pipeline_id", "object_id", "risk_level", "category")
     store.append_events(events, path, s.ALERT_EVENTS)
-    logged = objects.sparkSession.read.schema(s.ALERT_EVENTS).parquet(path)
+    logged = store.read_events(objects.sparkSession, path, s.ALERT_EVENTS)
     return logged.select("alert_id", "action", "message", "type",
                          F.date_format("event_at", "yyyy-MM-dd HH:mm:ss").alias("event_at"),
                          F.col("metadata")["risk_level"].alias("risk_level"),
@@ -590,7 +590,7 @@ def stream_import(diagnostics: DataFrame, objects: DataFrame) -> DataFrame:
     spark, folder = diagnostics.sparkSession, _drop_folder(diagnostics)
     stream = import_streams.watch(spark, f"{folder}/drop", files_per_batch=2)
     import_streams.stream_import(stream, objects, f"{folder}/arrived", f"{folder}/state").awaitTermination()
-    rows = import_streams.outcome(import_streams.arrivals(spark, f"{folder}/arrived"))
+    rows = import_streams.judged_arrivals(spark, f"{folder}/arrived")
     return rows.select("diag_id", "object_id", "date", (F.size("reasons") == 0).alias("is_accepted"),
                        F.array_join("reasons", ",").alias("reasons"))
 

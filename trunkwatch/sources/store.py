@@ -2,11 +2,19 @@
 
 A table is ``<root>/<table>/<version>``. A version comes into force by the log
 row that names it, so readers see the old table or the new one, never half.
+
+A log is a folder per day of writing, which files are only added to, and snapshots:
+a snapshot is the fold of all days before the one in its name, and counts from the
+moment it is complete. Readers take the newest and the days from its name on, so
+what they read does not grow with the number of entries; folded days are deleted
+once a snapshot holds them, and are not read if they are still there.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trunkwatch.schema import DIAGNOSTICS, IMPORT_LOG, OBJECTS, PIPELINES
@@ -16,14 +24,85 @@ SCHEMAS = {"pipelines": PIPELINES, "objects": OBJECTS, "diagnostics": DIAGNOSTIC
 SUCCESS, FAILED, ERROR = "SUCCESS", "FAILED", "ERROR"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("parquet").schema("x int").load(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return False
-        raise
-    return True
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder, files = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def _named(spark: SparkSession, path: str, key: str) -> list[str]:
+    """The values of ``key=value`` folders below ``path``, in order."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return sorted(name.removeprefix(f"{key}=") for name in names if name.startswith(f"{key}="))
+
+
+def _today() -> dt.date:
+    return dt.datetime.now(dt.timezone.utc).date()
+
+
+def append(df: DataFrame, path: str, schema: T.StructType, part: str | None = None) -> None:
+    """Adds entries to the day's folder; with ``part``, a folder of its own there, which a repeated write replaces."""
+    folder = f"{path.rstrip('/')}/day={_today()}" + (f"/{part}" if part else "/entries")
+    complete(df, schema).write.mode("overwrite" if part else "append").parquet(folder)
+
+
+def _snapshot(spark: SparkSession, path: str) -> str | None:
+    """The name of the newest complete snapshot."""
+    whole = [day for day in _named(spark, path, "upto") if exists(spark, f"{path.rstrip('/')}/upto={day}/_SUCCESS")]
+    return whole[-1] if whole else None
+
+
+def _entries(spark: SparkSession, path: str, schema: T.StructType, before: str | None = None) -> DataFrame:
+    path, newest = path.rstrip("/"), _snapshot(spark, path)
+    days = [day for day in _named(spark, path, "day") if (not newest or day >= newest) and (not before or day < before)]
+    folders = [f"{path}/upto={newest}"] * bool(newest)
+    for day in days:
+        folders += [f"{path}/day={day}/entries"] * exists(spark, f"{path}/day={day}/entries")
+        folders += [f"{path}/day={day}/batch_id={n}" for n in _named(spark, f"{path}/day={day}", "batch_id")]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All entries of a log: the newest snapshot and the days since."""
+    return _entries(spark, path, schema)
+
+
+def fold(spark: SparkSession, path: str, schema: T.StructType, folded: Callable[[DataFrame], DataFrame],
+         upto: dt.date | None = None) -> None:
+    """Writes a snapshot of all days before ``upto`` (yesterday) and deletes what it makes superfluous.
+
+    ``folded`` may leave out entries that change nothing for readers; folding again
+    what was folded must change nothing either. Entries that take more than a day to
+    be written would be missed.
+    """
+    path, upto = path.rstrip("/"), str(upto or _today() - dt.timedelta(days=1))
+    newest = _snapshot(spark, path)
+    if newest and newest >= upto or not any(day < upto for day in _named(spark, path, "day")):
+        return
+    complete(folded(_entries(spark, path, schema, before=upto)), schema).write.mode("overwrite").parquet(f"{path}/upto={upto}")
+    tidy(spark, path)
+
+
+def tidy(spark: SparkSession, path: str) -> None:
+    """Deletes the days that the newest snapshot holds, and older snapshots."""
+    path, newest = path.rstrip("/"), _snapshot(spark, path)
+    if newest:
+        for key in ("day", "upto"):
+            for day in _named(spark, path, key):
+                if day < newest:
+                    removed(spark, f"{path}/{key}={day}")
 
 
 def version_path(root: str, table: str, version: str) -> str:
@@ -32,15 +111,17 @@ def version_path(root: str, table: str, version: str) -> str:
 
 def append_log(spark: SparkSession, root: str, row: dict) -> None:
     entry = tuple(row.get(name) for name in IMPORT_LOG.fieldNames())
-    spark.createDataFrame([entry], IMPORT_LOG).coalesce(1).write.mode("append").parquet(f"{root}/import_log")
+    append(spark.createDataFrame([entry], IMPORT_LOG).coalesce(1), f"{root}/import_log", IMPORT_LOG)
 
 
 def import_log(spark: SparkSession, root: str) -> DataFrame:
     """All runs, oldest first."""
-    path = f"{root}/import_log"
-    if not _exists(spark, path):
-        return spark.createDataFrame([], IMPORT_LOG)
-    return spark.read.schema(IMPORT_LOG).parquet(path).orderBy("timestamp", "run_id")
+    return read(spark, f"{root}/import_log", IMPORT_LOG).orderBy("timestamp", "run_id")
+
+
+def fold_import_log(spark: SparkSession, root: str, upto: dt.date | None = None) -> None:
+    """Puts the runs of past days into one snapshot; no run is left out."""
+    fold(spark, f"{root}/import_log", IMPORT_LOG, lambda runs: runs.repartition(1), upto)
 
 
 def current_version(spark: SparkSession, root: str, table: str) -> str | None:
@@ -59,6 +140,23 @@ def current(spark: SparkSession, root: str, table: str) -> DataFrame | None:
     return complete(stored, SCHEMAS[table])
 
 
-def append_events(events: DataFrame, path: str, schema: T.StructType) -> None:
-    """Adds alert events; what is there is never rewritten."""
-    complete(events, schema).write.mode("append").parquet(path)
+def append_events(events: DataFrame, path: str, schema: T.StructType, part: str | None = None) -> None:
+    """Adds alert events; what is there is never rewritten but by the same ``part``."""
+    append(events, path, schema, part)
+
+
+def read_events(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return read(spark, path, schema)
+
+
+def first_events(events: DataFrame) -> DataFrame:
+    """The events that decide the state of alerts: of each alert the first of every action, and each read-all."""
+    once = F.when(F.col("action") == "read_all", F.col("event_at"))
+    said = F.min_by(F.struct("message", "type", "metadata"), F.struct("event_at", "message", "type"))
+    return (events.groupBy("alert_id", "action", once.alias("once")).agg(F.min("event_at").alias("event_at"), said.alias("said"))
+            .select("alert_id", "action", "event_at", "said.*"))
+
+
+def fold_events(spark: SparkSession, path: str, schema: T.StructType, upto: dt.date | None = None) -> None:
+    """Puts the events of past days into one snapshot of those that decide."""
+    fold(spark, path, schema, first_events, upto)
