@@ -4,11 +4,11 @@ import re
 
 import pytest
 from helpers import SMALL, dicts
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from trunkwatch.operators import alerts, forecast, latest, listing, quality, stats
 from trunkwatch.plans.catalog import QUERIES
-from trunkwatch.plans.imports import laid_out
+from trunkwatch.plans.imports import laid_out, write_laid_out
 from trunkwatch.sources.bridge import view
 from trunkwatch.streaming import imports as import_streams
 
@@ -16,7 +16,7 @@ from trunkwatch.streaming import imports as import_streams
 ACTIONS = {"train_model", "model_accuracy", "score_defects", "feature_importance", "training_alerts",
            "import_objects", "import_diagnostics", "import_log", "run_alerts", "alert_log", "stream_import",
            "accuracy_check", "score_check", "importance_check", "training_alert_check", "import_and_train",
-           "stream_defect_alerts", "read_all_marks", "scan_trunklines", "scan_objects", "scan_diagnostics", "csv_charset_fallback"}
+           "stream_defect_alerts", "read_all_marks", "filter_date_range", "workbook_folder_ingest", "scan_trunklines", "scan_objects", "scan_diagnostics", "csv_charset_fallback"}
 
 
 def plan(df):
@@ -36,10 +36,31 @@ def stored(spark, tmp_path_factory):
     """The tables as stored files, so that filters can reach the scan."""
     root = str(tmp_path_factory.mktemp("stored"))
     for name in ("objects", "diagnostics"):
-        laid_out(view(spark, SMALL, name), name).write.parquet(f"{root}/{name}")
+        laid_out(view(spark, SMALL, name), name).drop(listing.DATE_PART).write.parquet(f"{root}/{name}")
     return {name: spark.read.parquet(f"{root}/{name}") for name in ("objects", "diagnostics")}
 
 
+def test_a_range_of_dates_reads_its_years(spark, tmp_path):
+    rows = view(spark, SMALL, "diagnostics")
+    odd = rows.limit(6).withColumn("date", F.element_at(F.array(*map(F.lit, ["1997-13-45", "199", "", "1998", "x", None])),
+                                                        (F.monotonically_increasing_id() % 6 + 1).cast("int")))
+    rows = rows.unionByName(odd)
+    write_laid_out(rows, "diagnostics", f"{tmp_path}/d")
+    by_year = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(listing.DATE_PART, T.StringType())])).parquet(f"{tmp_path}/d")
+    for bounds in (("1997-01-01", "1998-12-31"), ("1997-06", None), (None, "1993-05-05"), ("", "1996"), (None, None), ("1997-13", "1998")):
+        found, plain = listing.date_range(by_year, *bounds), listing.date_range(rows, *bounds)
+        assert found.columns == rows.columns
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    found = listing.date_range(by_year, "1997-01-01", "1998-12-31")
+    assert re.search(r"PartitionFilters: \[.*date_part#\d+ >= 1997", plan(found))
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    years = {f.split("date_part=")[1][:4] for f in by_year.inputFiles()}
+    read = {f.split("date_part=")[1][:4] for f in listing.date_range(by_year, "1997-01-01", "1998-12-31").select("diag_id")
+            .select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert len(years) > 6 and read <= {"1997", "1998", "none"} and "PartitionFilters: []" not in scan
+
+
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - ACTIONS))
 def test_no_cross_joins_and_no_python_rows(spark, no_broadcast, key):
     text = plan(QUERIES[key](spark, SMALL))

@@ -114,6 +114,7 @@ def workbook(path, rows, shared=True):
                 f"<si><r><t>{t[:1]}</t></r><r><t>{t[1:]}</t></r></si>" for t in texts) + "</sst>")
         book.writestr("xl/worksheets/first.xml", f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>")
         book.writestr("xl/worksheets/other.xml", f"<worksheet {main}><sheetData/></worksheet>")
+    path.parent.mkdir(exist_ok=True)
     path.write_bytes(out.getvalue())
 
 
@@ -139,6 +140,18 @@ def test_column_missing_from_one_workbook_is_missing(spark, tmp_path):
     assert set(read.columns) == {"diag_id", "object_id", "method", "date"}
 
 
+def test_corrupt_workbooks_and_empty_sheets(spark, tmp_path):
+    workbook(tmp_path / "in" / "a.xlsx", [HEAD, [1, 5, "UZK", "2024-01-01", True, 1]])
+    workbook(tmp_path / "in" / "empty.xlsx", [])
+    done = imports.import_diagnostics(spark, str(tmp_path / "in"), str(tmp_path / "s1"), "xlsx")
+    assert done.status == "FAILED" and "Отсутствуют" in done.errors[0]
+    (tmp_path / "in" / "empty.xlsx").write_bytes((tmp_path / "in" / "a.xlsx").read_bytes()[:700])
+    done = imports.import_diagnostics(spark, str(tmp_path / "in"), str(tmp_path / "s2"), "xlsx")
+    assert done.status == "ERROR" and "empty.xlsx" in done.errors[0]
+    (tmp_path / "in" / "empty.xlsx").write_bytes(b"")
+    assert imports.import_diagnostics(spark, str(tmp_path / "in"), str(tmp_path / "s3"), "xlsx").rows_imported == 1
+
+
 # --- imports -----------------------------------------------------------------------
 
 DIAG = "diag_id,object_id,method,date,defect_found\n"

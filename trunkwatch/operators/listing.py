@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 
 from trunkwatch.functions.cleaning import clean_non_finite, or_zero
 
+DATE_PART, NO_YEAR = "date_part", "none"
 # Tasks between those that read and the one that merges last; decides no result.
 _MERGING_TASKS = 64
 
@@ -20,13 +21,29 @@ def _matching(df: DataFrame, **wanted) -> DataFrame:
     return df
 
 
+def date_part(date: str = "date") -> Column:
+    """What stored diagnostics are partitioned by: the first four digits of the date's text, or that it has none.
+
+    They order as the whole texts do, so a range of texts is a range of parts.
+    """
+    year = F.substring(date, 1, 4)
+    return F.when(year.rlike("^[0-9]{4}$"), year).otherwise(NO_YEAR)
+
+
 def date_range(df: DataFrame, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
-    """Rows whose ISO date text lies in the closed range."""
-    if date_from is not None:
-        df = df.where(F.col("date") >= date_from)
-    if date_to is not None:
-        df = df.where(F.col("date") <= date_to)
-    return df
+    """Rows whose ISO date text lies in the closed range.
+
+    Of a table with the column of :func:`date_part` only the parts of the range are
+    read, and those without a year; the column is left out.
+    """
+    whole = DATE_PART in df.columns
+    for bound, at, within in ((date_from, F.col("date") >= date_from, F.col(DATE_PART) >= (date_from or "")[:4]),
+                              (date_to, F.col("date") <= date_to, F.col(DATE_PART) <= (date_to or "")[:4])):
+        if bound is not None:
+            df = df.where(at)
+            if whole:
+                df = df.where(within | (F.col(DATE_PART) == NO_YEAR))
+    return df.drop(DATE_PART) if whole else df
 
 
 def defects_only(diagnostics: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F, types as T
 
 from trunkwatch import schema as s
 from trunkwatch.functions import banding, criticality, text
@@ -105,15 +107,28 @@ def _sheet(frame: pd.DataFrame) -> bytes:
     return out.getvalue()
 
 
-@query("objects")
-def workbook_folder_ingest(objects: DataFrame) -> DataFrame:
-    """The object table as workbooks, one per Arrow batch, parsed back."""
+def _dump_workbooks(df: DataFrame) -> str:
+    """A folder of workbooks, one per Arrow batch, written by tasks; one that is run again replaces its own."""
+    folder = work_folder(df.sparkSession, "workbooks")
+
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"content": [_sheet(batch)]})
+        files, path = fs.FileSystem.from_uri(folder)
+        files.create_dir(path)
+        for n, batch in enumerate(batches):
+            name = f"{TaskContext.get().partitionId():05}-{n:05}.xlsx"
+            with files.open_output_stream(f"{path}/{name}") as out:
+                out.write(_sheet(batch))
+            yield pd.DataFrame({"name": [name]})
+
+    df.mapInPandas(pack, "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
 
-    books = objects.mapInPandas(pack, "content binary")
-    parsed = workbooks.workbook_rows(books, s.OBJECTS)
+@query("objects")
+def workbook_folder_ingest(objects: DataFrame) -> DataFrame:
+    """The object table as a folder of workbooks, read as an import reads it."""
+    folder = _dump_workbooks(objects)
+    parsed = workbooks.read_workbooks(objects.sparkSession, folder, s.OBJECTS)
     return tables.complete(tables.conform(parsed, s.OBJECTS), s.OBJECTS)
 
 
@@ -266,7 +281,17 @@ add("object_profile", listing.object_profile, "objects", object_id=7)
 add("object_profiles", listing.object_profile, "objects")
 add("list_diagnostics", listing.list_diagnostics, "diagnostics", "objects",
     defect_only=True, date_from="1996-01-01", date_to="2000-12-31")
-add("filter_date_range", listing.date_range, "diagnostics", date_from="1997-01-01", date_to="1998-12-31")
+
+
+@query("diagnostics")
+def filter_date_range(diagnostics: DataFrame) -> DataFrame:
+    """Two years of a stored table, which is a folder per year."""
+    spark, path = diagnostics.sparkSession, work_folder(diagnostics.sparkSession, "by-year")
+    imports.write_laid_out(diagnostics, "diagnostics", path)
+    kinds = T.StructType([*diagnostics.schema.fields, T.StructField(listing.DATE_PART, T.StringType())])
+    return listing.date_range(spark.read.schema(kinds).parquet(path), "1997-01-01", "1998-12-31")
+
+
 add("clean_non_finite", clean_non_finite, "diagnostics_nonfinite")
 add("defects_only", listing.defects_only, "diagnostics")
 add("high_risk_only", listing.high_risk_only, "diagnostics")

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from trunkwatch import schema as s
-from trunkwatch.operators import model, quality
+from trunkwatch.operators import listing, model, quality
 from trunkwatch.sources import store
 from trunkwatch.sources.tables import UNREADABLE, conform, preview, read_csv_any_charset
 from trunkwatch.sources.workbooks import read_workbooks
@@ -26,7 +26,8 @@ LISTED_VALUES, LISTED_CHARS = 100, 10_000
 
 # Rows that are looked up together lie together: a lookup by object skips the
 # other files, and an aggregate by object is nearly done before its shuffle.
-# The second column lets a hot first value extend over several files.
+# The second column lets a hot first value extend over several files. Diagnostics
+# are a folder per year, so that a range of dates leaves whole folders unread.
 _LAYOUT = {"objects": ["pipeline_id", "object_id"], "diagnostics": ["object_id", "date"]}
 
 
@@ -53,10 +54,19 @@ def read_batch(spark: SparkSession, path: str, table: str, fmt: str) -> DataFram
 
 
 def laid_out(df: DataFrame, table: str) -> DataFrame:
+    """The rows in the order they are stored in, diagnostics with their :func:`listing.date_part`."""
     by = [name for name in _LAYOUT[table] if name in df.columns]
+    if table == "diagnostics" and "date" in df.columns:
+        df, by = df.withColumn(listing.DATE_PART, listing.date_part()), [listing.DATE_PART, *by]
     return df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
 
 
+def write_laid_out(df: DataFrame, table: str, path: str) -> None:
+    dealt = laid_out(df, table)
+    parts = [listing.DATE_PART] if listing.DATE_PART in dealt.columns else []
+    dealt.write.partitionBy(*parts).parquet(path)
+
+
 def _examples(one_row: DataFrame) -> str:
     return one_row.first()["examples"]
 
@@ -140,7 +150,7 @@ def import_table(spark: SparkSession, path: str, root: str, table: str,
         if result.errors:
             entry |= {"errors": result.errors}
         else:
-            laid_out(staged, table).write.parquet(store.version_path(root, table, version))
+            write_laid_out(staged, table, store.version_path(root, table, version))
             result.success, result.status = True, store.SUCCESS
             result.rows_imported = staged.count()
             entry |= {"rows": result.rows_imported, "version": version}

@@ -131,13 +131,15 @@ def current_version(spark: SparkSession, root: str, table: str) -> str | None:
     return newest.first()["version"]
 
 
-def current(spark: SparkSession, root: str, table: str) -> DataFrame | None:
-    """The table in force with its declared columns, or ``None`` before a first import."""
+def current(spark: SparkSession, root: str, table: str, *also: str) -> DataFrame | None:
+    """The table in force with its declared columns, and ``also`` some that only the store has, or ``None``
+    before a first import."""
     version = current_version(spark, root, table)
     if version is None:
         return None
     stored = spark.read.parquet(version_path(root, table, version))
-    return complete(stored, SCHEMAS[table])
+    wanted = T.StructType([*SCHEMAS[table].fields, *[f for f in stored.schema.fields if f.name in also]])
+    return complete(stored, wanted)
 
 
 def append_events(events: DataFrame, path: str, schema: T.StructType, part: str | None = None) -> None:

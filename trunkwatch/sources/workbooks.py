@@ -10,6 +10,7 @@ import datetime as dt
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -77,9 +78,19 @@ def _position(reference: str) -> int:
     return column - 1
 
 
-def sheet_rows(content: bytes) -> Iterator[dict[int, str | None]]:
-    """Rows of the first sheet as position -> text, the header first. The sheet is
-    read as a stream, so that its XML tree is never held as a whole."""
+def sheet_rows(content: bytes, path: str = "") -> Iterator[dict[int, str | None]]:
+    """Rows of the first sheet as position -> text, the header first; an empty sheet has none.
+
+    The sheet is read as a stream, so that its XML tree is never held as a whole. A
+    file that is no workbook, or a broken one, is an error that names it.
+    """
+    try:
+        yield from _rows(content)
+    except (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, KeyError, ValueError, EOFError) as error:
+        raise ValueError(f"unreadable workbook {path}: {error}") from error
+
+
+def _rows(content: bytes) -> Iterator[dict[int, str | None]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         strings, date_styles = _strings(book), _date_styles(book)
         with book.open(_first_sheet(book)) as sheet:
@@ -99,11 +110,11 @@ def workbook_columns(books: DataFrame) -> DataFrame:
     """Each column name that occurs, with the number of workbooks that have it."""
     def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                names = next(sheet_rows(content), {}).values()
+            for path, content in zip(batch["path"], batch["content"]):
+                names = next(sheet_rows(content, path), {}).values()
                 yield pd.DataFrame({"name": [clean_header(n) for n in names if n]}, dtype="object")
 
-    return (books.select("content").mapInPandas(headers, "name string")
+    return (books.select("path", "content").mapInPandas(headers, "name string")
             .groupBy("name").agg(F.count("*").alias("books")))
 
 
@@ -114,8 +125,8 @@ def workbook_rows(books: DataFrame, schema: T.StructType) -> DataFrame:
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for content in batch["content"]:
-                sheet = sheet_rows(content)
+            for path, content in zip(batch["path"], batch["content"]):
+                sheet = sheet_rows(content, path)
                 header = {clean_header(n): at for at, n in next(sheet, {}).items() if n}
                 taken: list[list[str | None]] = []
                 for cells in sheet:
@@ -126,12 +137,13 @@ def workbook_rows(books: DataFrame, schema: T.StructType) -> DataFrame:
                 yield pd.DataFrame(taken, columns=wanted, dtype="object")
 
     texts = ", ".join(f"`{name}` string" for name in wanted)
-    return books.select("content").mapInPandas(rows, texts)
+    return books.select("path", "content").mapInPandas(rows, texts)
 
 
 def read_workbooks(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """All workbooks at ``path`` as text columns. A declared column is left out
-    when some workbook lacks it, for the required-column check to see."""
+    when some workbook lacks it, for the required-column check to see. A workbook
+    whose first sheet is empty lacks all of them; a file of no bytes is not read."""
     books = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
              .select("path", "content"))
     total = books.select("path").count()
