@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trunkwatch.llm.url_filter import OP6_SQL, RULES, bloom_filter, canonical, judge, listed_by_host, may_be_listed
+from trunkwatch.llm.url_filter import OP6_SQL, RULES, bloom_filter, canonical, judge, listed_by_digest, listed_by_host, may_be_listed
 
 URLS = ["https://www.A.Example.NET/en/1", "http://a.example.net/de/1?x#y", "ftp://example.net", "http://net/", "http://m.example.com/de/",
         "https://example.com/DE/1", "http://b.org/fr/2", "http://borg/fr/2", "http://borg.org?/fr/", "x", "", None, "://", "a://b://c/d",
@@ -22,7 +22,7 @@ def test_same_as_sql(pages):
     db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
     db.executemany("INSERT INTO pages VALUES (?, ?, ?)", [tuple(r)[:3] for r in pages.collect()])
     result = db.execute(OP6_SQL)
-    found = judge(pages, listed_by_host(pages), RULES)
+    found = judge(pages, listed_by_digest(pages), RULES)
     assert found.columns == [c[0] for c in result.description]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(result.fetchall(), key=str)
 
@@ -61,3 +61,13 @@ def test_false_positives_are_removed_and_empty_tables(spark, pages, monkeypatch)
     nothing = pages.limit(0)
     assert judge(nothing, listed_by_host(pages), RULES).count() == 0
     assert {r.listed for r in judge(pages, listed_by_host(nothing), RULES).collect()} == {False}
+
+
+def test_a_host_has_listed_urls_and_others(spark):
+    """No rule on hosts could stand for the list."""
+    urls = [f"https://www.{h}.example.info/p/{i}?utm_source=x" for h in "abc" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = judge(pages, listed_by_digest(pages), RULES).collect()
+    by_host = {h: {r.listed for r in found if r.host == h} for h in {r.host for r in found}}
+    assert len(by_host) == 3 and all(kinds == {True, False} for kinds in by_host.values())
+    assert all(r.verdict == ("block" if r.listed else "allow") for r in found)

@@ -153,10 +153,20 @@ def listed_by_host(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.where(host(own).rlike(_LISTED_HOST)).select(canonical(own).alias("canonical"))
 
 
+def listed_by_digest(pages: DataFrame, url: str = "url") -> DataFrame:
+    """``canonical`` URLs of pages, those one in sixteen whose MD5 begins with the digit 0.
+
+    Stands for a list of single URLs: nothing but the whole canonical URL tells
+    whether it is on it, its host may have others that are not.
+    """
+    every = pages.select(canonical(named(url).cast("string")).alias("canonical"))
+    return every.where(F.md5(F.col("canonical").cast("binary")) < "1")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's rules; the list is that of the hosts with a listed word."""
+    """The contract's rules over all ``pages``; the list is that of :func:`listed_by_digest`."""
     pages = table(spark, sf_dir, "pages")
-    return judge(pages, listed_by_host(pages), RULES)
+    return judge(pages, listed_by_digest(pages), RULES)
 
 
 OP6_SQL = rf"""
@@ -180,7 +190,7 @@ named AS (
                 WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
                 WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
     FROM telling),
-listed AS (SELECT DISTINCT canonical FROM named WHERE canonical <> '' AND regexp_matches(host, '{_LISTED_HOST}'))
+listed AS (SELECT DISTINCT canonical FROM named WHERE canonical <> '' AND md5(canonical) < '1')
 SELECT n.page_id, n.host, n.path, n.rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
             WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
