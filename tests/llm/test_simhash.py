@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from trunkwatch.llm import simhash as module
 from trunkwatch.llm.components import components
 from trunkwatch.llm.simhash import drop_near_duplicates, fingerprint, links, masks, near_duplicate_classes
 
@@ -108,3 +109,26 @@ def test_missing_ids_and_empty_table(documents):
     found = near_duplicate_classes(documents(rows)).collect()
     assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == [("7", "7")] * 2 + [("None", "None")] * 2
     assert near_duplicate_classes(documents([])).count() == 0 and drop_near_duplicates(documents([])).count() == 0
+
+
+def test_a_very_large_component_is_split_in_its_join(spark, documents):
+    """A third and more of the fingerprints in one component: the join by root takes it apart."""
+    limits = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1",
+              "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+              "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k, None) for k in limits}
+    rng = random.Random(4)
+    fps = [(i, signed(sum(1 << b for b in rng.sample(range(20), rng.randrange(4))))) for i in range(1200)]
+    fps += [(2000 + i, signed(rng.getrandbits(64))) for i in range(800)]
+    marked = spark.createDataFrame(fps, "doc_id long, fp long").repartition(12)
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        classes = module._classes(marked, 4, module.BLOCK)
+        found = {r.fp: r.component_id for r in classes.collect()}
+        text = classes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    one = {found[fp] for i, fp in fps[:1200]}
+    assert one == {0} and "SortMergeJoin(skew=true)" in text

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trunkwatch.llm.common import stored, table, tidied
 from trunkwatch.llm.components import components
+from trunkwatch.operators.listing import group_apart
 from trunkwatch.sources.tables import named
 
 SHINGLE_WORDS = 4
@@ -157,10 +158,11 @@ def _classes(marked: DataFrame, radius: int, block: int) -> DataFrame:
     """``fp, component_id, rep`` for every distinct fingerprint of ``doc_id, fp``."""
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(links(fps.select("fp"), radius, block))
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
+    # written first, and its aggregate grouped apart, so that the join can split a very large component
+    rooted = stored(fps.join(found, fps["fp"] == found["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp"))
-    roots = rooted.groupBy("root").agg(least.alias("m")).select(
+    roots = group_apart(rooted, "root").agg(least.alias("m")).select(
         "root", F.col("m.first").alias("component_id"), F.col("m.fp").alias("rep"))
     return rooted.join(roots, "root").select("fp", "component_id", "rep")
 
@@ -196,4 +198,5 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The classes of all ``documents``; see :func:`near_duplicate_classes` for odd inputs."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
