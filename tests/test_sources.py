@@ -40,11 +40,11 @@ def test_each_file_has_its_own_charset(spark, tmp_path):
 
 
 def test_columns_go_by_name(spark, tmp_path):
-    template = ("diag_id,object_id,method,date,defect_found,temperature,quality_grade,param1\n"
-                '1,1,UZK,2024-01-01,true,20,требует_мер,30\n2,1,VIK,2024-02-01,FALSE,,"",x\n')
-    rows = dicts(tables.read_diagnostics(spark, write(tmp_path / "d.csv", template, "utf-8-sig")).orderBy("diag_id"))
-    assert [(r["defect_found"], r["temperature"], r["param1"], r["ml_label"]) for r in rows] == [
-        (True, 20.0, 30.0, None), (False, None, None, None)]
+    text = ("param2,date,defect_found,quality_grade,diag_id,humidity,object_id,method\n"
+            "7.5,1998-11-23,TRUE,допустимо,908,61.25,77,TVK\nsoft,2003-07-09,false,,907,,31,GEO\n")
+    rows = dicts(tables.read_diagnostics(spark, write(tmp_path / "d.csv", text, "utf-8-sig")).orderBy("diag_id"))
+    assert [(r["diag_id"], r["defect_found"], r["humidity"], r["param2"], r["ml_label"]) for r in rows] == [
+        (907, False, None, None, None), (908, True, 61.25, 7.5, None)]
 
 
 def test_quotes_and_line_ends_inside_texts(spark, tmp_path):

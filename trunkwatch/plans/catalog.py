@@ -428,12 +428,15 @@ add("locate_on_trunkline", latest.locate_on_trunkline, "objects")
 add("defect_features", lambda df: model.defect_features(df, "diag_id"), "diagnostics")
 add("class_weights", model.class_weights, "diagnostics")
 
-_fits: dict[tuple[str, str], model.Fit] = {}
+_fits: dict[tuple, model.Fit] = {}
 
 
 def fitted(spark: SparkSession, sf_dir: str) -> model.Fit:
-    """The one fit that all queries of a session and folder share."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The one fit that all queries of a session and folder share, while its files stay as they are."""
+    files = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "_metadata.file_path", "_metadata.file_modification_time").groupBy("file_path").agg(F.max("file_modification_time").alias("at"))
+    state = files.agg(F.count("*"), F.max("at"), F.bit_xor(F.xxhash64("file_path", "at"))).first()
+    key = (spark.sparkContext.applicationId, sf_dir, *state)
     if key not in _fits:
         _fits[key] = model.train(view(spark, sf_dir, "diagnostics"))
     return _fits[key]
