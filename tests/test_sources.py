@@ -39,6 +39,23 @@ def test_each_file_has_its_own_charset(spark, tmp_path):
     assert sorted(names) == sorted(["Задвижка «Щ»", "Отвод, левый"] * 2 + ["\x98é"])
 
 
+def test_mixed_charsets_are_joined_to_the_rows(spark, tmp_path):
+    """No list of files is made; headers may come with a byte-order mark, and in another order in another charset."""
+    head, one, two = ROWS.split("\n")[:3]
+    for i in range(4):
+        write(tmp_path / "in" / f"a{i}.csv", ROWS, "utf-8-sig" if i % 2 else "utf-8")
+        write(tmp_path / "in" / f"b{i}.csv", "\n\n" + ROWS, "cp1251")
+    (tmp_path / "in" / "c.csv").write_bytes(b"year,object_id,object_name\n2001,9,\x98\xe9\n1990,10,\"x, \xff\"\n")
+    write(tmp_path / "in" / "empty.csv", "\n", "utf-8")
+    rows = dicts(tables.read_objects(spark, str(tmp_path / "in")))
+    names = sorted((r["object_id"], r["object_name"], r["year"], r["material"]) for r in rows)
+    assert names == [(1, "Задвижка «Щ»", 1987, "Ы7")] * 8 + [(2, "Отвод, левый", 1994, "Ё№")] * 8 + [
+        (9, "\x98é", 2001, None), (10, "x, ÿ", 1990, None)]
+    write(tmp_path / "in" / "d.csv", "object_id,lat\n1,2\n", "utf-8")
+    with pytest.raises(ValueError, match="differ"):
+        tables.read_objects(spark, str(tmp_path / "in"))
+
+
 def test_columns_go_by_name(spark, tmp_path):
     text = ("param2,date,defect_found,quality_grade,diag_id,humidity,object_id,method\n"
             "7.5,1998-11-23,TRUE,допустимо,908,61.25,77,TVK\nsoft,2003-07-09,false,,907,,31,GEO\n")

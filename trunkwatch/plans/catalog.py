@@ -70,13 +70,15 @@ add("scan_diagnostics", _scan(tables.read_diagnostics), "diagnostics")
 
 @query("objects")
 def csv_charset_fallback(objects: DataFrame) -> DataFrame:
-    """The object table once in UTF-8 and once in cp1251, read as one folder."""
+    """The object table in UTF-8, in cp1251 and, with names that only it can hold, in Latin-1, read as one folder."""
     folder = work_folder(objects.sparkSession, "charsets")
     _as_csv(objects).csv(f"{folder}/utf8")
     as_bytes = objects.select([
         F.translate(c, tables.AS_CP1251, tables.AS_LATIN1).alias(c) if t == "string" else F.col(c)
         for c, t in objects.dtypes])
     _as_csv(as_bytes).option("encoding", "ISO-8859-1").csv(f"{folder}/cp1251")
+    western = objects.withColumn("object_name", F.concat("object_name", F.lit("\x98é"))).withColumn("material", F.lit("acier"))
+    _as_csv(western).option("encoding", "ISO-8859-1").csv(f"{folder}/latin1")
     return tables.read_objects(objects.sparkSession, f"{folder}/*")
 
 

@@ -24,7 +24,9 @@ P, O, D, DD, OD, DN, E = (("pipelines",), ("objects",), ("diagnostics",), ("diag
 oracle("scan_trunklines", P, "SELECT * FROM pipelines")
 oracle("scan_objects", O, "SELECT * FROM objects")
 oracle("scan_diagnostics", D, "SELECT * FROM diagnostics")
-oracle("csv_charset_fallback", O, "SELECT * FROM objects UNION ALL SELECT * FROM objects")
+oracle("csv_charset_fallback", O, """
+    SELECT * FROM objects UNION ALL SELECT * FROM objects UNION ALL
+    SELECT * REPLACE (object_name || chr(152) || 'é' AS object_name, 'acier' AS material) FROM objects""")
 oracle("clean_headers", O, "SELECT * FROM objects")
 oracle("workbook_folder_ingest", O, "SELECT * FROM objects")
 oracle("import_preview", O, """

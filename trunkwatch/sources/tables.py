@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 from urllib.parse import unquote
@@ -9,6 +10,7 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from trunkwatch.schema import DIAGNOSTICS, OBJECTS, PIPELINES
+from trunkwatch.session import written
 
 UNREADABLE = "_unreadable"
 UTF8, CP1251, LATIN1 = "utf-8", "cp1251", "latin1"
@@ -39,24 +41,34 @@ def clean_headers(df: DataFrame) -> DataFrame:
 
 
 def detect_charsets(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, charset, multi_line)``: UTF-8 if every line is valid, else cp1251
-    unless a byte has no meaning there, else Latin-1; and whether some quoted text
-    goes over a line's end, which leaves lines with an odd number of quotes.
+    """``(file, charset, multi_line, header)``: UTF-8 if every line is valid, else cp1251
+    unless a byte has no meaning there, else Latin-1; whether some quoted text
+    goes over a line's end, which leaves lines with an odd number of quotes; and the
+    first line that is not empty, decoded.
 
     Line breaks never fall inside a UTF-8 character, so lines can be checked on
     their own: files are split over tasks and need not fit in memory.
     """
+    # rows of one split are numbered as they come, and a file's first split has its first line
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), "value")
+        F.col("_metadata.file_path").alias("file"), "value",
+        F.when((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""), F.monotonically_increasing_id()).alias("place"))
     undefined = F.contains(F.col("value").cast("binary"), F.unhex(F.lit("98")))
     quotes = F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))
+    charset = F.when(F.col("is_utf8"), UTF8).when(~F.col("undefined"), CP1251).otherwise(LATIN1)
     return (lines.groupBy("file")
             .agg(F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
                  F.bool_or(undefined).alias("undefined"),
-                 F.bool_or(quotes % 2 == 1).alias("multi_line"))
-            .select("file", F.when(F.col("is_utf8"), UTF8)
-                    .when(~F.col("undefined"), CP1251).otherwise(LATIN1).alias("charset"),
-                    "multi_line"))
+                 F.bool_or(quotes % 2 == 1).alias("multi_line"),
+                 F.min_by(F.col("value").cast("binary"), "place").alias("first"))
+            .select("file", charset.alias("charset"), "multi_line",
+                    _decoded(F.decode("first", "ISO-8859-1"), charset).alias("header")))
+
+
+def _decoded(latin1: Column, charset: Column) -> Column:
+    """Text that was read as Latin-1, which keeps each byte, in the charset that it is in."""
+    return (F.when(charset == UTF8, F.decode(F.encode(latin1, "ISO-8859-1"), "UTF-8"))
+            .when(charset == CP1251, F.translate(latin1, AS_LATIN1, AS_CP1251)).otherwise(latin1))
 
 
 def _from_cp1251(text: str) -> str:
@@ -89,11 +101,28 @@ def _read_csv_as_text(spark: SparkSession, paths: list[str], charset: str,
     return clean_headers(df)
 
 
+def _read_mixed(spark: SparkSession, path: str, files: DataFrame, header: str) -> DataFrame:
+    """The files with this header and without quoted line ends, each row in its file's charset.
+
+    The whole folder is read as Latin-1: commas, quotes and line ends are the same
+    bytes in all charsets. The charset comes to the rows by a join on their file.
+    """
+    names = [clean_header(name) for name in next(csv.reader([header]))]
+    places = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    rows = (spark.read.schema(places).option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
+            .csv(path).select("*", F.col("_metadata.file_path").alias("_file")))
+    own = files.where((F.col("header") == header) & ~F.col("multi_line")).select(F.col("file").alias("_file"), "charset")
+    return rows.join(own, "_file").select([
+        _decoded(F.col(f"_c{i}"), F.col("charset")).alias(name) for i, name in enumerate(names)])
+
+
 def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
     """A CSV file or folder as text columns, each file in its own charset.
 
     Files that are all of one kind, as they mostly are, are read as the folder they
-    are in. Only where kinds mix are they read by name, kind by kind.
+    are in. Where charsets mix, rows are decoded by the charset of their file. Files
+    of one charset must agree in their header. Only files with quoted line ends in a
+    folder of others are read by name; each of them takes a task of its own anyway.
     """
     files = detect_charsets(spark, path)
     kinds = [(r["charset"], r["multi_line"]) for r in files.select("charset", "multi_line").distinct().collect()]
@@ -101,10 +130,18 @@ def read_csv_any_charset(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"no CSV rows below {path}")
     if len(kinds) == 1:
         return _read_csv_as_text(spark, [path], *kinds[0])
-    paths: dict[tuple[str, bool], list[str]] = {kind: [] for kind in sorted(kinds)}
-    for row in files.toLocalIterator():
-        paths[row["charset"], row["multi_line"]].append(_as_path(row["file"]))
-    frames = [_read_csv_as_text(spark, sorted(own), *kind) for kind, own in paths.items()]
+    plain = F.trim(F.regexp_replace("header", "[\ufeff\u200b]", ""))
+    files = written(files.withColumn("header", plain).where(F.col("header").isNotNull()), "charsets")
+    by_kind = files.where(~F.col("multi_line")).groupBy("charset").agg(
+        F.min("header").alias("header"), F.max("header").alias("other")).collect()  # a row per charset
+    odd = [r["charset"] for r in by_kind if r["header"] != r["other"]]
+    if odd:
+        raise ValueError(f"headers of files in {odd[0]} differ below {path}")
+    frames = [_read_mixed(spark, path, files, header) for header in sorted({r["header"] for r in by_kind})]
+    paths: dict[str, list[str]] = {}
+    for row in files.where("multi_line").toLocalIterator():
+        paths.setdefault(row["charset"], []).append(_as_path(row["file"]))
+    frames += [_read_csv_as_text(spark, sorted(own), charset, True) for charset, own in sorted(paths.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
