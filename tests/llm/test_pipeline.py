@@ -72,7 +72,7 @@ def test_every_stage_against_brute_force_on_its_own_input(spark, folder, tmp_pat
 def test_registered():
     assert contract.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in contract.oracle_sql()
     numbers = sorted(int(re.match(r"op(\d+)_", k).group(1)) for k in contract.queries() if k.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_empty_tables(spark, folder, tmp_path):
