@@ -25,7 +25,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Parts that one worker remembers; beyond that it forgets those met once. Decides no result.
 REMEMBERED = 600_000
 #: Bytes of text that are encoded at once, a longer text alone.
-_AT_ONCE = 8 << 20
+_AT_ONCE = 4 << 20
 
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _OUTER_SPACE = f"^[{_SPACE}]|[{_SPACE}]$|^$"
