@@ -3,9 +3,10 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from trunkwatch.llm.exact_dedup import ContentTable, drop_exact_duplicates, exact_groups
+from trunkwatch.llm.exact_dedup import OP9_SQL, ContentTable, drop_exact_duplicates, exact_groups
 
 
 def by_hand(pairs):
@@ -46,6 +47,23 @@ def test_missing_and_repeated_ids(documents):
     assert drop_exact_duplicates(documents(rows)).count() == 4
 
 
+def test_sql_of_repeated_rows_and_missing_ids(documents):
+    rows = [(5, "a b")] * 3 + [(5, "a  b"), (None, "z"), (None, "z"), (7, None), (6, ""), (8, "a\tb")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    result = db.execute(OP9_SQL)
+    names = [c[0] for c in result.description]
+    found = exact_groups(documents(rows)).select(names)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(result.fetchall(), key=str)
+
+
+def test_columns_of_any_name(documents):
+    docs = documents([(1, "x  y"), (2, "x y"), (3, None), (4, "")]).withColumnRenamed("lang", "a`b").withColumnRenamed("source", "c.d")
+    kept = drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "x  y"), (3, None)]
+
+
 def test_empty_table(documents):
     assert exact_groups(documents([])).count() == 0
     assert drop_exact_duplicates(documents([])).count() == 0

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trunkwatch.session import work_folder
+from trunkwatch.sources.tables import named
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,7 @@ def tidied(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is null."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def partitions(spark: SparkSession, n_bytes: int, each: int) -> int:

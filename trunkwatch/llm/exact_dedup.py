@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from trunkwatch.llm.common import partitions, stored, table, tidied
+from trunkwatch.sources.tables import named
 
 #: Bytes of content that a table holds. Any value gives the same result.
 TABLE_BYTES = 16 << 20
@@ -125,13 +126,14 @@ def _schema(rest: T.DataType | None) -> T.StructType:
     """``home`` numbers a group of rows that one task found equal. ``kind``: 0 a row, 1 a group.
 
     ``lead`` of a row: no earlier row of its home had its id or a smaller one;
-    of a resolved group: its home has the row that stays.
+    of a resolved group: its home has the row that stays. ``same``: the content is
+    the text, which is then not held twice.
     """
     fields = [T.StructField("kind", T.IntegerType()), T.StructField("doc_id", T.LongType()),
               T.StructField("home", T.LongType()), T.StructField("to_home", T.LongType()),
               T.StructField("lead", T.BooleanType()), T.StructField("n", T.LongType()),
               T.StructField("digest", T.BinaryType()), T.StructField("content", T.BinaryType()),
-              T.StructField("text", T.StringType())]
+              T.StructField("text", T.StringType()), T.StructField("same", T.BooleanType())]
     return T.StructType(fields + ([T.StructField("rest", rest)] if rest else []))
 
 
@@ -169,7 +171,8 @@ def _fold(whole_rows: bool, schema: T.StructType, limit: int):
         for batch in batches:
             members, leads = [], {}
             for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                content = normalised(text)
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                content = _RUNS.sub(b" ", raw)
                 digest, hashed = _digest(content)
                 entry = groups.table.find(hashed, content)
                 if entry < 0 and groups.table.full(content):
@@ -177,11 +180,12 @@ def _fold(whole_rows: bool, schema: T.StructType, limit: int):
                     base += len(groups.counts)
                     groups = _Groups(limit)
                 new = entry < 0 or _before(doc_id, groups.ids[entry])
-                row = (text if whole_rows else None, *rest_of(batch, i)) if new else ()
+                same = whole_rows and text is not None and content == raw
+                row = (text if whole_rows and not same else None, same, *rest_of(batch, i)) if new else ()
                 entry = groups.add(entry, content, digest, hashed, doc_id, 0, 1, row)
                 groups.homes[entry] = base + entry
                 if not whole_rows:
-                    members.append((0, doc_id, base + entry, None, new, None, None, None, None))
+                    members.append((0, doc_id, base + entry, None, new, None, None, None, None, None))
             if members:
                 yield _batch(members, kind)
         yield from flush()
@@ -198,7 +202,7 @@ def _merge(whole_rows: bool, schema: T.StructType, limit: int):
         for batch in batches:
             names = batch.schema.names
             spilled = []
-            column = {n: batch.column(n).to_pylist() for n in ("doc_id", "home", "n", "digest", "content", "text")}
+            column = {n: batch.column(n).to_pylist() for n in ("doc_id", "home", "n", "digest", "content", "text", "same")}
             rest = batch.column(names.index("rest")) if whole_rows else None
             for i, content in enumerate(column["content"]):
                 digest = column["digest"][i]
@@ -209,7 +213,7 @@ def _merge(whole_rows: bool, schema: T.StructType, limit: int):
                     continue
                 doc_id, home = column["doc_id"][i], column["home"][i]
                 new = entry < 0 or _before(doc_id, groups.ids[entry])
-                row = (column["text"][i], *((rest[i].as_py(),) if whole_rows else ())) if new else ()
+                row = (column["text"][i], column["same"][i], *((rest[i].as_py(),) if whole_rows else ())) if new else ()
                 entry = groups.add(entry, content, digest, hashed, doc_id, home, column["n"][i], row)
                 if not whole_rows:
                     seen.append(home)
@@ -217,25 +221,33 @@ def _merge(whole_rows: bool, schema: T.StructType, limit: int):
             if spilled:
                 yield batch.take(pa.array(spilled)).select(kind.names).cast(kind)
         if whole_rows:
+            def text_of(e: int) -> str | None:
+                text, same = groups.rows[e][:2]
+                return groups.table.contents[e].decode("utf-8", "surrogatepass") if same else text
+
             for at in range(0, len(groups.ids), 512):
                 yield _batch([(0, groups.ids[e], groups.homes[e], groups.homes[e], True, groups.counts[e],
-                               groups.digests[e], None, *groups.rows[e])
+                               groups.digests[e], None, text_of(e), False, *groups.rows[e][2:])
                               for e in range(at, min(at + 512, len(groups.ids)))], kind)
         else:
             for at in range(0, len(seen), 8192):
                 yield _batch([(0, groups.ids[e], home, groups.homes[e], home == groups.homes[e],
-                               groups.counts[e], groups.digests[e], None, None)
+                               groups.counts[e], groups.digests[e], None, None, None)
                               for home, e in zip(seen[at:at + 8192], entries[at:at + 8192])], kind)
 
     return merge
 
 
-def _resolve(folded: DataFrame, whole_rows: bool, limit: int) -> DataFrame:
-    """Resolved groups from the group rows of all tasks, level by level."""
+def _resolve(folded: DataFrame, whole_rows: bool, limit: int, n_bytes: int | None = None) -> DataFrame:
+    """Resolved groups from the group rows of all tasks, level by level.
+
+    ``n_bytes`` is what they hold at most; without it they are read for their size first.
+    """
     spark, schema = folded.sparkSession, folded.schema
     pending, done, level = folded.where("kind = 1"), None, 0
     while True:
-        n_bytes = pending.agg(F.coalesce(F.sum(F.length("content") + F.lit(_ENTRY_BYTES)), F.lit(0))).first()[0]
+        if level or n_bytes is None:
+            n_bytes = pending.agg(F.coalesce(F.sum(F.length("content") + F.lit(_ENTRY_BYTES)), F.lit(0))).first()[0]
         if level and not n_bytes:
             return done
         buckets = partitions(spark, n_bytes, max(1, limit // 2))
@@ -256,7 +268,7 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     gives no rows. Other columns are not read.
     """
     schema = _schema(None)
-    rows = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    rows = docs.select(named(doc_id).cast("long").alias("i"), named(text).cast("string").alias("t"))
     folded = stored(rows.mapInArrow(tidied(_fold(False, schema, table_bytes)), schema), "exact-folded")
     groups = _resolve(folded, False, table_bytes).select(
         "home", F.col("doc_id").alias("keep_id"), F.col("n").alias("group_size"), F.col("lead"),
@@ -273,16 +285,18 @@ def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     The rule is that of :func:`exact_groups`; columns may have any names.
     """
-    packed = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t"),
-                         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("rest"))
+    packed = docs.select(named(doc_id).cast("long").alias("i"), named(text).cast("string").alias("t"),
+                         F.struct(*[named(c) for c in docs.columns if c != text]).alias("rest"))
     schema = _schema(packed.schema["rest"].dataType)
-    folded = stored(packed.mapInArrow(tidied(_fold(True, schema, table_bytes)), schema), "exact-folded")
-    kept = _resolve(folded, True, table_bytes)
+    # the folded rows go straight into the first shuffle, so that the texts are not written once more
+    n_bytes = packed.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + F.lit(_ENTRY_BYTES)), F.lit(0))).first()[0]
+    kept = _resolve(packed.mapInArrow(tidied(_fold(True, schema, table_bytes)), schema), True, table_bytes, n_bytes)
     return kept.select(*[(F.col("text").cast(docs.schema[c].dataType) if c == text
                           else F.col("rest").getField(c)).alias(c) for c in docs.columns])
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups of all ``documents``; see :func:`exact_groups` for odd inputs."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
@@ -290,6 +304,7 @@ OP9_SQL = r"""
 WITH normal AS (
     SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 grouped AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM normal GROUP BY t)
-SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, sha256(n.t) AS text_sha256
+SELECT n.doc_id, g.keep_id, g.group_size, sha256(n.t) AS text_sha256,
+    row_number() OVER (PARTITION BY n.t ORDER BY n.doc_id NULLS LAST) = 1 AS kept
 FROM normal n JOIN grouped g ON n.t = g.t
 """
