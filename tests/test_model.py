@@ -73,3 +73,27 @@ def test_labels_may_be_many(diagnostics):
     rows = diagnostics(*[{"object_id": 1, "defect_found": True, "ml_label": f"l{i % 120}", "param1": float(i % 120)} for i in range(1200)])
     fit = model.train(rows)
     assert len(fit.labels) == 120 and fit.fit_id != model.Fit(None, [], None).fit_id
+
+
+def test_forest_reads_small_partitions(spark):
+    columns = [F.lit(0.0).alias(name) for name in s.FEATURES]
+    rows = spark.range(0, 2_000_000, 1, 4).select(F.col("id").alias("diag_id"), *columns)
+    dealt = model.spread(rows, 2_000_000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000_000 and max(sizes) < 200_000
+
+
+def test_rows_without_id_are_spread(spark):
+    names = [F.col("id").cast("double").alias(name) for name in s.FEATURES]
+    rows = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("diag_id"), *names)
+    dealt = model.spread(rows, 4000)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2 * 4000 / dealt.rdd.getNumPartitions()
+
+
+def test_ids_decide_the_partition_alone(spark):
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("diag_id"), *[F.rand(1).alias(name) for name in s.FEATURES])
+    parts = spark.sparkContext.defaultParallelism
+    found = [{(r["diag_id"], r["p"]) for r in dicts(df.select("diag_id", F.spark_partition_id().alias("p")))}
+             for df in (model.spread(rows, 4000), rows.repartition(parts, "diag_id"))]
+    assert found[0] == found[1]

@@ -19,7 +19,9 @@ from trunkwatch.schema import FEATURES
 
 MIN_ROWS = 10
 TREES, DEPTH, SEED = 100, 10, 42
-ROWS_PER_PARTITION = 1_000_000
+#: The forest keeps some 1.3 KB of each row (its draws and its node, an integer each per
+#: tree), and a task reads those of its whole partition at every level: 130 MB.
+ROWS_PER_PARTITION = 100_000
 
 
 def defect_features(diagnostics: DataFrame, *keep: str) -> DataFrame:
@@ -56,6 +58,14 @@ def split(rows: DataFrame) -> DataFrame:
     return rows.withColumn("held_out", F.pmod(F.xxhash64("diag_id"), F.lit(5)) == 0)
 
 
+def spread(rows: DataFrame, n_rows: int) -> DataFrame:
+    """Rows dealt evenly by id, those without one by their inputs, whatever the layout of
+    the files: a partition per core at least, of ``ROWS_PER_PARTITION`` rows at most."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
+    without_id = F.when(F.col("diag_id").isNull(), F.xxhash64(*FEATURES))
+    return rows.repartition(parts, "diag_id", without_id)
+
+
 def _weight_by_label(weights: DataFrame) -> Column:
     """The weight of a row's label, from one map. The model keeps every label on the
     driver, so their map fits; a join would shuffle all rows by label."""
@@ -70,13 +80,9 @@ def train(diagnostics: DataFrame) -> Fit:
     if n_rows < MIN_ROWS:
         return Fit(None, [], None)
     weight = _weight_by_label(class_weights(defects.where(~F.col("held_out"))))
-    # Trees read their input many times over: spread it evenly, by id, whatever
-    # the layout of the files, and keep it.
-    parts = max(defects.sparkSession.sparkContext.defaultParallelism, -(-n_rows // ROWS_PER_PARTITION))
-    rows = (defect_features(defects, "diag_id", F.col("ml_label").alias("label_text"), "held_out")
-            .withColumn("weight", weight)
-            .repartition(parts, "diag_id")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    # Trees read their input many times over: spread it and keep it.
+    rows = defect_features(defects, "diag_id", F.col("ml_label").alias("label_text"), "held_out")
+    rows = spread(rows.withColumn("weight", weight), n_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stages = Stages(stages=[
             StringIndexer(inputCol="label_text", outputCol="label",
