@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -19,6 +21,9 @@ LINED = ["a\nb", "a.\nB c", "a.\n\nB", "x,\ny.\nz", " a\nb", "a\nb ", "\na", "a\
          "a\nb<|endoftext|>\nc", "é.\nÉ, é\n漢", "a\x0bb\nc", "<|endo\nftext|>"]
 
 
+_PARTS, _WHOLE = part_encoder(vocabulary_path()), library_encoder(vocabulary_path())
+
+
 def whole(texts):
     return library_encoder(vocabulary_path())([t or "" for t in texts])
 
@@ -39,6 +44,41 @@ def test_lines_and_parts_with_the_added_token(own):
     assert through_parts(own, texts) == whole(texts)
 
 
+WORDS = ["a", " Ab", "é", " Ünï", "ſt", " ошибка,", "Ё.", "12", " 2024", "9,", " a!!", "it?;", "x&&&", " b***", "c###", "d$$$", "ǅ%%%", "ab:,.!"]
+
+
+def test_words_and_their_marks_go_by_the_model(monkeypatch):
+    made, library = part_encoder(vocabulary_path()), library_encoder(vocabulary_path())
+    monkeypatch.setattr(np, "delete", None)  # what the way of joined parts needs
+    lengths, ids = made(WORDS)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library(WORDS)
+
+
+def test_other_parts_keep_their_place_among_words():
+    parts = ["a", "a'll", " b", "", "漢字", "1a", "a1", " a-b,", "c", "n!\n", "a.b", "½", " ٣", "!!", " 'd", "x<|endoftext|>", "z.", "'s!"]
+    lengths, ids = part_encoder(vocabulary_path())(parts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library_encoder(vocabulary_path())(parts)
+
+
+@pytest.mark.parametrize("change", [{"content": "ab"}, {"content": " a."}, {"prefix": True}, {"pattern": False}])
+def test_words_of_other_vocabularies(tmp_path, change):
+    told = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    told["added_tokens"][0]["content"] = change.get("content", "<|endoftext|>")
+    told["pre_tokenizer"] |= {"add_prefix_space": "prefix" in change, "use_regex": change.get("pattern", True)}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    parts = ["abc", " ab", "x a.", "cab,", "12", " 9!!", "c&c"]
+    lengths, ids = part_encoder(str(path))(parts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library_encoder(str(path))(parts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.from_regex(r"\A ?(?:[A-Za-zªµºÀ-ÖØ-öø-ˁЀ-ҁҊ-ԓ]+|[0-9]+)[!#$%&*,.:;?]*\Z"), max_size=20))
+def test_any_words(words):
+    lengths, ids = _PARTS(words)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])][:len(words)] == _WHOLE(words)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab .,.,'\n\t\r\x1c  é1$<|endoftext|>"), max_size=30), max_size=5))
 def test_any_white_space(own, texts):

@@ -11,6 +11,7 @@ parts are cut there too.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable, Iterable
@@ -41,19 +42,24 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """The tokenizers library's encoding of many short texts, without truncation and padding."""
+def _library(path: str):
+    """The tokenizers library's own of this file, without truncation and padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    return tokenizer
 
-    def encode(parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    return encode
+def _one_by_one(tokenizer) -> Callable[[list[str]], list[list[int]]]:
+    return lambda parts: [e.ids for e in tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+
+def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """The tokenizers library's encoding of many short texts, without truncation and padding."""
+    return _one_by_one(_library(path))
 
 
 #: Parts that the library encodes as one text.
@@ -66,28 +72,66 @@ def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return lengths, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
 
 
+#: Letters of blocks that all versions of the pattern know, and marks that no contraction begins with.
+_LETTERS, _ENDS = "A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1\u0400-\u0481\u048a-\u0513", "!#$%&*,.:;?"
+#: A part that the pattern cuts in two at most: a word or number, with or without a space, and the marks after it.
+_WORD = re.compile(f"( ?(?:[{_LETTERS}]+|[0-9]+))([{_ENDS}]+)?")
+_OF_WORDS = re.compile(f"[ {_LETTERS}0-9{_ENDS}]*")
+#: Runs of marks that one encoder remembers. Decides no result.
+_ENDS_KEPT = 10_000
+#: What stands for each byte in a byte-level vocabulary.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_AS_PRINTED = {b: chr(b) for b in _PRINTED} | {
+    b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(0x100)) - set(_PRINTED)))}
+
+
+def _by_model_alone(tokenizer, added: str) -> bool:
+    """Whether nothing but the byte-level pattern and the model decides the ids of a word and its marks."""
+    cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    return (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+            and tokenizer.normalizer is None and type(tokenizer.model).__name__ == "BPE" and not _OF_WORDS.fullmatch(added))
+
+
+def word_encoder(tokenizer) -> Callable[[list[re.Match]], list[list[int]]]:
+    """The ids of parts that ``_WORD`` matches, by the library's model alone."""
+    tokenize = tokenizer.model.tokenize
+    ends: dict[str | None, list[int]] = {None: []}
+
+    def pieces(texts: list[str]) -> list[list[int]]:
+        printed = "\n".join(texts).encode().decode("latin1").translate(_AS_PRINTED)
+        return [[token.id for token in tokenize(piece)] for piece in printed.split(_AS_PRINTED[10])] if texts else []
+
+    def encode(found: list[re.Match]) -> list[list[int]]:
+        marks = [m[2] for m in found]
+        new = list(set(marks) - ends.keys())
+        if len(ends) + len(new) > _ENDS_KEPT:
+            ends.clear()
+            new = list(set(marks) - {None})
+            ends[None] = []
+        ends.update(zip(new, pieces(new)))
+        return [ids + ends[end] if end else ids for ids, end in zip(pieces([m[1] for m in found]), marks)]
+
+    return encode
+
+
 def part_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """The library's ids of many parts, encoded together with an added token between them.
+    """The library's ids of many parts, those of words from its model, the others encoded
+    together with an added token between them.
 
     An added token is cut out before anything else, so parts keep their own ids. That
     holds where there is one such token that no end of itself begins; parts that
     hold it, and vocabularies without it, are encoded part by part.
     """
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    apart, added = library_encoder(path), tokenizer.get_added_tokens_decoder()
+    tokenizer = _library(path)
+    apart, added = _one_by_one(tokenizer), tokenizer.get_added_tokens_decoder()
     (number, token), = added.items() if len(added) == 1 else [(0, None)]
     plain = token is not None and not (token.lstrip or token.rstrip or token.single_word or token.normalized)
     if not plain or any(token.content.startswith(token.content[i:]) for i in range(1, len(token.content))):
         return lambda parts: flat(apart(parts))
     between = token.content
 
-    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lengths, ids = [], []
+    def joined(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lengths, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
         for at in range(0, len(parts), _JOINED):
             some = parts[at:at + _JOINED]
             text = between.join(some)
@@ -102,6 +146,20 @@ def part_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarra
                 ids.append(own[1])
         return np.concatenate(lengths), np.concatenate(ids)
 
+    if not _by_model_alone(tokenizer, between):
+        return joined
+    of_words = word_encoder(tokenizer)
+
+    def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(_WORD.fullmatch, parts))
+        words = np.fromiter(map(bool, found), bool, len(parts))
+        lengths = np.zeros(len(parts), np.int64)
+        lengths[words], of_word = flat(of_words([m for m in found if m]))
+        lengths[~words], of_other = joined([p for p, m in zip(parts, found) if not m])
+        ids, from_word = np.empty(len(of_word) + len(of_other), np.uint32), np.repeat(words, lengths)
+        ids[from_word], ids[~from_word] = of_word, of_other
+        return lengths, ids
+
     return encode
 
 
