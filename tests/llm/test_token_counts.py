@@ -1,10 +1,12 @@
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from trunkwatch.llm import tokens
 from trunkwatch.llm.token_counts import length_histogram, length_report, quantiles, truncated_total
 from trunkwatch.llm.tokens import TextEncoder, library_encoder, part_encoder, vocabulary_path
 
@@ -72,6 +74,34 @@ def test_words_of_other_vocabularies(tmp_path, change):
     assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library_encoder(str(path))(parts)
 
 
+def test_the_model_gets_many_words_at_once():
+    library, calls = tokens._library(vocabulary_path()), []
+    spied = SimpleNamespace(model=SimpleNamespace(tokenize=lambda text: calls.append(text) or library.model.tokenize(text)))
+    words = [f"{w}{end}" for w in [f" w{chr(97 + i % 26)}{'e' * (i % 7)}" for i in range(500)] for end in ("", "!!")]
+    lengths, ids = tokens.word_encoder(spied, *tokens._unmerged(library))([tokens._WORD.fullmatch(w) for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == _WHOLE(words)
+    assert len(calls) < len(words) / 20
+
+
+@pytest.mark.parametrize("change", ["merged", "ignore_merges", "suffix"])
+def test_words_that_nothing_keeps_apart(tmp_path, change):
+    printed = sorted(tokens._AS_PRINTED.values())
+    low = [tokens._AS_PRINTED[b] for b in range(0x20)]
+    if change == "suffix":
+        printed += [c + "</w>" for c in printed]
+    merges = [["a", "b"], *([[c, c] for c in low] if change == "merged" else [])]
+    names = ["<|endoftext|>", *printed, *["".join(m) for m in merges], *(["abc"] if change == "ignore_merges" else [])]
+    told = json.loads(open(vocabulary_path(), encoding="utf-8").read())
+    told["added_tokens"][0]["id"] = 0
+    told["model"] |= {"vocab": {name: i for i, name in enumerate(names)}, "merges": merges,
+                      "ignore_merges": change == "ignore_merges", "end_of_word_suffix": "</w>" if change == "suffix" else None}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    parts = ["abc", " ab", "x!!", "cab,", "12", " 9!!"]
+    lengths, ids = part_encoder(str(path))(parts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == library_encoder(str(path))(parts)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.from_regex(r"\A ?(?:[A-Za-zªµºÀ-ÖØ-öø-ˁЀ-ҁҊ-ԓ]+|[0-9]+)[!#$%&*,.:;?]*\Z"), max_size=20))
 def test_any_words(words):

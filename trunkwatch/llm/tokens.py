@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Callable, Iterable
 from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -77,8 +78,8 @@ _LETTERS, _ENDS = "A-Za-zªµº\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02c1\u0400-\u0
 #: A part that the pattern cuts in two at most: a word or number, with or without a space, and the marks after it.
 _WORD = re.compile(f"( ?(?:[{_LETTERS}]+|[0-9]+))([{_ENDS}]+)?")
 _OF_WORDS = re.compile(f"[ {_LETTERS}0-9{_ENDS}]*")
-#: Runs of marks that one encoder remembers. Decides no result.
-_ENDS_KEPT = 10_000
+#: Words and marks that the model gets at once. Decides no result.
+_WORDS_AT_ONCE = 64
 #: What stands for each byte in a byte-level vocabulary.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _AS_PRINTED = {b: chr(b) for b in _PRINTED} | {
@@ -86,30 +87,40 @@ _AS_PRINTED = {b: chr(b) for b in _PRINTED} | {
 
 
 def _by_model_alone(tokenizer, added: str) -> bool:
-    """Whether nothing but the byte-level pattern and the model decides the ids of a word and its marks."""
-    cut = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+    """Whether nothing but the byte-level pattern and the merges decides the ids of a word and its marks."""
+    cut, model = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}, tokenizer.model
     return (cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
-            and tokenizer.normalizer is None and type(tokenizer.model).__name__ == "BPE" and not _OF_WORDS.fullmatch(added))
-
-
-def word_encoder(tokenizer) -> Callable[[list[re.Match]], list[list[int]]]:
-    """The ids of parts that ``_WORD`` matches, by the library's model alone."""
-    tokenize = tokenizer.model.tokenize
-    ends: dict[str | None, list[int]] = {None: []}
-
-    def pieces(texts: list[str]) -> list[list[int]]:
-        printed = "\n".join(texts).encode().decode("latin1").translate(_AS_PRINTED)
-        return [[token.id for token in tokenize(piece)] for piece in printed.split(_AS_PRINTED[10])] if texts else []
-
-    def encode(found: list[re.Match]) -> list[list[int]]:
-        marks = [m[2] for m in found]
-        new = list(set(marks) - ends.keys())
-        if len(ends) + len(new) > _ENDS_KEPT:
-            ends.clear()
-            new = list(set(marks) - {None})
-            ends[None] = []
-        ends.update(zip(new, pieces(new)))
-        return [ids + ends[end] if end else ids for ids, end in zip(pieces([m[1] for m in found]), marks)]
+            and tokenizer.normalizer is None and type(model).__name__ == "BPE" and not _OF_WORDS.fullmatch(added)
+            and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix or model.ignore_merges))
+
+
+def _unmerged(tokenizer) -> tuple[str, int] | None:
+    """A character that no word has and no merge takes, as what a merge makes is in the vocabulary; and its id."""
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    merged = set().union(*(token for token in vocabulary if len(token) > 1))
+    return next(((chr(b), vocabulary[_AS_PRINTED[b]]) for b in range(0x20)
+                 if _AS_PRINTED[b] in vocabulary and _AS_PRINTED[b] not in merged), None)
+
+
+def word_encoder(tokenizer, apart: str, number: int) -> Callable[[list[re.Match]], tuple[np.ndarray, np.ndarray]]:
+    """The ids of parts that ``_WORD`` matches, by the library's model alone. ``apart`` keeps
+    words apart that the model gets at once: no merge goes over it, and its own id is dropped."""
+    tokenize, id_of = tokenizer.model.tokenize, attrgetter("id")
+
+    def encode(found: list[re.Match]) -> tuple[np.ndarray, np.ndarray]:
+        pieces = [piece for m in found for piece in m.groups() if piece]
+        ids = [np.zeros(0, np.uint32)]
+        for at in range(0, len(pieces), _WORDS_AT_ONCE):
+            # one more at the end of each piece
+            text = apart.join([*pieces[at:at + _WORDS_AT_ONCE], ""])
+            tokens = tokenize(text.encode().decode("latin1").translate(_AS_PRINTED))
+            ids.append(np.fromiter(map(id_of, tokens), np.uint32, len(tokens)))
+        all_ids = np.concatenate(ids)
+        end = all_ids == number
+        ends = np.concatenate([[0], np.cumsum(~end)[end]])
+        # a word with marks has two pieces
+        upto = np.cumsum(np.fromiter((2 if m[2] else 1 for m in found), np.int64, len(found)))
+        return np.diff(ends[upto], prepend=0), all_ids[~end]
 
     return encode
 
@@ -146,15 +157,16 @@ def part_encoder(path: str) -> Callable[[list[str]], tuple[np.ndarray, np.ndarra
                 ids.append(own[1])
         return np.concatenate(lengths), np.concatenate(ids)
 
-    if not _by_model_alone(tokenizer, between):
+    unmerged = _unmerged(tokenizer) if _by_model_alone(tokenizer, between) else None
+    if not unmerged:
         return joined
-    of_words = word_encoder(tokenizer)
+    of_words = word_encoder(tokenizer, *unmerged)
 
     def encode(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = list(map(_WORD.fullmatch, parts))
         words = np.fromiter(map(bool, found), bool, len(parts))
         lengths = np.zeros(len(parts), np.int64)
-        lengths[words], of_word = flat(of_words([m for m in found if m]))
+        lengths[words], of_word = of_words([m for m in found if m])
         lengths[~words], of_other = joined([p for p, m in zip(parts, found) if not m])
         ids, from_word = np.empty(len(of_word) + len(of_other), np.uint32), np.repeat(words, lengths)
         ids[from_word], ids[~from_word] = of_word, of_other
@@ -206,12 +218,14 @@ class TextEncoder:
                 return self._slots_of(parts)
             lengths, found = self._encode(new)
             starts = len(self._ids) + np.cumsum(lengths) - lengths
-            known.update(zip(new, range(len(known), len(known) + len(new))))
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new))))
             self._starts = np.concatenate([self._starts, starts])
             self._lengths = np.concatenate([self._lengths, lengths])
             self._ids = np.concatenate([self._ids, found])
             self._met = np.concatenate([self._met, np.zeros(len(new), np.uint8)])
-            slots[missing] = [known[parts[i]] for i in missing]
+            slots[missing] = (np.arange(first, first + len(new)) if len(new) == len(missing)  # none comes twice
+                              else [known[parts[i]] for i in missing])
         self._met[slots] = np.minimum(self._met[slots], 2) + 1
         return slots
 
